@@ -81,8 +81,8 @@ def exact_groups(docs: DataFrame, capacity: int = 200_000, cell_bits: int = 12,
 
 def keep_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows that stay, with all their columns; of wholly equal rows one stays."""
-    kept = exact_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    found = marked.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._keep")) & (F.col("d._sha") == F.col("k._sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("doc_id", "_sha"))
-    return found.withColumn("_n", first).filter("_n = 1").select(docs.columns)
+    kept = exact_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("__docloom_keep"), F.col("text_sha256").alias("__docloom_sha")).distinct()
+    marked = docs.withColumn("__docloom_sha", F.sha2(ascii_lower(F.col("text")), 256))
+    found = marked.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__docloom_keep")) & (F.col("d.__docloom_sha") == F.col("k.__docloom_sha")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__docloom_sha").orderBy("doc_id", "__docloom_sha"))
+    return found.withColumn("__docloom_n", first).filter("__docloom_n = 1").select(docs.columns)
