@@ -16,11 +16,11 @@ wins AS (
   SELECT DISTINCT item_id, CASE WHEN len(w) >= 10 THEN 10 ELSE len(w) END AS n, array_to_string(w[i:i + 9], ' ') AS win
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0)),
 docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs WHERE len(w) > 0),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs WHERE len(w) > 0),
 sized AS (SELECT DISTINCT n FROM wins),
 occ AS (
   SELECT a.doc_id, a.i, s.n, array_to_string(a.w[a.i:a.i + s.n - 1], ' ') AS win
-  FROM at a, sized s WHERE a.i + s.n - 1 <= len(a.w)),
+  FROM places a, sized s WHERE a.i + s.n - 1 <= len(a.w)),
 hits AS (SELECT o.doc_id, o.i, o.n, wins.item_id FROM occ o JOIN wins ON o.win = wins.win AND o.n = wins.n),
 words AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
@@ -42,8 +42,8 @@ s AS (
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 links AS (
   SELECT x.doc_id AS a, y.doc_id AS b
-  FROM (SELECT x.doc_id AS xd, y.doc_id AS yd, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
-  JOIN n x ON x.doc_id = xd JOIN n y ON y.doc_id = yd WHERE 100 * both >= 75 * (x.n + y.n - both)),
+  FROM (SELECT x.doc_id AS xd, y.doc_id AS yd, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n x ON x.doc_id = xd JOIN n y ON y.doc_id = yd WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
