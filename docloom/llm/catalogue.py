@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, mixing
+from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality
 from docloom.llm.common import read_table
 from docloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op3_quality(spark, sf_dir):
+    return quality.qualities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -21,8 +25,12 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark, sf_dir):
+    return language_id.languages(read_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_decontaminate, op7_mixing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_exact_dedup, op5_decontaminate, op7_mixing, op9_language_id, op10_jaccard_join)}
