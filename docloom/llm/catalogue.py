@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality
+from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
 from docloom.llm.common import read_table
 from docloom.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_pii(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.severities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark, sf_dir):
     return quality.qualities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -21,10 +29,18 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets_scan.secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.languages(read_table(spark, sf_dir, "documents"))
 
@@ -33,4 +49,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_exact_dedup, op5_decontaminate, op7_mixing, op9_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_exact_dedup, op5_decontaminate, op6_secrets, op7_mixing, op8_substring_dedup, op9_language_id, op10_jaccard_join)}
