@@ -1,4 +1,6 @@
 """The registered queries of the analytics engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import contents_queries, search_queries, structure_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from docloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
