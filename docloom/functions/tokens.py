@@ -85,7 +85,10 @@ def stem_match(a: Column, b: Column) -> Column:
 
 def stem_overlap(query: list[str], label: Column) -> Column:
     """How many query tokens match a token of the label by stem."""
-    return sum((F.exists(label, lambda t, q=q: stem_match(F.lit(q), t)).cast("int") for q in query), F.lit(0))
+    def hit(q: str) -> Column:
+        return F.exists(label, lambda t: stem_match(F.lit(q), t)).cast("int")
+
+    return sum(map(hit, query), F.lit(0))
 
 
 def content_tokens(token_column: Column, stop: list[str], aliases: dict[str, str] | None = None) -> Column:
@@ -99,12 +102,11 @@ def content_tokens(token_column: Column, stop: list[str], aliases: dict[str, str
 
 def ngrams(token_column: Column, most: int) -> Column:
     """All runs of 1 to `most` tokens, joined by blanks."""
-    size = F.size(token_column)
-    parts = [
-        F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.array_join(F.slice(token_column, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in range(1, most + 1)
-    ]
-    return F.concat(*parts)
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(token_column) - n + 1)
+        return F.when(F.size(token_column) >= n, F.transform(starts, lambda i: F.array_join(F.slice(token_column, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(runs, range(1, most + 1)))
 
 
 def whitespace_words(text: Column) -> Column:

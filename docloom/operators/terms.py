@@ -26,7 +26,8 @@ def alias_join(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text
 
     With few aliases the texts don't move; n-grams are counted in each task before any shuffle.
     """
-    grams = texts.select(F.col(id_column), F.explode(tk.ngrams(tk.tokens(F.col(text)), most)).alias("alias"))
+    toks = texts.select(F.col(id_column), tk.tokens(F.col(text)).alias("t"))
+    grams = toks.select(id_column, F.explode(tk.ngrams(F.col("t"), most)).alias("alias"))
     if aliases.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
         aliases = F.broadcast(aliases)
     return grams.join(aliases, "alias").groupBy(id_column, "alias", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -35,9 +36,12 @@ def alias_join(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text
 def longest_matches(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text: str = "text", most: int = MAX_WORDS) -> DataFrame:
     """(id, start, words, alias, key): greedy left-to-right longest phrases that don't overlap; starts count from 0."""
     toks = texts.select(F.col(id_column), tk.tokens(F.col(text)).alias("t"))
-    places = toks.select(id_column, "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i")).filter(F.size("t") > 0)
-    spans = places.select(id_column, "i", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("words"), "t").filter("i + words - 1 <= size(t)")
-    spans = spans.select(id_column, (F.col("i") - 1).alias("start"), "words", F.array_join(F.slice("t", F.col("i"), F.col("words")), " ").alias("alias"))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("t") - n + 1)
+        return F.when(F.size("t") >= n, F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("words"), F.array_join(F.slice("t", i, n), " ").alias("alias")))).otherwise(F.array().cast("array<struct<start:int,words:int,alias:string>>"))
+
+    spans = toks.select(id_column, F.explode(F.concat(*map(runs, range(1, most + 1)))).alias("s")).select(id_column, "s.*")
     hits = spans.join(aliases, "alias").groupBy(id_column, "start").agg(F.max_by(F.struct("words", "alias", "key"), F.struct("words", "alias")).alias("m"))
     listed = hits.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("start", "m"))).alias("h"))
     empty = F.struct(F.lit(0).alias("end"), F.slice("h", 1, 0).alias("kept"))

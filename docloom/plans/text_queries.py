@@ -95,8 +95,9 @@ ALIASES = [("the", "article"), ("of the", "phrase"), ("und", "conjunction"), ("d
 _ALIAS_SQL = "(VALUES " + ", ".join(f"('{a}', '{k}')" for a, k in ALIASES) + ") AS a(alias, key)"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents), g AS (
-  SELECT doc_id, array_to_string(t[i:i + w - 1], ' ') AS alias FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t), (SELECT unnest([1, 2, 3, 4]) AS w) WHERE i + w - 1 <= len(t))
+@query(f"""WITH t AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT doc_id, {TOKENS} AS t FROM documents)),
+  r AS (SELECT doc_id, w, lead(w, 1) OVER o AS x, lead(w, 2) OVER o AS y, lead(w, 3) OVER o AS z FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT doc_id, unnest([w, w || ' ' || x, w || ' ' || x || ' ' || y, w || ' ' || x || ' ' || y || ' ' || z]) AS alias FROM r)
   SELECT doc_id, alias, key, count(*)::BIGINT AS n FROM g JOIN {_ALIAS_SQL} USING (alias) GROUP BY 1, 2, 3""")
 def term_alias_join(spark, sf_dir):
     aliases = spark.createDataFrame(ALIASES, "alias string, key string")
