@@ -95,7 +95,7 @@ def report_period(filename: Column, document_id: Column, table_text: Column) ->
 
 def edition(document_id: Column) -> Column:
     """The last 20xx of a document id, else the id."""
-    return F.coalesce(F.element_at(F.regexp_extract_all(document_id, F.lit("20[0-9]{2}"), F.lit(0)), -1), document_id)
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(document_id, F.lit("20[0-9]{2}"), F.lit(0)), F.lit(-1)), document_id)
 
 
 def quarter(text: Column) -> Column:
@@ -149,6 +149,6 @@ def short_label(label: Column) -> Column:
 
 def metric_key(label: Column) -> Column:
     """Letters and digits of the last English parenthesis, else of the short label, lower-cased."""
-    inner = F.element_at(F.regexp_extract_all(label, F.lit(r"\(([^()]*[A-Za-z][^()]*)\)"), F.lit(1)), -1)
+    inner = F.try_element_at(F.regexp_extract_all(label, F.lit(r"\(([^()]*[A-Za-z][^()]*)\)"), F.lit(1)), F.lit(-1))
     base = F.lower(F.coalesce(inner, short_label(label)))
     return F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}\x{0900}-\x{097F}]+", " "))

@@ -139,7 +139,7 @@ def toc_from_cells(cells: DataFrame) -> DataFrame:
     row = row.withColumn("section_original", F.when(is_section, first))
     w = Window.partitionBy("document_id", "table_id").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
     row = row.withColumn("section_original", F.coalesce(F.last("section_original", ignorenulls=True).over(w), F.lit("General")))
-    entry = row.filter(~is_section & (F.size("v") >= 3)).withColumn("serial_number", F.regexp_extract(F.col("v")[0], r"^([0-9]+)\.?$", 1).try_cast("int")).withColumn("page_number", F.regexp_extract(F.element_at("v", -1), r"^([0-9]+)$", 1).try_cast("int")).filter("serial_number IS NOT NULL")
+    entry = row.filter(~is_section & (F.size("v") >= 3)).withColumn("serial_number", F.regexp_extract(F.col("v")[0], r"^([0-9]+)\.?$", 1).try_cast("int")).withColumn("page_number", F.regexp_extract(F.try_element_at("v", F.lit(-1)), r"^([0-9]+)$", 1).try_cast("int")).filter("serial_number IS NOT NULL")
     entry = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document_id", "table_id"))).filter("n >= 5")
     authors = F.when(F.size("v") >= 4, F.col("v")[2])
     out = entry.select("document_id", "table_id", "serial_number", "section_original", F.col("v")[1].alias("title_original"), authors.alias("author_original"), "page_number")

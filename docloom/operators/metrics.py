@@ -131,7 +131,7 @@ def records_from_cells(cells: DataFrame) -> DataFrame:
     row = row.withColumn("region", F.last("own_region", ignorenulls=True).over(in_part)).withColumn("region_header", F.last("region_header", ignorenulls=True).over(in_part))
     row = row.filter((F.size("texts") > 0) & (F.size("numbers") > 0))
     label = F.reduce("texts", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    raw = F.element_at("filled", -1)
+    raw = F.try_element_at("filled", F.lit(-1))
     value, percent = nb.parse_number(F.col("raw_value"))
     out = row.select("table_id", "row_index", "section_no", "section", "region", "region_header", label.alias("metric"), raw.alias("raw_value"))
     return out.withColumn("metric_short", nb.short_label(F.col("metric"))).withColumn("metric_key", nb.metric_key(F.col("metric"))).withColumn("value", value).withColumn("is_percent", percent).filter("value IS NOT NULL")

@@ -19,7 +19,7 @@ def chunk(pages: DataFrame, text: str = "text", separator: str = r"\n\s*\n", mos
     A flushed chunk of over 30 words hands its last words to the next. A page is folded in one expression, so
     that pages are independent and nothing is shuffled.
     """
-    paragraphs = F.filter(F.transform(F.split(F.col(text), separator), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.col(text), separator), lambda p: F.trim(p)), lambda p: p != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(a, p):
@@ -90,7 +90,7 @@ def totals(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def heading(text: Column) -> Column:
     """The first of 12 lines with 3 to 140 characters that is no number."""
-    lines = F.slice(F.transform(F.split(text, "\n"), F.trim), 1, 12)
+    lines = F.slice(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), 1, 12)
     return F.get(F.filter(lines, lambda x: F.length(x).between(3, 140) & ~x.rlike("^[0-9]+$")), F.lit(0))
 
 

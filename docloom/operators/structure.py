@@ -34,11 +34,11 @@ def hierarchy_points(leaves: DataFrame) -> DataFrame:
     n = F.size("path")
     return both.select(
         F.concat("document_id", F.lit("::hier::"), "node_type", F.lit("::"), text).alias("id"),
-        "document_id", "node_type", F.col("path").alias("hierarchy_path"), text.alias("hierarchy_path_text"), F.element_at("path", -1).alias("node_key"), "node_value",
+        "document_id", "node_type", F.col("path").alias("hierarchy_path"), text.alias("hierarchy_path_text"), F.try_element_at("path", F.lit(-1)).alias("node_key"), "node_value",
         nb.value_type(F.col("node_value"), F.col("node_type") == "leaf").alias("value_type"), F.col("path")[0].alias("root_section"),
         F.when(n > 1, F.try_element_at("path", F.lit(-2))).alias("parent_key"),
         F.when((F.col("node_type") == "leaf") & (n >= 3), F.try_element_at("path", F.lit(-2))).alias("row_entity"),
-        F.when((F.col("node_type") == "leaf") & (n >= 2), F.element_at("path", -1)).alias("column_attribute"), n.alias("depth"),
+        F.when((F.col("node_type") == "leaf") & (n >= 2), F.try_element_at("path", F.lit(-1))).alias("column_attribute"), n.alias("depth"),
     )
 
 
