@@ -72,15 +72,17 @@ def chunks(batches: Iterable[pa.RecordBatch], max_chars: int = 4_000_000, column
     held: list[list] = [[] for _ in columns]
     at, size = columns.index("text"), 0
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-        for row in zip(*cols, strict=True):
-            n = len(row[at] or "")
-            if size and size + n > max_chars:
-                yield tuple(held)
-                held, size = [[] for _ in columns], 0
-            for c, v in zip(held, row, strict=True):
-                c.append(v)
-            size += n
+        for begin in range(0, batch.num_rows, 256):  # a few rows at a time become Python strings
+            part = batch.slice(begin, 256)
+            cols = [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+            for row in zip(*cols, strict=True):
+                n = len(row[at] or "")
+                if size and size + n > max_chars:
+                    yield tuple(held)
+                    held, size = [[] for _ in columns], 0
+                for c, v in zip(held, row, strict=True):
+                    c.append(v)
+                size += n
     if held[0]:
         yield tuple(held)
 

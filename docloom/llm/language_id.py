@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import wordgrams
 from docloom.llm.common import bucket_of, chunks
-from docloom.llm.sampling import labelled_sample
+from docloom.llm.sampling import sampled
 
 UNKNOWN = "und"
 RUN = 64
@@ -215,7 +215,8 @@ def predict(chain: Chain | None, texts: list[str | None]) -> list[tuple[str, flo
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Chain | None:
     """The chain from text and non-null lang of documents that are not held out, per_language rows of each language at most."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
-    return train(labelled_sample(rows, "lang", per_language))
+    found = sampled(rows.filter("text <> ''"), "lang", per_language).orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").select("text", "lang")
+    return train([(r["text"], r["lang"]) for r in found.collect()])
 
 
 def languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame:

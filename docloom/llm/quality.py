@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import wordgrams
 from docloom.llm.common import bucket_of, chunks
-from docloom.llm.sampling import labelled_sample
+from docloom.llm.sampling import labelled_texts
 
 TABLE, DIM = 1 << 17, 8
 #: Training: rows of each class, words of a row, passes.
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     """The model from labelled documents that are not held out, per_class rows of each class at most."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IS NOT NULL").distinct()
     known = known.filter(bucket_of(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
-    return train(labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), "quality", per_class))
+    return train(labelled_texts(docs, known, "quality", per_class))
 
 
 def qualities(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:

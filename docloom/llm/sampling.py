@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
-    """Up to per_label (text, label) of each label, by the hash of the id; a pure function of the rows.
+def sampled(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """Of each label the rows whose id hashes below a bound, about per_label of them (some standard deviations more at most).
 
-    The ranking keeps per_label rows of a label in each task before it shuffles, and holds no texts.
+    One count by label fixes the bounds, so that nothing is sorted and no label is gathered in a task. The
+    same rows are chosen wherever they lie.
     """
-    h = F.xxhash64(F.lit(5), "doc_id")
-    ranked = rows.select("doc_id", label).withColumn("__h", h).withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy("__h", "doc_id")))
-    chosen = ranked.filter(F.col("__n") <= per_label).select("doc_id", label, "__h").distinct()
-    # at most per_label ids for each label
-    found = rows.select("doc_id", label, "text").join(F.broadcast(chosen), ["doc_id", label]).orderBy("__h", "doc_id", "text").select("text", label).collect()
-    return [(r[0], r[1]) for r in found]
+    counts = rows.groupBy(label).count().collect()  # one row a label
+    h = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
+    bound = F.lit(None).cast("long")
+    for r in counts:
+        if r[label] is not None:
+            bound = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1 << 40, (1 << 40) * per_label // r["count"]))).otherwise(bound)
+    return rows.filter(h < bound)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> list[tuple[str, object]]:
+    """(text, label) of a sample of labels (doc_id, label) that have a document; the texts are scanned, not shuffled."""
+    chosen = F.broadcast(sampled(labels, label, per_label).distinct())  # about per_label rows a label
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", label)
+    return [(r["text"], r[label]) for r in found.select("text", label).collect()]

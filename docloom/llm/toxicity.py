@@ -9,6 +9,8 @@ the highest, is the severity.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm import wordgrams
 from docloom.llm.common import bucket_of, chunks
-from docloom.llm.sampling import labelled_sample
+from docloom.llm.sampling import labelled_texts
 
 #: Training: rows of each grade, words of a row, dictionary words and the rows that each needs, passes.
-PER_GRADE, ROW_WORDS, DICTIONARY, MIN_ROWS, EPOCHS = 3000, 4096, 60_000, 5, 200
+PER_GRADE, ROW_WORDS, DICTIONARY, MIN_ROWS, EPOCHS = 2500, 4096, 60_000, 5, 400
 PREFIXES = (5, 6, 7)
 LEVELS = ((1, ""), (2, " 2"), (4, " 4"))
 HELD_OUT = (5, 0)
@@ -65,18 +67,35 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, penalty: flo
     grades = sorted({g for _, g in rows})
     if not grades:
         return None
-    bags = [_features(" ".join(w for run in wordgrams.spaced((t or "").split(), ROW_WORDS) for w in run)) for t, _ in rows]
-    counts = Counter(w for bag in bags for w in bag)
-    chosen = sorted((w for w, n in counts.items() if n >= MIN_ROWS), key=lambda w: (-counts[w], w))[:DICTIONARY]
-    dictionary = {w: i for i, w in enumerate(chosen)}
-    row = np.array([r for r, bag in enumerate(bags) for w in bag if w in dictionary], np.int64)
-    col = np.array([dictionary[w] for bag in bags for w in bag if w in dictionary], np.int64)
+    def features(text: str | None) -> set[str]:
+        return _features(" ".join(w for run in wordgrams.spaced((text or "").split(), ROW_WORDS) for w in run))
+
+    # most features are rare: a table of counts by hash tells which may reach MIN_ROWS, and only these are held
+    counts = np.zeros(1 << 21, np.int32)
+    for text, _ in rows:
+        own = np.fromiter((zlib.crc32(f.encode()) for f in features(text)), np.uint32) & np.uint32(len(counts) - 1)
+        counts[np.unique(own)] += 1
+    seen: dict[str, int] = {}
+    row, col = array("i"), array("i")
+    for r, (text, _) in enumerate(rows):
+        for f in sorted(features(text)):
+            if counts[zlib.crc32(f.encode()) & (len(counts) - 1)] >= MIN_ROWS:
+                row.append(r)
+                col.append(seen.setdefault(f, len(seen)))
+    row, col = np.array(row, np.int64), np.array(col, np.int64)
+    held = np.bincount(col, minlength=len(seen))
+    names = list(seen)
+    chosen = sorted((i for i in range(len(names)) if held[i] >= MIN_ROWS), key=lambda i: (-held[i], names[i]))[:DICTIONARY]
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    dictionary = {names[i]: j for j, i in enumerate(chosen)}
+    row, col = (row[place[col] >= 0], place[col][place[col] >= 0]) if len(col) else (row, col)
     y, n, k = np.array([grades.index(g) for _, g in rows]), len(rows), len(grades)
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / n
     w, thresholds = np.zeros(len(chosen)), np.log(share / (1 - share))
     # each grade weighs as much as any other
     weight = (n / k / np.bincount(y, minlength=k))[y]
-    squares, high = [np.full(len(w), 1e-8), np.full(k - 1, 1e-8)], np.append(thresholds, np.inf)
+    squares, high = [np.full(len(w), 5e-5), np.full(k - 1, 1e-6)], np.append(thresholds, np.inf)
     for _ in range(epochs if k > 1 else 0):
         score = np.bincount(row, w[col], n)
         high, low = np.append(thresholds, np.inf), np.append(-np.inf, thresholds)
@@ -98,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_grade: int
     """The model from labelled documents that are not held out, per_grade rows of each grade at most."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("grade")).filter("grade IS NOT NULL").distinct()
     known = known.filter(bucket_of(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
-    return train(labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), "grade", per_grade))
+    return train(labelled_texts(docs, known, "grade", per_grade))
 
 
 def severities(docs: DataFrame, labels: DataFrame, label: str = "toxic", model: Model | None = None) -> DataFrame:
