@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of RUN consecutive sentences with enough words is hashed to 128 bits; runs are joined globally by
-their hash, the first place (by doc_id, then position) keeps its text, and every sentence that another
+Every sentence begins a run: RUN consecutive sentences, and more until they have MIN_WORDS words. Runs are
+hashed to 128 bits and joined globally by their hash; the first place (by doc_id, then position) keeps its text, and every sentence that another
 place of a repeated run covers is removed. A sentence longer than PIECE words counts as several.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ASCII_LOWER, chunks, sha256_hex, write_shared
 
-#: Sentences of a run, words it needs, and words after which a sentence is cut.
+#: Sentences of a run at least, words at least, and words after which a sentence is cut.
 RUN, MIN_WORDS, PIECE = 2, 12, 25
 _end = re.compile(r"[.!?]+(?=\s)|\n+")
 _word = re.compile(r"\S+")
@@ -46,13 +46,25 @@ def sentences(text: str | None, piece: int = PIECE) -> list[tuple[int, int, int]
     return out
 
 
+def run_ends(found: list[tuple[int, int, int]], run: int = RUN, min_words: int = MIN_WORDS) -> list[int]:
+    """For each sentence that begins a run, the place after its last: `run` sentences, and more until they have min_words words."""
+    out, end, words = [], 0, 0
+    for i in range(len(found)):
+        while end < len(found) and (end - i < run or words < min_words):
+            words += found[end][2]
+            end += 1
+        if end - i < run or words < min_words:
+            break
+        out.append(end)
+        words -= found[i][2]
+    return out
+
+
 def runs(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, piece: int = PIECE) -> list[tuple[int, bytes]]:
-    """(place, hash) of every run of `run` sentences with min_words words; blanks and the case of A-Z don't matter."""
+    """(place, hash) of the run that each sentence begins; blanks and the case of A-Z don't matter."""
     found = sentences(text, piece)
-    if len(found) < run:
-        return []
     norm = [" ".join(text[a:b].split()).translate(ASCII_LOWER) for a, b, _ in found]
-    return [(i, xxhash.xxh3_128_digest("\n".join(norm[i : i + run]).encode("utf-8", "surrogatepass"))) for i in range(len(found) - run + 1) if sum(n for *_, n in found[i : i + run]) >= min_words]
+    return [(i, xxhash.xxh3_128_digest("\n".join(norm[i:end]).encode("utf-8", "surrogatepass"))) for i, end in enumerate(run_ends(found, run, min_words))]
 
 
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, piece: int = PIECE) -> DataFrame:
@@ -92,7 +104,8 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, piece: in
             rows = []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = sentences(text, piece)
-                gone = sorted({j for p in own or () for j in range(p, min(p + run, len(found)))})
+                ends = run_ends(found, run, min_words) if own else []
+                gone = sorted({j for p in own or () for j in range(p, ends[p])})
                 out = set(gone)
                 kept = text if not gone else "".join(text[a:b] for j, (a, b, _) in enumerate(found) if j not in out)
                 rows.append((len(found), len(gone), ",".join(f"{found[j][0]}:{found[j][1]}" for j in gone), sha256_hex(kept or ""), kept))
