@@ -4,13 +4,14 @@
    sets become one class, and only its representative goes on.
 2. Routing: two sets with Jaccard >= 3/4 share one of the first n // 4 + 1 shingles of each in any common
    order. Shingles that are frequent within a task come last in the order, so that lists stay short; the
-   order changes the work, never the result. Each shared shingle gives a list; equal lists count once.
-3. Probes: members of a list are verified against one member, for two or three choices of it. Copies of
-   one text fall into one component so, in linear work.
-4. Dual traversal: a list that still spans several components becomes a signature tree. Its nodes hold the
-   OR of the bitmaps, size ranges and the common component. Node pairs are dropped by size, by the
+   order changes the work, never the result. Each shared shingle gives a list of sets; the lists with one
+   smallest member, the pivot, make one tree.
+3. Probes: members of a tree are verified against its pivot, then against a random member of another
+   component. Copies of one text fall into one component so, in linear work.
+4. Dual traversal: a signature tree that still spans several components is traversed with itself. Its nodes
+   hold the OR of the bitmaps, size ranges and the common component. Node pairs are dropped by size, by the
    maximum possible overlap, or when they are one component; pairs that are left are verified.
-   A long list is dealt out as pairs of bounded blocks, by size class.
+   A large tree is dealt out as pairs of bounded blocks, by size class.
 5. Connected components of the verified links.
 
 Verification compares the whole sets, rebuilt from the texts.
@@ -23,8 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import chunks, write_shared
@@ -32,57 +34,91 @@ from docloom.llm.graph import components
 
 SHINGLE = 5
 BITS = 1024
-#: Members of a list that one task may hold for a dual traversal.
+#: Members of a tree that one task may hold for a dual traversal.
 BLOCK = 1024
 FANOUT = 8
+#: Trees of so many members are compared pair by pair first, by size alone.
+SMALL = 48
+#: Rounds of probes with a member of each tree that still spans several components.
+PROBES = 1
 #: A shingle with this many documents in one chunk of text may be sent to the end of the order; at most ORDER_ROWS are.
-FREQUENT, FREQUENT_CHARS, ORDER_ROWS = 6, 16_000_000, 100_000
+FREQUENT, FREQUENT_CHARS, ORDER_ROWS = 6, 10_000_000, 100_000
+#: Characters that are hashed at once.
+PART_CHARS = 1_000_000
 #: Ids that may be broadcast to pick the texts to verify; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+#: 64-bit constants of the hashes: one for each byte (A-Z as a-z), and odd multipliers.
+_random = np.random.Generator(np.random.PCG64(20240229))
+_BYTE = _random.integers(1, 1 << 63, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_ODD = _random.integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD[6]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[7]
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word [^\\x20\\x09-\\x0D]+ in turn, with A-Z as a-z; how many words each text has)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    word = ~_BLANK[data]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.append(0, np.cumsum([len(r) + 1 for r in raw]))
+    counts = np.diff(np.searchsorted(starts, offsets))
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    size = ends - starts
+    place = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(int(size.max()) - 1, _ODD[5])))
+    values = _BYTE[data[word]] * power[place]
+    return _mixed(np.add.reduceat(values, np.cumsum(size) - size) + size.astype(np.uint64)), counts
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: all its words where there are fewer than five, none for no words."""
-    seen: dict[bytes, int] = {}
-    flat: list[int] = []
-    ends, short = [], {}
-    for i, text in enumerate(texts):
-        words = _words(text)
-        if 0 < len(words) < SHINGLE:
-            short[i] = np.array([xxhash.xxh64_intdigest(b"\0".join(words), seed=len(words))], np.uint64)
-        elif words:
-            flat += [seen.setdefault(w, len(seen)) for w in words]
-        ends.append(len(flat))
+    word, counts = _word_hashes(texts)
     none = np.zeros(0, np.uint64)
-    if not flat:
-        return [short.get(i, none) for i in range(len(texts))]
-    word = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))[np.array(flat)]
-    h = np.zeros(len(word) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = (h ^ (h >> np.uint64(29))) * _ODD[4] + word[k : k + len(h)] * _ODD[k]
-    h ^= h >> np.uint64(32)
-    h *= _ODD[3]
-    h ^= h >> np.uint64(29)
+    h = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE if len(h) else 0):
+        h += word[k : k + len(h)] * _ODD[k]
+    h = _mixed(h)
     out, begin = [], 0
-    for i, end in enumerate(ends):
-        out.append(short[i] if i in short else np.unique(h[begin : end - SHINGLE + 1]) if end > begin else none)
-        begin = end
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            out.append(np.unique(h[begin : begin + n - SHINGLE + 1]))
+        elif n:
+            out.append(_mixed((word[begin : begin + n] * _ODD[:n]).sum(keepdims=True) + np.uint64(n)))
+        else:
+            out.append(none)
+        begin += n
     return out
 
 
+def _parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[slice]:
+    """Slices of about `most` characters; a longer text is one of its own."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > most:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Frequent shingles, rarest first; a bounded array."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (texts,) in chunks(batches, FREQUENT_CHARS, ("text",)):
-            found = [s for at in range(0, len(texts), 2000) for s in shingle_sets(texts[at : at + 2000])]
+            found = [s for part in _parts(texts) for s in shingle_sets(texts[part])]
             if found:
                 token, n = np.unique(np.concatenate(found), return_counts=True)
                 keep = n >= FREQUENT
@@ -104,6 +140,25 @@ def _ordered(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.n
     return tokens[:n]
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Bits of the set by the low bits of its hashes: 4 to 8 a shingle, a power of two, BITS at least."""
+    size = max(BITS, 1 << max(0, 4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of different lengths as rows of `size` bytes, the shortest length among them."""
+    rows = []
+    for b in bitmaps:
+        row = np.frombuffer(b, np.uint8)
+        while len(row) > size:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows.append(row)
+    return np.stack(rows).view(np.uint64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, bits and prefix of every document, as a shared table."""
     order = _frequent(docs)
@@ -113,16 +168,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = table.value
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, PART_CHARS):
             sets = shingle_sets(texts)
-            bits = np.zeros((len(sets), BITS), np.uint8)
-            for row, s in zip(bits, sets, strict=True):
-                row[(s >> np.uint64(54)).astype(np.int64)] = 1
-            packed = np.packbits(bits, axis=1)
             prefix = [_ordered(s, frequent, rank).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             offsets = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))],
                 ["doc_id", "n_shingles", "digest", "bits", "prefix"],
             )
 
@@ -194,10 +245,15 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            both = [batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b")]
+            sizes = np.maximum(pa.compute.binary_length(both[0]).to_numpy(zero_copy_only=False), pa.compute.binary_length(both[1]).to_numpy(zero_copy_only=False))
+            turn = np.append(0, np.flatnonzero(np.diff(np.cumsum(sizes) // (PART_CHARS // 2))) + 1)
+            for at, end in zip(turn, np.append(turn[1:], batch.num_rows), strict=True):
+                part = batch.slice(int(at), int(end - at))
+                if not part.num_rows:
+                    continue
                 a, b, ta, tb = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                held = {i: s for i, s in held.items() if i == a[0]}
+                held = {i: s for i, s in held.items() if i in a[:1]}
                 need = {i: t for i, t in zip(a + b, ta + tb, strict=True) if i not in held}
                 held |= dict(zip(need, shingle_sets(list(need.values())), strict=True))
                 links = []
@@ -211,34 +267,63 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and bitmaps leave."""
-    one = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    near = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(one("b"), "b").filter("3 * n_a <= 4 * n_b AND 3 * n_b <= 4 * n_a")
+    """Pairs (a, b) that sizes leave, and then bitmaps; bitmaps are joined to the former alone."""
+    sizes = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
+    bits = lambda c: sets.select(F.col("rep").alias(c), F.col("bits").alias(f"bits_{c}"))
+    near = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter("3 * n_a <= 4 * n_b AND 3 * n_b <= 4 * n_a")
+    near = write_shared(near, "near").join(bits("a"), "a").join(bits("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("a", "b", "n_a", "n_b"))
-            ba, bb = (_bits(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("bits_a", "bits_b"))
-            loss = [n - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for n, x in ((na, ba), (nb, bb))]
-            ok = _can_link((na, na), (nb, nb), ba, bb, *loss)
+            every = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bits_a", "bits_b")]
+            size, ok = np.array([min(len(x), len(y)) for x, y in zip(*every, strict=True)], np.int64), np.zeros(len(a), bool)
+            for width in np.unique(size):
+                own = np.flatnonzero(size == width)
+                ba, bb = (folded([col[i] for i in own], int(width)) for col in every)
+                loss = [n[own] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for n, x in ((na, ba), (nb, bb))]
+                ok[own] = _can_link((na[own], na[own]), (nb[own], nb[own]), ba, bb, *loss)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return near.mapInArrow(check, "a long, b long")
 
 
-def _bits(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, BITS // 64)
-
+def tree_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of sets of different components that may link, by trees over neighbouring size classes.
 
-def _traverse(members: DataFrame, block: int) -> DataFrame:
-    """Candidates (a, b) from members (list, rep, n, bits, label): signature trees of lists, or of pairs of their blocks."""
+    Bitmaps grow with the sets, so that classes keep them alike in length. Linked sets are in one class or in
+    neighbouring ones; a pair within a class may be given twice.
+    """
+    if len(sizes) <= SMALL:
+        i, j = np.triu_indices(len(sizes), 1)
+        near = (labels[i] != labels[j]) & (3 * sizes[i] <= 4 * sizes[j]) & (3 * sizes[j] <= 4 * sizes[i])
+        if not near.any():
+            return
+    group = np.floor(np.log(sizes) / math.log(4 / 3)).astype(np.int64)
+    for g in np.unique(group):
+        own = np.flatnonzero((group == g) | (group == g + 1))
+        if len(own) > 1 and (labels[own] != labels[own[0]]).any():
+            width = min(len(bitmaps[i]) for i in own)
+            for i, j in Tree(sizes[own], folded([bitmaps[i] for i in own], width), labels[own]).pairs():
+                yield own[i], own[j]
+
+
+def _traverse(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Candidates (a, b) from members (pivot, rep, n, label): signature trees of pivots, or of pairs of their blocks.
+
+    A member whose size class and the neighbouring ones hold its own component alone can't link in the tree.
+    """
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
     members = members.withColumn("g", size_class)
-    counts = members.groupBy("list", "g").count()
-    plan = counts.groupBy("list").agg(F.sum("count").alias("size"), F.map_from_entries(F.collect_list(F.struct("g", F.ceil(F.col("count") / block).cast("int")))).alias("k"))
-    dealt = members.join(plan, "list")
-    sub = F.pmod(F.xxhash64("rep"), F.col("k")[F.col("g")]).cast("int")
-    dealt = dealt.withColumn("s", sub)
+    counts = members.groupBy("pivot", "g").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high"))
+    entry = F.struct("g", F.struct(F.ceil(F.col("count") / block).cast("int").alias("k"), "low", "high", "count"))
+    plan = counts.groupBy("pivot").agg(F.sum("count").alias("size"), F.map_from_entries(F.collect_list(entry)).alias("m"))
+    near = members.join(plan, "pivot")
+    for d, name in ((-1, "below"), (0, "own"), (1, "above")):
+        near = near.withColumn(name, F.element_at("m", F.col("g") + d))
+    other = lambda side: F.coalesce((F.col(f"{side}.low") != F.col("label")) | (F.col(f"{side}.high") != F.col("label")), F.lit(False))
+    near = near.filter(other("below") | other("own") | other("above")).select("pivot", "rep", "n", "label", "g", "size", F.transform_values("m", lambda _, v: v["k"]).alias("k"))
+    dealt = near.join(sets.select("rep", "bits"), "rep").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("k")[F.col("g")]).cast("int"))
 
     def keys(other: str, mine_first: bool):
         """Keys of this row's block with each block of another size class."""
@@ -246,10 +331,10 @@ def _traverse(members: DataFrame, block: int) -> DataFrame:
         pick = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         own, g = F.col("s"), F.col("g")
         if other == "g":
-            return F.transform(pick, lambda t: F.xxhash64("list", g, F.least(own, t), g, F.greatest(own, t)))
-        return F.transform(pick, lambda t: F.xxhash64("list", g, own, F.expr(other), t) if mine_first else F.xxhash64("list", F.expr(other), t, g, own))
+            return F.transform(pick, lambda t: F.xxhash64("pivot", g, F.least(own, t), g, F.greatest(own, t)))
+        return F.transform(pick, lambda t: F.xxhash64("pivot", g, own, F.expr(other), t) if mine_first else F.xxhash64("pivot", F.expr(other), t, g, own))
 
-    tree = F.when(F.col("size") <= block, F.array(F.xxhash64("list"))).otherwise(F.concat(keys("g", True), keys("g + 1", True), keys("g - 1", False)))
+    tree = F.when(F.col("size") <= block, F.array(F.xxhash64("pivot"))).otherwise(F.concat(keys("g", True), keys("g + 1", True), keys("g - 1", False)))
     rows = dealt.select(F.explode(tree).alias("tree"), "rep", "n", "label", "bits")
     rows = rows.repartition("tree").sortWithinPartitions("tree")
 
@@ -258,11 +343,11 @@ def _traverse(members: DataFrame, block: int) -> DataFrame:
 
         def trees(table: pa.Table) -> Iterator[pa.RecordBatch]:
             tree, rep, n, label = (table.column(c).to_numpy() for c in ("tree", "rep", "n", "label"))
-            bits = _bits(table.column("bits").to_pylist())
+            bits = table.column("bits").to_pylist()
             cuts = np.append(np.flatnonzero(np.append(True, tree[1:] != tree[:-1])), len(tree))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
-                    for i, j in Tree(n[lo:hi], bits[lo:hi], label[lo:hi]).pairs():
+                    for i, j in tree_pairs(n[lo:hi], bits[lo:hi], label[lo:hi]):
                         x, y = rep[lo:hi][i], rep[lo:hi][j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -294,24 +379,28 @@ def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     sig, id_type = signatures(docs)
     classes = write_shared(sig.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.filter("n_shingles > 0").join(classes.filter("rep IS NOT NULL"), [sig.digest == classes.digest, sig.doc_id == classes.rep]).select("rep", F.col("n_shingles").alias("n"), "bits", "prefix")
-    routed = reps.dropDuplicates(["rep"]).select(F.explode("prefix").alias("token"), "rep")
-    # a token has each representative once, so that no token holds more than one row of a document
-    by_token = routed.repartition("token")
-    lists = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(7), "rep"), F.lit(1 << 40))).alias("y")).filter("c > 1")
-    lists = write_shared(lists.groupBy("c", "pivot", "x", "y").agg(F.min("token").alias("list")), "lists")
-    members = write_shared(routed.join(lists.select(F.col("list").alias("token"), "pivot"), "token").select(F.col("token").alias("list"), "pivot", "rep"), "members")
-    sets = sig.join(classes, [sig.digest == classes.digest, sig.doc_id == classes.rep], "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["rep"])
-
-    links = _verify(docs, _may_link(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets))
-    for probe in range(2):
-        labels = components(links)
-        spread = _spread(members, labels)
-        pivot = spread.groupBy("list").agg(F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(probe), "list", "rep")).alias("p"))
-        pairs = spread.join(pivot, "list").filter("label <> p.label").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    class_of = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
+    class_of = write_shared(class_of, "class-of")
+    # a list holds a document once, so that no list has more rows than there are documents
+    routed = sig.filter("doc_id IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
+    w = Window.partitionBy("token")
+    lists = routed.select("doc", F.min("doc").over(w).alias("first"), F.max("doc").over(w).alias("last")).filter("first <> last").select("first", "doc").distinct()
+    # copies give way to their representative; the lists of one smallest member are one tree
+    reps = lists.join(class_of.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("first", "rep").distinct()
+    members = reps.join(class_of.select(F.col("doc_id").alias("first"), F.col("rep").alias("pivot")), "first").select("pivot", "rep").distinct()
+    members = write_shared(members, "routes")
+    chosen = members.select("rep").union(members.select("pivot")).distinct()
+    sets = write_shared(sig.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").join(chosen, "rep", "left_semi").dropDuplicates(["rep"]), "sets", "lz4")
+    members = write_shared(members.join(sets.select("rep", "n"), "rep"), "members")
+
+    links = _verify(docs, _may_link(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets))
+    for probe in range(PROBES):
+        spread = _spread(members, components(links))
+        chosen = spread.groupBy("pivot").agg(F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(probe), "pivot", "rep")).alias("p"))
+        pairs = spread.join(chosen, "pivot").filter("label <> p.label").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
         links = write_shared(links.unionByName(_verify(docs, _may_link(pairs, sets))), "links")
     spread = _spread(members, components(links))
-    found = _verify(docs, _traverse(spread.join(sets, "rep"), block))
+    found = _verify(docs, _traverse(spread, sets, block))
     labels = components(links.unionByName(found))
 
     by_class = classes.join(labels, classes.rep == labels.id, "left").select("digest", F.coalesce("label", "rep").alias("component"))
@@ -320,10 +409,10 @@ def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _spread(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (list, rep, label) of the lists that span several components, as a shared table."""
-    labelled = members.select("list", "rep").join(labels, members.rep == labels.id, "left").select("list", "rep", F.coalesce("label", "rep").alias("label"))
-    several = labelled.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
-    return write_shared(labelled.join(several, "list", "left_semi"), "spread")
+    """Members (pivot, rep, n, label) of the trees that span several components, as a shared table."""
+    labelled = members.join(labels, members.rep == labels.id, "left").select("pivot", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    several = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("pivot")
+    return write_shared(labelled.join(several, "pivot", "left_semi"), "spread")
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
