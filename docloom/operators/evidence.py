@@ -81,10 +81,13 @@ def topic_counts(entries: DataFrame, topics: dict[str, list[str]], title: str =
 
 def nearest_word(token_column: Column, anchor: str, words: list[str], reach: int = 5) -> Column:
     """Of `words` the one nearest to the anchor, within 5 tokens; after it comes before before it."""
-    at = F.array_position(token_column, anchor)
-    placed = F.transform(token_column, lambda t, i: F.struct(F.abs(i + 1 - at).alias("far"), F.when(i + 1 < at, 1).otherwise(0).alias("before"), t.alias("word")))
-    near = F.filter(placed, lambda s: s["word"].isin(words) & (s["far"] <= reach) & (s["far"] > 0))
-    return F.when(at > 0, F.array_min(near)["word"])
+    at = F.array_position(token_column, anchor).cast("int")
+    start = F.greatest(at - reach, F.lit(1))
+    around = F.when(at > 0, F.slice(token_column, start, F.lit(2 * reach + 1)))
+    placed = F.transform(around, lambda t, i: F.struct((i + start - at).alias("far"), t.alias("word")))
+    near = F.filter(placed, lambda s: s["word"].isin(words) & (F.abs(s["far"]) <= reach) & (s["far"] != 0))
+    keyed = F.transform(near, lambda s: F.struct(F.abs(s["far"]).alias("far"), (s["far"] < 0).cast("int").alias("before"), s["word"].alias("word")))
+    return F.array_min(keyed)["word"]
 
 
 def highlight(text: str, phrases: list[str], spans: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
