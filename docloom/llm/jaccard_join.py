@@ -394,6 +394,7 @@ def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     members = write_shared(members.join(sets.select("rep", "n"), "rep"), "members")
 
     links = _verify(docs, _may_link(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets))
+    members = members.filter("rep <> pivot")  # every member has met its pivot
     for probe in range(PROBES):
         spread = _spread(members, components(links))
         chosen = spread.groupBy("pivot").agg(F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(probe), "pivot", "rep")).alias("p"))
