@@ -103,8 +103,8 @@ def section_scope(records: DataFrame, query: list[str], least: float = 1.0, marg
     words = records.select("section_no", "section").distinct().select("section_no", "section", F.explode(F.array_distinct(tokens(F.col("section")))).alias("w")).filter(F.col("w").isin(query))
     scored = words.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("w"))).groupBy("section_no", "section").agg(F.sum(1.0 / F.col("df")).alias("_s"))
     out = records.join(F.broadcast(scored), ["section_no", "section"], "left").fillna(0.0, ["_s"])
-    top = F.max("_s").over(Window.partitionBy(F.lit(1)))
-    return out.withColumn("_top", top).filter((F.col("_top") < least) | (F.col("_s") >= F.col("_top") - margin)).drop("_s", "_top")
+    top = scored.agg(F.coalesce(F.max("_s"), F.lit(0.0)).alias("_top"))  # one row
+    return out.crossJoin(F.broadcast(top)).filter((F.col("_top") < least) | (F.col("_s") >= F.col("_top") - margin)).drop("_s", "_top")
 
 
 def records_from_cells(cells: DataFrame) -> DataFrame:

@@ -75,12 +75,12 @@ def dense_variants(df: DataFrame, queries: list[tuple[list[float], float]], vect
 
 
 def sparse(df: DataFrame, query: str, text: str = "text", id_column: str = "id", k: int = TOP_K) -> DataFrame:
-    """The k best rows that share a token, by the dot product of sublinear weights."""
+    """The k best rows that share a token, by the dot product of sublinear weights, to 4 places."""
     weights = tk.query_weights(query)
     toks = tk.tokens(F.col(text))
     df = df.withColumn("toks", F.filter(toks, lambda t: t.isin(list(weights))))
     parts = [F.when((n := tk.tf(F.col("toks"), t)) > 0, tk.sublinear(n) * w).otherwise(0.0) for t, w in weights.items()]
-    return top_k(df.filter(F.size("toks") > 0).withColumn("score", reduce(Column.__add__, parts)).drop("toks"), "score", id_column, k)
+    return top_k(df.filter(F.size("toks") > 0).withColumn("score", F.round(reduce(Column.__add__, parts), 4)).drop("toks"), "score", id_column, k)
 
 
 def corpus_stats(df: DataFrame, text: str = "text") -> DataFrame:

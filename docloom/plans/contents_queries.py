@@ -55,15 +55,14 @@ def page_lookup(spark, sf_dir):
     return questions.join(rows, F.col("page") == F.col("page_id"), "left").select("page", "url", F.col("page_id").isNotNull().alias("found"))
 
 
-@query("""SELECT p_type, string_agg(p_name, '; ' ORDER BY p_partkey) AS titles FROM part WHERE p_size <= 5 GROUP BY 1""")
+@query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_type = 'PROMO'""")
 def articles_by_section(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_size <= 5").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
-    return rows.select("p_type", F.array_join(F.transform("x", lambda t: t["p_name"]), "; ").alias("titles"))
+    return table(spark, sf_dir, "part").filter(F.col("p_type") == "PROMO").select("p_partkey", "p_name", "p_size")
 
 
-@query(r"""SELECT p_partkey, hits FROM (SELECT p_partkey, (contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'small')::INT + CASE WHEN list_contains(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_\x{0900}-\x{097F}]+'), 'hot') THEN 2 ELSE 0 END) AS hits FROM part) WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 200""")
+@query(r"""SELECT p_partkey, hits FROM (SELECT p_partkey, (contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'small')::INT + CASE WHEN list_contains(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_\x{0900}-\x{097F}]+'), 'hot') THEN 2 ELSE 0 END) AS hits FROM part) WHERE hits > 0""")
 def topic_hits(spark, sf_dir):
-    return contents.topic_hits(table(spark, sf_dir, "part"), "p_name", ["widget", "small", "hot"], "p_partkey").limit(200).select("p_partkey", "hits")
+    return contents.topic_hits(table(spark, sf_dir, "part"), "p_name", ["widget", "small", "hot"], "p_partkey").select("p_partkey", "hits")
 
 
 @query("""SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1""")

@@ -39,15 +39,11 @@ def text_repair(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", script.repair(F.col("text")).alias("text"))
 
 
-@query("""SELECT o_orderkey, period, y, m, d, row_number() OVER (ORDER BY y, m, d, o_orderkey) AS nth FROM (
-  SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS period, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d FROM orders) ORDER BY y, m, d, o_orderkey LIMIT 500""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS period, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d FROM orders""")
 def period_key(spark, sf_dir):
     text = F.concat(F.lit("report_"), F.date_format("o_orderdate", "d.M.yyyy"), F.lit(".docx"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", nb.report_period(text, F.lit(""), F.lit("")).alias("period"))
-    rows = rows.withColumn("k", nb.period_key(F.col("period"))).orderBy("k.y", "k.m", "k.d", "o_orderkey").limit(500)
-    from pyspark.sql import Window
-
-    return rows.select("o_orderkey", "period", "k.y", "k.m", "k.d", F.row_number().over(Window.orderBy("k.y", "k.m", "k.d", "o_orderkey")).cast("long").alias("nth"))
+    return rows.withColumn("k", nb.period_key(F.col("period"))).select("o_orderkey", "period", "k.y", "k.m", "k.d")
 
 
 def _votes(words: list[str]) -> str:
