@@ -12,8 +12,14 @@ from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, m
 from docloom.llm.common import read_table, write_shared
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole rows go through Arrow here, and their texts are long: fewer rows a batch bound the memory of a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
+    _small_batches(spark)
     return language_id.recognised_rows(docs)
 
 
@@ -29,6 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark windows."""
+    _small_batches(spark)
     return decontaminate.clean_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 

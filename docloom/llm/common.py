@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z only, in str.translate.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/docloom"
+#: Rows of an Arrow batch while a shared table is written: texts are long, and batches are held on both sides.
+BATCH_ROWS, _BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list = []
 
 
@@ -25,10 +27,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a default where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        spark.conf.set("spark.checkpoint.dir", base := DEFAULT_SHARED_DIR)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
 
 
 def write_shared(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -38,7 +37,12 @@ def write_shared(df: DataFrame, name: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    rows = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, rows)
     if not _written:
         atexit.register(drop_shared, spark)
     _written.append(path)
@@ -67,7 +71,7 @@ def bucket_of(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def chunks(batches: Iterable[pa.RecordBatch], max_chars: int = 4_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> Iterator[tuple[list, ...]]:
+def chunks(batches: Iterable[pa.RecordBatch], max_chars: int = 1_000_000, columns: tuple[str, ...] = ("doc_id", "text")) -> Iterator[tuple[list, ...]]:
     """Lists of ids and whole texts (null: None), cut so that a chunk has about max_chars; a longer text is a chunk of its own."""
     held: list[list] = [[] for _ in columns]
     at, size = columns.index("text"), 0

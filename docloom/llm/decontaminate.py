@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 from docloom.llm.common import chunks, sha256_hex
 
 WINDOW = 10
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
+#: Characters of text that are made words at once; about a shard.
+CHUNK_CHARS = 1_500_000
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 16_000_000
 #: In bytes of UTF-8: A-Z become a-z, other ASCII that is no letter or digit becomes a blank.
@@ -259,7 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         getters = _getters(blocks)
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, CHUNK_CHARS):
             rows = list(_scan(texts, getters, window, shard_words, max(longest, window)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([sha256_hex(",".join(r[3])) for r in rows]), pa.array([r[2] > 0 for r in rows])],
@@ -314,7 +316,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep: list[bool] = []
-            for (part,) in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], columns=("text",)):
+            for (part,) in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], CHUNK_CHARS, ("text",)):
                 keep += [r[2] == 0 for r in _scan(part, getters, window, shard_words, max(longest, window))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
