@@ -27,3 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
         if new.filter("next <> label").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", F.col("next").alias("label"))
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (id, label) after more edges (a, b): the components of what the edges join are merged, whatever their size."""
+    own = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}"))
+    ends = edges.select("a", "b").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    between = ends.select(F.coalesce("l_a", "a").alias("x"), F.coalesce("l_b", "b").alias("y")).filter("x <> y")
+    between = write_shared(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    up = components(between)
+    moved = labels.join(up.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return write_shared(moved.unionByName(up.join(labels.select("id"), "id", "left_anti")), "labels")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import chunks, write_shared
-from docloom.llm.graph import components
+from docloom.llm.graph import components, merged
 
 SHINGLE = 5
 BITS = 1024
@@ -39,8 +39,9 @@ BLOCK = 1024
 FANOUT = 8
 #: Trees of so many members are compared pair by pair first, by size alone.
 SMALL = 48
-#: Rounds of probes with a member of each tree that still spans several components.
-PROBES = 1
+#: Rounds of probes at most: one member of each tree that still spans several components, then PICKS members of the
+#: trees where that made links, as long as a round makes DENSE links and a twentieth of its pairs link.
+PROBES, PICKS, DENSE = 4, 8, 50
 #: A shingle with this many documents in one chunk of text may be sent to the end of the order; at most ORDER_ROWS are.
 FREQUENT, FREQUENT_CHARS, ORDER_ROWS = 6, 10_000_000, 100_000
 #: Characters that are hashed at once.
@@ -395,14 +396,22 @@ def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     links = _verify(docs, _may_link(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets))
     members = members.filter("rep <> pivot")  # every member has met its pivot
+    labels, dense = components(links), None
     for probe in range(PROBES):
-        spread = _spread(members, components(links))
-        chosen = spread.groupBy("pivot").agg(F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(probe), "pivot", "rep")).alias("p"))
+        spread = _spread(members, labels)
+        if dense is not None:
+            spread = spread.join(dense, "pivot", "left_semi")
+        picks = [F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(PICKS * probe + i), "pivot", "rep")) for i in range(PICKS if probe else 1)]
+        chosen = spread.groupBy("pivot").agg(F.array(*picks).alias("picks")).select("pivot", F.explode("picks").alias("p"))
         pairs = spread.join(chosen, "pivot").filter("label <> p.label").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        links = write_shared(links.unionByName(_verify(docs, _may_link(pairs, sets))), "links")
-    spread = _spread(members, components(links))
-    found = _verify(docs, _traverse(spread, sets, block))
-    labels = components(links.unionByName(found))
+        pairs = write_shared(_may_link(pairs, sets), "probes")
+        found = _verify(docs, pairs)
+        labels, n = merged(labels, found), found.count()
+        if n < DENSE or 20 * n < pairs.count():
+            break  # few of the rest link: the traversal takes them
+        ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
+        dense = write_shared(spread.join(ends, "rep", "left_semi").select("pivot").distinct(), "dense")
+    labels = merged(labels, _verify(docs, _traverse(_spread(members, labels), sets, block)))
 
     by_class = classes.join(labels, classes.rep == labels.id, "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")

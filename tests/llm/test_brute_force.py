@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
-from docloom.llm.graph import components
+from docloom.llm.graph import components, merged
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -157,6 +157,12 @@ def test_graph_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[95] == 90
 
 
+def test_merged_components(spark):
+    labels = components(spark.createDataFrame([(5, 6), (8, 9), (6, 7)], "a long, b long"))
+    got = {r.id: r.label for r in merged(labels, spark.createDataFrame([(7, 9), (2, 3), (5, 7)], "a long, b long")).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 2: 2, 3: 2}
+
+
 # --- mixing
 
 
