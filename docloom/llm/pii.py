@@ -22,6 +22,8 @@ from docloom.llm.common import chunks, sha256_hex, write_shared
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs this many distinct seeds, and this confidence; so many patterns at most are used.
 MIN_SEEDS, MIN_CONFIDENCE, MAX_PATTERNS, ROUNDS = 3, 0.3, 10_000, 3
+#: Different words (and edges) whose counts a task holds before it sends them.
+MOST_WORDS = 200_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _digit = re.compile(r"[0-9]")
@@ -94,30 +96,50 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def pattern_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, totals): edges (pattern, kind, instance, seed, n), totals (pattern, total occurrences of its word)."""
+def word_counts(raw: Counter) -> Counter:
+    """Counts of words without the marks at their edges, from counts of what stands between blanks."""
+    out: Counter = Counter()
+    for w, n in raw.items():
+        out[_edges.sub("", w)] += n
+    del out[""]
+    return out
+
+
+def pattern_graph(docs: DataFrame, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(edges, totals): edges (pattern, kind, instance, seed, n), totals (pattern, total occurrences of its word).
+
+    Every word of every document is counted, as which words are patterns is known at the end only. A task holds
+    the counts of most_words different words, and sends them when there are more; counts meet patterns in a join.
+    """
+
+    def rows_of(found: Counter, raw: Counter) -> pa.RecordBatch:
+        rows = [(*k, n, None) for k, n in found.items()] + [(w, None, None, None, None, n) for w, n in word_counts(raw).items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, raw = Counter(), Counter()
         for (texts,) in chunks(batches, columns=("text",)):
-            found: Counter = Counter()
             for text in texts:
                 if not text:
                     continue
+                raw.update(text.lower().split())
                 base = base_spans(text)
                 for seed, spans in ((True, base), (False, loose_spans(text, base))):
                     for kind, start, end in spans:
                         for p in _patterns(text, start, end):
                             found[p, kind, xxhash.xxh64_intdigest(text[start:end]) - (1 << 63), seed] += 1
-            words = {p[2:] for p, *_ in found}
-            seen = Counter(w for text in texts if text for w in map(lambda x: _edges.sub("", x), text.lower().split()) if w in words) if words else {}
-            rows = [(*k, n, None) for k, n in found.items()] + [(f"{side}:{w}", None, None, None, None, n) for w, n in seen.items() for side in "LR"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+                if len(raw) + len(found) > most_words:
+                    yield rows_of(found, raw)
+                    found, raw = Counter(), Counter()
+        yield rows_of(found, raw)
 
     names = ["pattern", "kind", "instance", "seed", "n", "total"]
     types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
     rows = write_shared(docs.select("text").mapInArrow(edges, "pattern string, kind string, instance long, seed boolean, n long, total long"), "graph")
     graph = rows.filter("kind IS NOT NULL").groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
-    return graph, rows.filter("kind IS NULL").groupBy("pattern").agg(F.sum("total").alias("total"))
+    words = rows.filter("kind IS NULL").groupBy(F.col("pattern").alias("word")).agg(F.sum("total").alias("total"))
+    patterns = rows.filter("kind IS NOT NULL").select("pattern").distinct().withColumn("word", F.expr("substring(pattern, 3)"))
+    return graph, patterns.join(words, "word").select("pattern", "total")
 
 
 def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -232,6 +232,16 @@ def test_pattern_scores(spark):
     assert got["L:mail"] > 0.9 and got["L:the"] < 0.01 and got["R:x"] > 0.5
 
 
+@pytest.mark.parametrize(("parts", "most"), [(1, 200_000), (7, 200_000), (7, 3)])
+def test_pattern_totals_count_every_document(spark, parts, most):
+    filler = "so much filler text " * 60_000  # a chunk of its own
+    texts = [f"Near, u{i}@mail{i}.example.com here" for i in range(3)] + [f"{filler} (near) {i}" for i in range(4)] + ["near near", None, ""]
+    edges, totals = pii.pattern_graph(docs(spark, texts).repartition(parts), most)
+    assert {r.pattern: r.total for r in totals.collect()} == {"L:near": 9, "R:here": 3} and edges.count() == 6
+    assert pii.confident_patterns(docs(spark, texts)) == {("email", "L:near"), ("email", "R:here")}
+    assert pii.confident_patterns(docs(spark, [*texts, "near " * 9])) == {("email", "R:here")}
+
+
 WORDS = ["password", "secret", "api_key", "apikey", "TOKEN", "passwd", "AKIA", "deadbeef" * 4, "=", ":", " ", '"', "'", "abc12345", "x", "0f", "AKIAABCDEFGH12345", "ſecret", "toKen"]
 
 
