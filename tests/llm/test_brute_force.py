@@ -285,6 +285,30 @@ def test_sentences_tile_the_text(t, piece):
     assert sum(n for *_, n in found) == len(t.split())
 
 
+@pytest.mark.parametrize(("stops", "size"), [(0, 5000), (0.04, 5000), (0.1, 5000), (0.3, 5000), (0, 12)])
+def test_passages_of_51_words_are_found_wherever_they_begin(stops, size):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(size)}" + "." * (rng.random() < stops) for _ in range(n)]
+    for _ in range(150):
+        passage = say(51)
+        pair = [" ".join([*say(rng.randrange(60)), *passage, *say(rng.randrange(60))]) for _ in range(2)]
+        assert {d for _, d in substring_dedup.runs(pair[0])} & {d for _, d in substring_dedup.runs(pair[1])}
+
+
+def test_passages_mid_sentence_and_without_blanks_are_removed(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n))
+    passage, text = say(60), han(60)
+    texts = [f"{say(7)} {passage} {say(5)}", f"Stop here. {passage}. Then {say(9)}", f"{say(40)} {passage} {say(33)}", han(9) + text + han(20), han(30) + text, say(200), han(200)]
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs(spark, texts).repartition(5)).collect()}
+    for i, t in enumerate(texts):
+        gone = [tuple(map(int, s.split(":"))) for s in got[i].removed.split(",") if s]
+        copy = passage if passage in t else text
+        assert bool(gone) == (i in (1, 2, 4)) and all(t[a:b].strip(". ") in copy for a, b in gone)
+        assert not gone or sum(b - a for a, b in gone) > len(copy) / 5
+
+
 # --- classifiers
 
 
