@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import chunks, sha256_hex, write_shared
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many distinct seeds, and this confidence; so many patterns at most are used.
+#: A pattern needs this many distinct seeds, and this confidence; so many patterns at most are broadcast.
 MIN_SEEDS, MIN_CONFIDENCE, MAX_PATTERNS, ROUNDS = 3, 0.3, 10_000, 3
 #: Different words (and edges) whose counts a task holds before it sends them.
 MOST_WORDS = 200_000
@@ -155,10 +155,15 @@ def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) ->
     raise ValueError("rounds must be 1 or more")
 
 
-def confident_patterns(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, most: int = MAX_PATTERNS) -> set[tuple[str, str]]:
-    """(kind, pattern) pairs to discover with; `most` at most, the most confident first."""
+def passing_patterns(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(kind, pattern) rows to discover with, all of them, as a shared table."""
     scored = score_patterns(*pattern_graph(docs)).filter((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
-    return {(r["kind"], r["pattern"]) for r in scored.orderBy(F.desc("confidence"), F.desc("seeds"), "pattern", "kind").limit(most).collect()}
+    return write_shared(scored.select("kind", "pattern"), "patterns")
+
+
+def confident_patterns(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> set[tuple[str, str]]:
+    """passing_patterns() on the driver."""
+    return {(r["kind"], r["pattern"]) for r in passing_patterns(docs, min_seeds, min_confidence).collect()}
 
 
 def all_spans(text: str | None, patterns: set[tuple[str, str]]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -174,13 +179,46 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def personal_data(docs: DataFrame, patterns: set[tuple[str, str]] | None = None) -> DataFrame:
+def joined_data(docs: DataFrame, passing: DataFrame) -> DataFrame:
+    """personal_data() with patterns of any number: candidates are joined to them, and no task holds them all."""
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "more"]
+    span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+    loose = pa.struct([*span, ("patterns", pa.list_(pa.string()))])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [base_spans(t) for t in texts]
+            counts = [pa.array([sum(s[0] == k for s in base) for base in found], pa.int64()) for k in KINDS]
+            digests = [sha256_hex(joined(base)) for base in found]
+            every = [[{"kind": KINDS.index(k), "start": a, "end": b} for k, a, b in base] for base in found]
+            more = [[{"kind": KINDS.index(k), "start": a, "end": b, "patterns": _patterns(t, a, b)} for k, a, b in loose_spans(t, base)] for t, base in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(every, pa.list_(span)), pa.array(more, pa.list_(loose))], names)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:long,end:long>>, more array<struct<kind:int,start:long,end:long,patterns:array<string>>>"
+    # numbered when written: a row keeps its number
+    rows = write_shared(docs.select("doc_id", "text").mapInArrow(candidates, schema).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    kinds = F.array(*map(F.lit, KINDS))
+    pairs = rows.select("row", F.explode("more").alias("m")).select("row", F.struct("m.kind", "m.start", "m.end").alias("span"), F.element_at(kinds, F.col("m.kind") + 1).alias("kind"), F.explode("m.patterns").alias("pattern"))
+    added = pairs.join(passing, ["kind", "pattern"]).groupBy("row").agg(F.collect_set("span").alias("added"))
+    own = F.coalesce("added", F.array().cast("array<struct<kind:int,start:long,end:long>>"))
+    told = F.transform(F.array_sort(F.concat("base", own)), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"]))
+    return rows.join(added, "row", "left").select(*names[:6], F.array_join(told, ",").alias("spans"), F.size(own).cast("long").alias("n_added"))
+
+
+def personal_data(docs: DataFrame, patterns: set[tuple[str, str]] | None = None, most: int = MAX_PATTERNS) -> DataFrame:
     """One row for each document: doc_id, n_email, n_ip, n_card, n_phone (base entities), base_sha256, spans, n_added.
 
     Null and empty texts have no spans: counts of 0, the digest of "" and "". Repeated rows give a row each;
-    other columns are ignored; an empty table gives no rows and no patterns.
+    other columns are ignored; an empty table gives no rows and no patterns. Patterns are broadcast when they are
+    `most` at most, and joined to otherwise.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(confident_patterns(docs) if patterns is None else patterns)
+    if patterns is None:
+        passing = passing_patterns(docs)
+        if passing.limit(most + 1).count() > most:
+            return joined_data(docs, passing)
+        patterns = {(r["kind"], r["pattern"]) for r in passing.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -242,6 +242,17 @@ def test_pattern_totals_count_every_document(spark, parts, most):
     assert pii.confident_patterns(docs(spark, [*texts, "near " * 9])) == {("email", "R:here")}
 
 
+def test_patterns_over_the_bound_are_joined(spark):
+    texts = [f"{w} user{i}@mail{i}.example.com {w}x and +1 555 010 00{i}{i} 10.0.0.{i}" for i in range(4) for w in ("mail:", "post:", "write")]
+    texts += ["mail: jane [at] site [dot] org", "post: jane [at] site [dot] org b@c.de, write jo [at] site [dot] org writex", "see jane [at] site [dot] org", None, ""]
+    d = docs(spark, texts)
+    d = d.union(d.filter("doc_id = 12")).union(spark.createDataFrame([(None, texts[12])], d.schema))
+    want = sorted(map(str, pii.personal_data(d).collect()))
+    assert sum("n_added=1" in r for r in want) == 3 and sum("n_added=2" in r for r in want) == 1
+    for most in (0, 1, 2):
+        assert sorted(map(str, pii.personal_data(d, most=most).collect())) == want
+
+
 WORDS = ["password", "secret", "api_key", "apikey", "TOKEN", "passwd", "AKIA", "deadbeef" * 4, "=", ":", " ", '"', "'", "abc12345", "x", "0f", "AKIAABCDEFGH12345", "ſecret", "toKen"]
 
 
