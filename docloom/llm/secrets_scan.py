@@ -35,8 +35,8 @@ _pair = re.compile(
     r"""(?P<name>[A-Za-z_][\w.-]{0,79}|"[^"\n]{1,80}"|'[^'\n]{1,80}')\x20{0,8}(?:=>|:=|=(?!=)|:(?![:/]))\x20{0,8}(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;(){}\[\]]+)(?:\x20{0,4}\+\x20{0,4}(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]{0,79}))*)""",
     re.ASCII,
 )
-_xml = re.compile(r"<([A-Za-z_][\w.-]{0,79})>([^<>\s]{1,400})</\1>", re.ASCII)
-_option = re.compile(r"(?<!\S)--?([A-Za-z][\w-]{2,79})[\x20=]([^\s\"']{1,400})", re.ASCII)
+_xml = re.compile(r"<([A-Za-z_][\w.-]{0,79})>([^<>\s]+)</\1>", re.ASCII)
+_option = re.compile(r"(?<!\S)--?([A-Za-z][\w-]{2,79})[\x20=]([^\s\"']+)", re.ASCII)
 _part = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([^\s"'+][^\s"']*)""")
 _name_words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _identifier = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?", re.ASCII)

@@ -277,6 +277,12 @@ def test_lexing_adds_literals_by_name(text, found):
     assert sorted(text[s:e] for _, s, e in spans) == found
 
 
+def test_long_literals_are_found_whole():
+    long = "aB3" * 300 + "+/"
+    for text in (f"<api_token>{long}</api_token>", f"run --api-token {long} now"):
+        assert [text[s:e] for _, s, e in secrets_scan.added_spans(text, secrets_scan.base_spans(text))] == [long]
+
+
 # --- substring dedup
 
 
