@@ -5,10 +5,11 @@
 2. The directory starts with one bucket. A bucket that holds more distinct keys than its capacity is
    split by its next key bit; when its local depth is the global depth, the directory doubles. It is
    an array of 2^g bucket numbers, indexed by the first g key bits (g is bounded).
-3. Owner tasks load (bucket, key, text) groups; rows of one text are combined before the shuffle, so a
+3. Tasks load (bucket, key, text) groups, dealt by a hash of all three and not by bucket or key range; rows of one text are combined before the shuffle, so a
    hot text sends one row for each map task. Grouping compares the bytes of whole texts. Different
    texts of one key are chained: each has its slot in the key's chain.
-4. The index is written to the shared folder by key range; entries look their group up in it.
+4. The index is written to the shared folder, not laid out by bucket or key range; entries look their group up in
+   it by key and digest in a join, without the directory. The bucket is a column of the index and changes no result.
 """
 
 from __future__ import annotations
