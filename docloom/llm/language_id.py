@@ -242,8 +242,8 @@ def word_languages(chain: Chain, text: str | None) -> list[tuple[str, str, float
     return [(words[w], chain.languages[int(row.argmax())], float(row.max())) for w, row in zip(flat, p, strict=True)]
 
 
-def recognised_rows(docs: DataFrame, least: float = 0.4, chain: Chain | None = None) -> DataFrame:
-    """Documents whose language is known with a mean probability of `least`, with all their columns."""
+def recognised_rows(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
+    """Documents whose language is not `und`, with all their columns; several languages in one text are no reason to drop it."""
     model = docs.sparkSession.sparkContext.broadcast(chain or fit(docs))
     at = docs.columns.index("text")
 
@@ -251,6 +251,6 @@ def recognised_rows(docs: DataFrame, least: float = 0.4, chain: Chain | None = N
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
             found = [r for (part,) in chunks([texts], columns=("text",)) for r in predict(model.value, part)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

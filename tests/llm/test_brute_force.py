@@ -329,6 +329,18 @@ def test_passages_mid_sentence_and_without_blanks_are_removed(spark):
 # --- classifiers
 
 
+def test_code_switched_documents_stay(spark):
+    # three languages in equal parts: no mean probability is near 0.4
+    own = {lang: [f"{lang}{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)] for lang in ("qa", "xo", "vu")}
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(words, k=40)), lang) for lang, words in own.items() for _ in range(40)]
+    chain = language_id.train(rows)
+    mixed = " ".join(" ".join(rng.choices(words, k=30)) for words in own.values())
+    (lang, score), = language_id.predict(chain, [mixed])
+    assert lang != language_id.UNKNOWN and score < 0.4
+    assert [r.doc_id for r in language_id.recognised_rows(docs(spark, [mixed, "123 !!", None]), chain=chain).collect()] == [0]
+
+
 def language_rows(n, seed):
     rng = random.Random(seed)
     parts = {"en": ["th", "ing", "er", "tion"], "de": ["sch", "ung", "keit", "ö"], "fr": ["eau", "que", "é", "oi"]}
