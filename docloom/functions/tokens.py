@@ -100,13 +100,13 @@ def content_tokens(token_column: Column, stop: list[str], aliases: dict[str, str
     return F.transform(kept, lambda t: F.coalesce(table[t], t))
 
 
-def ngrams(token_column: Column, most: int) -> Column:
-    """All runs of 1 to `most` tokens, joined by blanks."""
+def ngrams(token_column: Column, most: int | list[int]) -> Column:
+    """All runs of 1 to `most` tokens, or of the numbers of tokens listed, joined by blanks."""
     def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(token_column) - n + 1)
         return F.when(F.size(token_column) >= n, F.transform(starts, lambda i: F.array_join(F.slice(token_column, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*map(runs, range(1, most + 1)))
+    return F.concat(*map(runs, range(1, most + 1) if isinstance(most, int) else most))
 
 
 def whitespace_words(text: Column) -> Column:

@@ -9,8 +9,6 @@ from docloom.functions import numbers as nb
 from docloom.functions import tokens as tk
 from docloom.functions.vectors import embed_text
 
-#: Words of an alias that an n-gram join looks at.
-MAX_WORDS = 4
 #: Aliases that may be broadcast; a longer list is joined by shuffle.
 BROADCAST_ALIASES = 200_000
 
@@ -21,19 +19,25 @@ def valid_term(term: Column) -> Column:
     return (F.trim(term) != "") & (words <= 10) & (F.length(term) <= 100) & ~term.rlike(r"[.!?।;:]")
 
 
-def alias_join(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text: str = "text", most: int = MAX_WORDS) -> DataFrame:
+def alias_lengths(aliases: DataFrame) -> list[int]:
+    """The numbers of words that aliases have; [1] without aliases."""
+    words = aliases.filter("alias IS NOT NULL").select(F.size(F.split("alias", " ")).alias("n")).distinct()
+    return sorted(r["n"] for r in words.collect()) or [1]
+
+
+def alias_join(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
     """(id, alias, key, n): whole-word alias occurrences, by an equi-join on the text's n-grams (no theta join).
 
     With few aliases the texts don't move; n-grams are counted in each task before any shuffle.
     """
     toks = texts.select(F.col(id_column), tk.tokens(F.col(text)).alias("t"))
-    grams = toks.select(id_column, F.explode(tk.ngrams(F.col("t"), most)).alias("alias"))
+    grams = toks.select(id_column, F.explode(tk.ngrams(F.col("t"), alias_lengths(aliases))).alias("alias"))
     if aliases.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
         aliases = F.broadcast(aliases)
     return grams.join(aliases, "alias").groupBy(id_column, "alias", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def longest_matches(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text: str = "text", most: int = MAX_WORDS) -> DataFrame:
+def longest_matches(texts: DataFrame, aliases: DataFrame, id_column: str = "id", text: str = "text") -> DataFrame:
     """(id, start, words, alias, key): greedy left-to-right longest phrases that don't overlap; starts count from 0."""
     toks = texts.select(F.col(id_column), tk.tokens(F.col(text)).alias("t"))
 
@@ -41,7 +45,7 @@ def longest_matches(texts: DataFrame, aliases: DataFrame, id_column: str = "id",
         starts = F.sequence(F.lit(1), F.size("t") - n + 1)
         return F.when(F.size("t") >= n, F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("words"), F.array_join(F.slice("t", i, n), " ").alias("alias")))).otherwise(F.array().cast("array<struct<start:int,words:int,alias:string>>"))
 
-    spans = toks.select(id_column, F.explode(F.concat(*map(runs, range(1, most + 1)))).alias("s")).select(id_column, "s.*")
+    spans = toks.select(id_column, F.explode(F.concat(*map(runs, alias_lengths(aliases)))).alias("s")).select(id_column, "s.*")
     hits = spans.join(aliases, "alias").groupBy(id_column, "start").agg(F.max_by(F.struct("words", "alias", "key"), F.struct("words", "alias")).alias("m"))
     listed = hits.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("start", "m"))).alias("h"))
     empty = F.struct(F.lit(0).alias("end"), F.slice("h", 1, 0).alias("kept"))
@@ -79,9 +83,8 @@ def concept_map(terms: DataFrame) -> DataFrame:
 
 def first_containing(terms: DataFrame, chunks: DataFrame, term: str = "term", id_column: str = "id", text: str = "text", before: int = 160, after: int = 200) -> DataFrame:
     """(term, id, context): each term's first chunk by id that has it as a run of words, with its surroundings."""
-    most = MAX_WORDS
     wanted = terms.select(F.col(term), F.array_join(tk.tokens(F.col(term)), " ").alias("alias")).distinct()
-    hits = alias_join(chunks, wanted.select("alias", F.col(term).alias("key")).distinct(), id_column, text, most)
+    hits = alias_join(chunks, wanted.select("alias", F.col(term).alias("key")).distinct(), id_column, text)
     first = hits.groupBy(F.col("key").alias(term)).agg(F.min(id_column).alias(id_column))
     found = first.join(chunks.select(id_column, text), id_column)
     at = F.greatest(F.expr(f"locate(lower({term}), lower({text}))"), F.lit(1))

@@ -120,6 +120,16 @@ def test_segments_and_chunks(spark):
     assert all(len(r.chunk) <= 750 + 120 for r in got) and got[1].chunk.startswith(" ".join(got[0].chunk.split()[-20:]))
 
 
+def test_aliases_of_any_length_are_found(spark):
+    texts = spark.createDataFrame([(1, "see the right to information act of 2005 today"), (2, "the act")], "id int, text string")
+    aliases = spark.createDataFrame([("right to information act of 2005", "rti"), ("act", "a"), (None, "x")], "alias string, key string")
+    assert {(r.id, r.key) for r in terms.alias_join(texts, aliases).collect()} == {(1, "rti"), (1, "a"), (2, "a")}
+    assert rows(terms.longest_matches(texts, aliases).select("id", "start", "words"), "id") == [(1, 2, 6), (2, 1, 1)]
+    named = spark.createDataFrame([("Right to Information Act of 2005",)], "term string")
+    assert [r.id for r in terms.first_containing(named, texts).collect()] == [1]
+    assert terms.alias_join(texts, aliases.limit(0)).count() == 0 and terms.longest_matches(texts, aliases.limit(0)).count() == 0
+
+
 def test_alias_join_and_longest_matches(spark):
     texts = spark.createDataFrame([(1, "of the law and the law of the land"), (2, None), (3, "")], "id int, text string")
     aliases = spark.createDataFrame([("the", "a"), ("of the", "b"), ("the law", "c")], "alias string, key string")
