@@ -39,19 +39,19 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Benchmark items as one array of word numbers: item j has words[starts[j]:starts[j + 1]]."""
 
-    ids: list[str]
+    ids: list[str | None]
     vocabulary: list[bytes]
     words: np.ndarray
     starts: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[object, str | None]]) -> Block:
-        """Items without words, and items with a null id, have no windows; rows of one id are told apart only by text."""
+        """Items without words have no windows; rows of one id, null too, are told apart only by text."""
         seen: dict[bytes, int] = {}
         ids, words, starts = [], [], [0]
         for item_id, text in items:
-            if item_id is not None and (own := words_of(text)):
-                ids.append(str(item_id))
+            if own := words_of(text):
+                ids.append(None if item_id is None else str(item_id))
                 words += [seen.setdefault(w, len(seen)) for w in own]
                 starts.append(len(words))
         return cls(ids, list(seen), np.array(words, np.int64), np.array(starts, np.int64))
@@ -192,8 +192,8 @@ class Shard:
         yield None, total[own[:, 1]] - total[own[:, 0]], [], []
 
 
-def _scan(texts: list[str | None], blocks: list, window: int, shard_words: int, overlap: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(index of the text, its words, its hit words, ids of its items) in the order of the texts."""
+def _scan(texts: list[str | None], blocks: list, window: int, shard_words: int, overlap: int) -> Iterator[tuple[int, int, int, list[str], int]]:
+    """(index of the text, its words, its hit words, ids of its items, number of its items) in the order of the texts."""
     n_words, n_hit, items = [0] * len(texts), [0] * len(texts), [set() for _ in texts]
 
     def flush(shard: Shard) -> None:
@@ -218,7 +218,7 @@ def _scan(texts: list[str | None], blocks: list, window: int, shard_words: int,
             shard.add(i, words, begin, end, own, own_end)
     if shard.ids:
         flush(shard)
-    yield from zip(range(len(texts)), n_words, n_hit, (sorted(x) for x in items), strict=True)
+    yield from zip(range(len(texts)), n_words, n_hit, (sorted(x - {None}) for x in items), map(len, items), strict=True)
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[list, int]:
@@ -254,8 +254,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null and empty texts
-    have no words; items without words or id have no windows; an item id that is repeated counts once. An
-    empty benchmark contaminates nothing; repeated documents give a row each; other columns are ignored.
+    have no words; items without words have no windows; an item id that is repeated counts once. Items with a
+    null id count as one item, which items_sha256 leaves out. An empty benchmark contaminates nothing; repeated documents give a row each; other columns are ignored.
     """
     blocks, longest = _blocks(benchmark, block_chars)
 
@@ -264,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         for ids, texts in chunks(batches, CHUNK_CHARS):
             rows = list(_scan(texts, getters, window, shard_words, max(longest, window)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([sha256_hex(",".join(r[3])) for r in rows]), pa.array([r[2] > 0 for r in rows])],
+                [pa.array(ids, id_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([sha256_hex(",".join(r[3])) for r in rows]), pa.array([r[2] > 0 for r in rows])],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 

@@ -68,6 +68,13 @@ def brute_contamination(texts, items, window=10):
     return out
 
 
+def test_items_with_a_null_id_contaminate(spark):
+    items = [(None, "one two three four"), (None, "five six seven"), (7, "five six seven")]
+    got = decontaminate.contamination(docs(spark, ["x one two three four y", "five six seven", "eight"]), spark.createDataFrame(items, "item_id long, text string"), window=4).orderBy("doc_id").collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert [tuple(r)[1:] for r in got] == [(6, 4, 1, sha(""), True), (3, 3, 2, sha("7"), True), (1, 0, 0, sha(""), False)]
+
+
 @pytest.mark.parametrize(("shard", "block"), [(400_000, 16_000_000), (17, 60)])
 def test_contamination(spark, shard, block):
     rng = random.Random(2)
