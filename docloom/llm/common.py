@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import logging
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +18,7 @@ ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/docloom"
 #: Rows of an Arrow batch while a shared table is written: texts are long, and batches are held on both sides.
 BATCH_ROWS, _BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-_written: list = []
+_written: dict[int, tuple[DataFrame, str]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,19 +46,30 @@ def write_shared(df: DataFrame, name: str, compression: str = "zstd") -> DataFra
         spark.conf.set(_BATCH_ROWS, rows)
     if not _written:
         atexit.register(drop_shared, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[id(table)] = (table, path)  # the table is held, so that its id stays its own
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception as e:  # the session may be gone already; the files are only scratch
+        logging.getLogger(__name__).warning("%s stays: %s", path, e)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of write_shared() that nothing will read again; other tables are let be."""
+    for table in tables:
+        if found := _written.pop(id(table), None):
+            _delete(table.sparkSession, found[1])
 
 
 def drop_shared(spark: SparkSession) -> None:
-    """Delete the tables that write_shared() made in this session."""
+    """Delete all that write_shared() made in this session."""
     while _written:
-        path = _written.pop()
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may be gone already; the files are only scratch
-            return
+        _delete(spark, _written.popitem()[1][1])
 
 
 def ascii_lower(text: Column) -> Column:

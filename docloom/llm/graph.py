@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import write_shared
+from docloom.llm.common import discard, write_shared
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,15 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = write_shared(both.filter("a <> b").distinct(), "edges")
     labels = write_shared(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    held = labels
     while True:
         seen = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         near = labels.join(seen, "id").select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
         new = near.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("next"), "label")
         new = write_shared(new, "labels")
+        discard(held)
         if new.filter("next <> label").isEmpty():
+            discard(both)
             return new.select("id", "label")
-        labels = new.select("id", F.col("next").alias("label"))
+        held, labels = new, new.select("id", F.col("next").alias("label"))
 
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,19 +2,18 @@
 
 1. Signatures: each document's set of shingle hashes, its size, a bitmap of the set and a digest. Equal
    sets become one class, and only its representative goes on.
-2. Routing: two sets with Jaccard >= 3/4 share one of the first n // 4 + 1 shingles of each in any common
-   order. Shingles that are frequent within a task come last in the order, so that lists stay short; the
-   order changes the work, never the result. Each shared shingle gives a list of sets; the lists with one
-   smallest member, the pivot, make one tree.
-3. Probes: members of a tree are verified against its pivot, then against a random member of another
-   component. Copies of one text fall into one component so, in linear work.
-4. Dual traversal: a signature tree that still spans several components is traversed with itself. Its nodes
-   hold the OR of the bitmaps, size ranges and the common component. Node pairs are dropped by size, by the
-   maximum possible overlap, or when they are one component; pairs that are left are verified.
-   A large tree is dealt out as pairs of bounded blocks, by size class.
-5. Connected components of the verified links.
-
-Verification compares the whole sets, rebuilt from the texts.
+2. Forest: two sets with Jaccard >= 3/4 share one of the first n // 4 + 1 shingles of each in any common
+   order, so the sets that have a shingle there are the leaves of one tree. Frequent shingles come last in
+   the order, and the tree of one is known before any list is made; the order changes the work, never the
+   result. Trees with one smallest member are one; a list of two sets is a pair of leaves.
+3. Dual traversal: each signature tree is traversed with itself. Its nodes hold the OR of the bitmaps, size
+   ranges and the common component. Node pairs are dropped by size, by the maximum possible overlap, or when
+   they are one component; the leaf pairs that are left are the candidates. A tree with few of them sends
+   all. A dense tree, such as a group of near copies, sends the best spanning forest of its candidates, so
+   that work stays linear; a large one is first dealt out in blocks that a few common members join.
+4. Candidates are verified against the whole sets, rebuilt from the texts, and linked sets become components.
+   Dense trees that still span several components are traversed again, with their components as labels; the
+   last traversal sends every candidate between different components, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, write_shared
+from docloom.llm.common import chunks, discard, write_shared
 from docloom.llm.graph import components, merged
 
 SHINGLE = 5
@@ -39,15 +38,18 @@ BLOCK = 1024
 FANOUT = 8
 #: Trees of so many members are compared pair by pair first, by size alone.
 SMALL = 48
-#: Rounds of probes at most: one member of each tree that still spans several components, then PICKS members of the
-#: trees where that made links, as long as a round makes DENSE links and a twentieth of its pairs link.
-PROBES, PICKS, DENSE = 4, 8, 50
-#: A shingle with this many documents in one chunk of text may be sent to the end of the order; at most ORDER_ROWS are.
-FREQUENT, FREQUENT_CHARS, ORDER_ROWS = 6, 10_000_000, 100_000
+#: A tree with more candidates for a member is dense: it sends a spanning forest, in FORESTS rounds at most, as long
+#: as one finds FOUND links. CENTERS members of a large tree are in all its blocks.
+DENSE, FORESTS, FOUND, CENTERS = 4, 3, 20, 4
+#: A shingle that two documents of a chunk of text have counts as many there; those with LATE in all go to the end of
+#: the order, ORDER_ROWS of them at most.
+FREQUENT, LATE, FREQUENT_CHARS, ORDER_ROWS = 2, 8, 10_000_000, 200_000
 #: Characters that are hashed at once.
 PART_CHARS = 1_000_000
 #: Ids that may be broadcast to pick the texts to verify; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Trees with more rows are joined to by broadcast, if they are HOT_TREES at most.
+HOT, HOT_TREES = 2048, 100_000
 #: 64-bit constants of the hashes: one for each byte (A-Z as a-z), and odd multipliers.
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 1 << 63, 256, np.uint64)
@@ -114,31 +116,37 @@ def _parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles, rarest first; a bounded array."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frequent shingles, their places in the common order, the smallest document known to have each); bounded arrays."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in chunks(batches, FREQUENT_CHARS, ("text",)):
+        for ids, texts in chunks(batches, FREQUENT_CHARS):
+            rows = sorted((i, t) for i, t in zip(ids, texts, strict=True) if t)
+            texts = [t for _, t in rows]
             found = [s for part in _parts(texts) for s in shingle_sets(texts[part])]
             if found:
-                token, n = np.unique(np.concatenate(found), return_counts=True)
+                token, at, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
                 keep = n >= FREQUENT
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+                first = np.array([i for i, _ in rows], np.int64)[np.searchsorted(np.cumsum([len(s) for s in found]), at[keep], side="right")]
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep]), pa.array(first)], ["token", "n", "first"])
 
-    rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(ORDER_ROWS).toArrow()
-    return rows.column("token").to_numpy()[::-1].copy().view(np.uint64)
+    seen = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "token long, n long, first long")
+    rows = seen.groupBy("token").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter(F.col("n") >= LATE).orderBy(F.desc("n"), "token").limit(ORDER_ROWS).toArrow()
+    token, first = rows.column("token").to_numpy()[::-1].view(np.uint64), rows.column("first").to_numpy()[::-1]
+    ordered = np.argsort(token)
+    return token[ordered], ordered, first[ordered]
 
 
-def _ordered(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n // 4 + 1 shingles in the common order."""
+def _ordered(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n // 4 + 1 shingles in the common order: those that aren't frequent, and the trees of those that are."""
     n = len(tokens) // 4 + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         late = frequent[at] == tokens
         if late.any():
-            first = tokens[~late]
-            return first[:n] if len(first) >= n else np.concatenate([first, tokens[late][np.argsort(rank[at[late]], kind="stable")]])[:n]
-    return tokens[:n]
+            rare = tokens[~late][:n]
+            return rare, np.unique(first[at[late][np.argsort(rank[at[late]], kind="stable")][: n - len(rare)]])
+    return tokens[:n], np.zeros(0, np.int64)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -160,35 +168,34 @@ def folded(bitmaps: list[bytes], size: int) -> np.ndarray:
     return np.stack(rows).view(np.uint64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, bits and prefix of every document, as a shared table."""
-    order = _frequent(docs)
-    ordered = np.argsort(order)
-    table = docs.sparkSession.sparkContext.broadcast((order[ordered], ordered))
+def signatures(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(doc_id, n_shingles, digest, bits, prefix and trees of every document as a shared table; the type of doc_id)."""
+    table = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    def lists(found: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in found])).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = table.value
         for ids, texts in chunks(batches, PART_CHARS):
             sets = shingle_sets(texts)
-            prefix = [_ordered(s, frequent, rank).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
+            first = [_ordered(s, *table.value) if len(s) else (s, np.zeros(0, np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))],
-                ["doc_id", "n_shingles", "digest", "bits", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), lists([p.view(np.int64) for p, _ in first]), lists([t for _, t in first])],
+                ["doc_id", "n_shingles", "digest", "bits", "prefix", "trees"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bits binary, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bits binary, prefix array<long>, trees array<long>")
     return write_shared(rows, "signatures", "lz4"), id_type
 
 
-def _can_link(sizes_a, sizes_b, bits_a: np.ndarray, bits_b: np.ndarray, loss_a, loss_b) -> np.ndarray:
-    """Whether the maximum possible overlap reaches 3/7 of the sizes, for rows of two tables: sizes are (low, high)."""
+def _can_link(sizes_a, sizes_b, bits_a: np.ndarray, bits_b: np.ndarray, loss_a, loss_b) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the maximum possible overlap reaches 3/7 of the sizes, the overlap) for rows of two tables: sizes are (low, high)."""
     (low_a, high_a), (low_b, high_b) = sizes_a, sizes_b
     ok = (3 * low_a <= 4 * high_b) & (3 * low_b <= 4 * high_a)
     shared = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64)
     most = np.minimum(np.minimum(high_a, high_b), shared + np.minimum(loss_a, loss_b))
-    return ok & (7 * most >= 3 * (low_a + low_b))
+    return ok & (7 * most >= 3 * (low_a + low_b)), most
 
 
 class Tree:
@@ -205,8 +212,8 @@ class Tree:
             first, last = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
             self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(b, at, axis=0), np.maximum.reduceat(loss, at), np.where(first == last, first, -1)))
 
-    def pairs(self, slab: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal of the tree with itself: places (i, j) of sets of different components that may link."""
+    def pairs(self, slab: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Dual traversal of the tree with itself: places (i, j) of sets of different components that may link, and what they share at most."""
         top = len(self.levels) - 1
         stack = [(top, np.array([[0, 0]]))]
         while stack:
@@ -218,11 +225,11 @@ class Tree:
             a, b = nodes.T
             same = (label[a] == label[b]) & (label[a] >= 0)
             a, b = a[~same], b[~same]
-            ok = _can_link((low[a], high[a]), (low[b], high[b]), bits[a], bits[b], loss[a], loss[b])
+            ok, most = _can_link((low[a], high[a]), (low[b], high[b]), bits[a], bits[b], loss[a], loss[b])
             a, b = a[ok], b[ok]
             if level == 0:
                 if len(a):
-                    yield self.order[a], self.order[b]
+                    yield self.order[a], self.order[b], most[ok] / (low[a] + low[b])
                 continue
             n, k = len(self.levels[level - 1][0]), self.fanout
             x = (a[:, None] * k + np.repeat(np.arange(k), k)).ravel()
@@ -233,13 +240,10 @@ class Tree:
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, as a shared table."""
-    pairs = write_shared(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = write_shared(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    """The distinct pairs (a, b) whose whole sets link, as a shared table."""
+    ids = write_shared(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id", "left_semi")
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -264,7 +268,9 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     links.append(both > 0 and 100 * both >= 75 * (len(sx) + len(sy) - both))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return write_shared(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
+    links = write_shared(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "links")
+    discard(ids)
+    return links
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,7 +278,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
     bits = lambda c: sets.select(F.col("rep").alias(c), F.col("bits").alias(f"bits_{c}"))
     near = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter("3 * n_a <= 4 * n_b AND 3 * n_b <= 4 * n_a")
-    near = write_shared(near, "near").join(bits("a"), "a").join(bits("b"), "b")
+    near = near.join(bits("a"), "a").join(bits("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,14 +289,14 @@ def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 own = np.flatnonzero(size == width)
                 ba, bb = (folded([col[i] for i in own], int(width)) for col in every)
                 loss = [n[own] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for n, x in ((na, ba), (nb, bb))]
-                ok[own] = _can_link((na[own], na[own]), (nb[own], nb[own]), ba, bb, *loss)
+                ok[own] = _can_link((na[own], na[own]), (nb[own], nb[own]), ba, bb, *loss)[0]
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return near.mapInArrow(check, "a long, b long")
 
 
-def tree_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of sets of different components that may link, by trees over neighbouring size classes.
+def tree_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) of sets of different components that may link, and a score, by trees over neighbouring size classes.
 
     Bitmaps grow with the sets, so that classes keep them alike in length. Linked sets are in one class or in
     neighbouring ones; a pair within a class may be given twice.
@@ -305,52 +311,120 @@ def tree_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray) -> I
         own = np.flatnonzero((group == g) | (group == g + 1))
         if len(own) > 1 and (labels[own] != labels[own[0]]).any():
             width = min(len(bitmaps[i]) for i in own)
-            for i, j in Tree(sizes[own], folded([bitmaps[i] for i in own], width), labels[own]).pairs():
-                yield own[i], own[j]
-
-
-def _traverse(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Candidates (a, b) from members (pivot, rep, n, label): signature trees of pivots, or of pairs of their blocks.
-
-    A member whose size class and the neighbouring ones hold its own component alone can't link in the tree.
+            for i, j, score in Tree(sizes[own], folded([bitmaps[i] for i in own], width), labels[own]).pairs():
+                yield own[i], own[j], score
+
+
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Indexes of the candidates (i, j) of a spanning forest over the components: each component's best candidate, in turn."""
+    parent = np.unique(labels, return_inverse=True)[1]
+    chosen, left = [], np.arange(len(i))
+    while len(left):
+        a, b = parent[i[left]], parent[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            break
+        ends, edge = np.concatenate([a, b]), np.concatenate([left, left])
+        order = np.lexsort((edge, -score[edge], ends))
+        best = np.unique(edge[order][np.append(True, ends[order][1:] != ends[order][:-1])])
+        chosen.append(best)
+        up = np.arange(parent.max() + 1)
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(parent[i[best]].tolist(), parent[j[best]].tolist(), strict=True):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+        parent = np.array([root(x) for x in range(len(up))])[parent]
+    return np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+
+
+def _planned(members: DataFrame, plan: DataFrame) -> DataFrame:
+    """Members with the plan of their tree, one row a tree; trees with very many members get theirs by broadcast."""
+    hot = plan.filter(F.col("size") > HOT)
+    if hot.limit(HOT_TREES + 1).count() > HOT_TREES:
+        return members.join(plan, "pivot")
+    first = members.join(F.broadcast(hot), "pivot")
+    rest = members.join(F.broadcast(hot.select("pivot")), "pivot", "left_anti").join(plan.filter(F.col("size") <= HOT), "pivot")
+    return first.unionByName(rest)
+
+
+def _traverse(members: DataFrame, sets: DataFrame, block: int, forest: int | None) -> DataFrame:
+    """Candidates (a, b) from members (pivot, rep, n, label), and rows (pivot) of the trees that didn't send all, by dual traversal.
+
+    With forest (the number of the round) dense trees send a spanning forest alone, and large trees are dealt out
+    in blocks by hash, with CENTERS members in all of them. Without, every candidate between different components is
+    sent: a large tree is dealt out in pairs of blocks by size class, but for pairs within its largest component.
     """
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
     members = members.withColumn("g", size_class)
-    counts = members.groupBy("pivot", "g").agg(F.count(F.lit(1)).alias("count"), F.min("label").alias("low"), F.max("label").alias("high"))
-    entry = F.struct("g", F.struct(F.ceil(F.col("count") / block).cast("int").alias("k"), "low", "high", "count"))
-    plan = counts.groupBy("pivot").agg(F.sum("count").alias("size"), F.map_from_entries(F.collect_list(entry)).alias("m"))
-    near = members.join(plan, "pivot")
-    for d, name in ((-1, "below"), (0, "own"), (1, "above")):
-        near = near.withColumn(name, F.element_at("m", F.col("g") + d))
-    other = lambda side: F.coalesce((F.col(f"{side}.low") != F.col("label")) | (F.col(f"{side}.high") != F.col("label")), F.lit(False))
-    near = near.filter(other("below") | other("own") | other("above")).select("pivot", "rep", "n", "label", "g", "size", F.transform_values("m", lambda _, v: v["k"]).alias("k"))
-    dealt = near.join(sets.select("rep", "bits"), "rep").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("k")[F.col("g")]).cast("int"))
-
-    def keys(other: str, mine_first: bool):
-        """Keys of this row's block with each block of another size class."""
-        n = F.coalesce(F.element_at("k", F.expr(other)), F.lit(0))
-        pick = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        own, g = F.col("s"), F.col("g")
-        if other == "g":
-            return F.transform(pick, lambda t: F.xxhash64("pivot", g, F.least(own, t), g, F.greatest(own, t)))
-        return F.transform(pick, lambda t: F.xxhash64("pivot", g, own, F.expr(other), t) if mine_first else F.xxhash64("pivot", F.expr(other), t, g, own))
-
-    tree = F.when(F.col("size") <= block, F.array(F.xxhash64("pivot"))).otherwise(F.concat(keys("g", True), keys("g + 1", True), keys("g - 1", False)))
-    rows = dealt.select(F.explode(tree).alias("tree"), "rep", "n", "label", "bits")
+    by_label = members.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("count"))
+    most = by_label.groupBy("pivot").agg(F.sum("count").alias("size"), F.max_by("label", "count").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    most = write_shared(most, "trees")
+    if forest is not None:
+        picks = [F.min_by("rep", F.xxhash64(F.lit(CENTERS * forest + i), "rep")) for i in range(CENTERS)]
+        centers = members.groupBy("pivot").agg(F.array_distinct(F.array(*picks)).alias("centers"))
+        near = _planned(members, write_shared(most.join(centers, "pivot"), "plan"))
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        own = F.array(F.pmod(F.xxhash64(F.lit(forest), "rep"), blocks).cast("int"))
+        at = F.when(F.array_contains("centers", F.col("rep")), F.sequence(F.lit(0), blocks - 1)).otherwise(own)
+        tree = F.when(F.col("size") <= block, F.array(F.xxhash64("pivot"))).otherwise(F.transform(at, lambda s: F.xxhash64("pivot", s)))
+    else:
+        counts = members.join(most.select("pivot", "main"), "pivot").groupBy("pivot", "g").agg(*[F.ceil(F.count(F.when(c, 1)) / block).cast("int").alias(k) for c, k in ((F.col("label") == F.col("main"), "m"), (F.col("label") != F.col("main"), "o"))])
+        plan = counts.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("m", "o")))).alias("k"))  # a row for each size class
+        near = _planned(members, write_shared(most.join(plan, "pivot"), "plan"))
+        is_main, g = F.col("label") == F.col("main"), F.col("g")
+        blocks = F.when(is_main, F.col("k")[g]["m"]).otherwise(F.col("k")[g]["o"])
+        s = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+
+        def met(step: int, part: str, name: str, mine_first: bool):
+            """Keys of this row's block with each block of a part of a size class, this one or another."""
+            n = F.coalesce(F.element_at("k", g + step)[part], F.lit(0))
+            there = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda t: F.struct((g + step).alias("g"), t.alias("s")))
+            here = F.struct(g.alias("g"), s.alias("s"))
+            if name == "o" and not step:  # a block meets the blocks of its own part and class once
+                return F.transform(there, lambda t: F.xxhash64("pivot", F.lit(name), F.least(here, t), F.greatest(here, t)))
+            return F.transform(there, lambda t: F.xxhash64("pivot", F.lit(name), here, t) if mine_first else F.xxhash64("pivot", F.lit(name), t, here))
+
+        rest = [met(step, "o", "o", step > 0) for step in (-1, 0, 1)] + [met(step, "m", "m", True) for step in (-1, 0, 1)]
+        main = [met(step, "o", "m", False) for step in (-1, 0, 1)]
+        tree = F.when(F.col("size") <= block, F.array(F.xxhash64("pivot"))).otherwise(F.when(is_main, F.concat(*main)).otherwise(F.concat(*rest)))
+    dealt = near.select("pivot", "rep", "n", "label", (F.col("size") > block).alias("cut"), tree.alias("tree")).join(sets.select("rep", "bits"), "rep")
+    rows = dealt.select(F.explode("tree").alias("tree"), "pivot", "rep", "n", "label", "cut", "bits")
     rows = rows.repartition("tree").sortWithinPartitions("tree")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
+        def sent(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "pivot"])
+
         def trees(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            tree, rep, n, label = (table.column(c).to_numpy() for c in ("tree", "rep", "n", "label"))
-            bits = table.column("bits").to_pylist()
+            tree, pivot, rep, n, label = (table.column(c).to_numpy() for c in ("tree", "pivot", "rep", "n", "label"))
+            cut, bits = table.column("cut").to_numpy(), table.column("bits").to_pylist()
             cuts = np.append(np.flatnonzero(np.append(True, tree[1:] != tree[:-1])), len(tree))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                found, open_ = [], bool(cut[lo])
                 if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
-                    for i, j in tree_pairs(n[lo:hi], bits[lo:hi], label[lo:hi]):
-                        x, y = rep[lo:hi][i], rep[lo:hi][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    for i, j, score in tree_pairs(n[lo:hi], bits[lo:hi], label[lo:hi]):
+                        if forest is None:
+                            yield sent(rep[lo:hi][i], rep[lo:hi][j])
+                        else:
+                            found.append((i, j, score))
+                if found:
+                    i, j, score = map(np.concatenate, zip(*found, strict=True))
+                    if len(i) > DENSE * (hi - lo):
+                        open_ = True
+                        # after the first round any candidate will do, as the best have been tried
+                        edges = spanning(label[lo:hi], i, j, score if forest == 0 else np.random.default_rng(forest).random(len(i)))
+                        i, j = i[edges], j[edges]
+                    yield sent(rep[lo:hi][i], rep[lo:hi][j])
+                if open_ and forest is not None:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(pivot[lo : lo + 1])], ["a", "b", "pivot"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -366,7 +440,7 @@ def _traverse(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
         if held:
             yield from trees(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(walk, "a long, b long")
+    return rows.mapInArrow(walk, "a long, b long, pivot long")
 
 
 def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -375,57 +449,62 @@ def similar_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Two documents link when 100 * |A & B| >= 75 * |A | B| over their distinct shingles; component_id is the
     smallest doc_id reachable. Null and empty texts, and texts of blanks, have 0 shingles and link with
     nothing: component_id is their own doc_id. doc_id must be an integer and name one text; repeated rows
-    give a row each. Rows with a null doc_id link by equal sets only. Other columns are ignored; an empty
-    table gives no rows.
+    give a row each. Rows with a null doc_id link by equal sets only. Texts of any length are compared whole;
+    ties have no choice to make, as a link is symmetric and the smallest id is one. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     sig, id_type = signatures(docs)
     classes = write_shared(sig.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     class_of = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct()
     class_of = write_shared(class_of, "class-of")
-    # a list holds a document once, so that no list has more rows than there are documents
+    # rare shingles alone are listed here: no list holds more than a few documents of each chunk of text
     routed = sig.filter("doc_id IS NOT NULL").select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
     w = Window.partitionBy("token")
-    lists = routed.select("doc", F.min("doc").over(w).alias("first"), F.max("doc").over(w).alias("last")).filter("first <> last").select("first", "doc").distinct()
-    # copies give way to their representative; the lists of one smallest member are one tree
-    reps = lists.join(class_of.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("first", "rep").distinct()
-    members = reps.join(class_of.select(F.col("doc_id").alias("first"), F.col("rep").alias("pivot")), "first").select("pivot", "rep").distinct()
-    members = write_shared(members, "routes")
-    chosen = members.select("rep").union(members.select("pivot")).distinct()
+    lists = routed.select("doc", F.min("doc").over(w).alias("first"), F.max("doc").over(w).alias("last"), F.count(F.lit(1)).over(w).alias("count")).filter("first <> last")
+    lists = lists.groupBy("first", "doc").agg(F.max("count").alias("count"))
+    frequent = sig.filter("doc_id IS NOT NULL").select(F.explode("trees").alias("first"), F.col("doc_id").alias("doc"), F.lit(1 << 40).alias("count"))
+    # copies give way to their representative; trees of one smallest member are one
+    reps = lists.unionByName(frequent).join(class_of.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("first", "rep", "count")
+    members = reps.join(class_of.select(F.col("doc_id").alias("first"), F.col("rep").alias("pivot")), "first").groupBy("pivot", "rep").agg(F.max("count").alias("count"))
+    routes = write_shared(members, "routes")
+    chosen = routes.select("rep").union(routes.select("pivot")).distinct()
     sets = write_shared(sig.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").join(chosen, "rep", "left_semi").dropDuplicates(["rep"]), "sets", "lz4")
-    members = write_shared(members.join(sets.select("rep", "n"), "rep"), "members")
-
-    links = _verify(docs, _may_link(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets))
-    members = members.filter("rep <> pivot")  # every member has met its pivot
-    labels, dense = components(links), None
-    for probe in range(PROBES):
-        spread = _spread(members, labels)
-        if dense is not None:
-            spread = spread.join(dense, "pivot", "left_semi")
-        picks = [F.min_by(F.struct("rep", "label"), F.xxhash64(F.lit(PICKS * probe + i), "pivot", "rep")) for i in range(PICKS if probe else 1)]
-        chosen = spread.groupBy("pivot").agg(F.array(*picks).alias("picks")).select("pivot", F.explode("picks").alias("p"))
-        pairs = spread.join(chosen, "pivot").filter("label <> p.label").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        pairs = write_shared(_may_link(pairs, sets), "probes")
-        found = _verify(docs, pairs)
-        labels, n = merged(labels, found), found.count()
-        if n < DENSE or 20 * n < pairs.count():
-            break  # few of the rest link: the traversal takes them
-        ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
-        dense = write_shared(spread.join(ends, "rep", "left_semi").select("pivot").distinct(), "dense")
-    labels = merged(labels, _verify(docs, _traverse(_spread(members, labels), sets, block)))
+    members = write_shared(routes.filter("count > 2").select("pivot", "rep").join(sets.select("rep", "n"), "rep"), "members")
+    leaves = routes.filter("count = 2 AND rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+
+    labels, forest = None, 0
+    while True:
+        found = write_shared(_traverse(_labelled(members, labels), sets, block, forest), "found")
+        pairs = found.filter("a IS NOT NULL").select("a", "b")
+        pairs = write_shared((pairs if forest != 0 else pairs.unionByName(_may_link(leaves, sets))).distinct(), "pairs")
+        links = _verify(docs, pairs)
+        labels = components(links) if forest == 0 else merged(labels, links)
+        unfinished = write_shared(found.filter("pivot IS NOT NULL").select("pivot").distinct(), "unfinished")
+        if unfinished.isEmpty():
+            break
+        left = write_shared(members.join(unfinished, "pivot", "left_semi"), "members")
+        forest = forest + 1 if forest + 1 < FORESTS and (forest == 0 or links.count() >= FOUND) else None
+        discard(members, found, pairs, links, unfinished)
+        members = left
+    discard(routes, members, sets, class_of, found, pairs, links)
 
     by_class = classes.join(labels, classes.rep == labels.id, "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_shingles", F.coalesce("component", "doc_id").cast(id_type).alias("component_id"))
 
 
-def _spread(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (pivot, rep, n, label) of the trees that span several components, as a shared table."""
-    labelled = members.join(labels, members.rep == labels.id, "left").select("pivot", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    several = labelled.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("pivot")
-    return write_shared(labelled.join(several, "pivot", "left_semi"), "spread")
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (pivot, rep, n, label) with their components; before any is known, each is its own."""
+    if labels is None:
+        return members.select("pivot", "rep", "n", F.col("rep").alias("label"))
+    return members.join(labels, members.rep == labels.id, "left").select("pivot", "rep", "n", F.coalesce("label", "rep").alias("label"))
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; documents without shingles stay."""
+    """The document with the smallest doc_id of each component, with all its columns; documents without shingles stay.
+
+    Rows with a null doc_id stay; repeated rows of the document that stays all stay. An empty table gives no rows.
+    Columns of docs keep their names and values, whatever they are.
+    """
     found = similar_components(docs, **options).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__docloom_id")).distinct()
     return docs.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("__docloom_id")), "left_semi")

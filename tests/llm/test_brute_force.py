@@ -1,6 +1,7 @@
 """Operators against brute force, and classifiers against held-out rows."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -149,7 +150,7 @@ def test_tree_finds_every_pair_that_may_link():
     sets = [np.unique(rng.integers(0, 1 << 63, 60, np.uint64)) for _ in range(20)]
     sets += [np.unique(np.append(s[5:], rng.integers(0, 1 << 63, 4, np.uint64))) for s in sets]
     sizes = np.array([len(s) for s in sets])
-    found = {tuple(sorted((int(i), int(j)))) for a, b in jaccard_join.tree_pairs(sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(len(sets))) for i, j in zip(a, b, strict=True)}
+    found = {tuple(sorted((int(i), int(j)))) for a, b, _ in jaccard_join.tree_pairs(sizes, [jaccard_join.bitmap(s) for s in sets], np.arange(len(sets))) for i, j in zip(a, b, strict=True)}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
@@ -158,6 +159,44 @@ def test_tree_finds_every_pair_that_may_link():
     assert len(found) < 200
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(0, 5)), max_size=40), st.lists(st.integers(0, 11), min_size=12, max_size=12))
+def test_a_spanning_forest_joins_what_all_candidates_join(edges, labels):
+    i, j, score = (np.array([e[k] for e in edges], np.int64) for k in range(3))
+    kept = jaccard_join.spanning(np.array(labels), i, j, score)
+    assert len(kept) <= 11 and len(set(kept.tolist())) == len(kept)
+
+    def groups(pairs):
+        same = [(a, b) for a, b in itertools.combinations(range(12), 2) if labels[a] == labels[b]]
+        up = list(range(12))
+        for x, y in [*same, *pairs]:
+            x, y = up[x], up[y]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    assert groups([(int(i[k]), int(j[k])) for k in kept]) == groups([(a, b) for a, b, _ in edges])
+
+
+def one_group(rng, n):
+    """Near copies of one text, some linked through others alone, and texts near to all that link with none."""
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3]) if i % 5 else 2):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 2])] = [f"e{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2]))]
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("block", [1024, 16, 3])
+def test_a_large_group_of_near_copies_loses_no_link(spark, block):
+    texts = one_group(random.Random(9), 220) + near_copies(random.Random(10), 40)
+    found = jaccard_join.similar_components(docs(spark, texts).repartition(3), block=block).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in found] == brute_components(texts)
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -365,8 +404,6 @@ def test_language_model_on_held_out_rows():
 
 
 def test_forward_backward_equals_enumeration():
-    import itertools
-
     rng = np.random.default_rng(1)
     scores, moves, starts = rng.normal(size=(4, 1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
     p, pairs = language_id.forward_backward(scores, np.ones((4, 1), bool), moves, starts)
