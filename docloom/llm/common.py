@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z only, in str.translate.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
+#: Rows of a hot key, and hot keys that are broadcast at most.
+HOT, HOT_KEYS = 4096, 100_000
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/docloom"
 #: Rows of an Arrow batch while a shared table is written: texts are long, and batches are held on both sides.
 BATCH_ROWS, _BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
 
 
-def write_shared(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut lineage: write a table to the shared folder, and read it again.
+def write_shared(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
+    """Cut lineage: write a table to the shared folder (in a folder for each value of `by`), and read it again.
 
     The files outlive lost executors. They are deleted when the driver ends, or by drop_shared().
     """
@@ -41,7 +43,8 @@ def write_shared(df: DataFrame, name: str, compression: str = "zstd") -> DataFra
     rows = spark.conf.get(_BATCH_ROWS)
     spark.conf.set(_BATCH_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
     try:
-        df.write.option("compression", compression).parquet(path)
+        out = df.write.option("compression", compression)
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(_BATCH_ROWS, rows)
     if not _written:
@@ -72,6 +75,19 @@ def drop_shared(spark: SparkSession) -> None:
         _delete(spark, _written.popitem()[1][1])
 
 
+def by_key(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, and in `size` how many rows the key has.
+
+    Keys with over HOT rows would make one task long: they are joined by broadcast, if there are HOT_KEYS of them at
+    most, and all others by shuffle. With more hot keys than that no key stands out. Both inputs are read twice.
+    """
+    hot = table.filter(F.col(size) > HOT)
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.join(table, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col(size) <= HOT), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; lower() does so where the text is ASCII."""
     text = F.coalesce(text, F.lit(""))

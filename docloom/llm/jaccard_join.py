@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, discard, write_shared
+from docloom.llm.common import by_key, chunks, discard, write_shared
 from docloom.llm.graph import components, merged
 
 SHINGLE = 5
@@ -48,8 +48,6 @@ FREQUENT, LATE, FREQUENT_CHARS, ORDER_ROWS = 2, 8, 10_000_000, 200_000
 PART_CHARS = 1_000_000
 #: Ids that may be broadcast to pick the texts to verify; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
-#: Trees with more rows are joined to by broadcast, if they are HOT_TREES at most.
-HOT, HOT_TREES = 2048, 100_000
 #: 64-bit constants of the hashes: one for each byte (A-Z as a-z), and odd multipliers.
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(1, 1 << 63, 256, np.uint64)
@@ -343,16 +341,6 @@ def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray
     return np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
 
 
-def _planned(members: DataFrame, plan: DataFrame) -> DataFrame:
-    """Members with the plan of their tree, one row a tree; trees with very many members get theirs by broadcast."""
-    hot = plan.filter(F.col("size") > HOT)
-    if hot.limit(HOT_TREES + 1).count() > HOT_TREES:
-        return members.join(plan, "pivot")
-    first = members.join(F.broadcast(hot), "pivot")
-    rest = members.join(F.broadcast(hot.select("pivot")), "pivot", "left_anti").join(plan.filter(F.col("size") <= HOT), "pivot")
-    return first.unionByName(rest)
-
-
 def _traverse(members: DataFrame, sets: DataFrame, block: int, forest: int | None) -> DataFrame:
     """Candidates (a, b) from members (pivot, rep, n, label), and rows (pivot) of the trees that didn't send all, by dual traversal.
 
@@ -368,7 +356,7 @@ def _traverse(members: DataFrame, sets: DataFrame, block: int, forest: int | Non
     if forest is not None:
         picks = [F.min_by("rep", F.xxhash64(F.lit(CENTERS * forest + i), "rep")) for i in range(CENTERS)]
         centers = members.groupBy("pivot").agg(F.array_distinct(F.array(*picks)).alias("centers"))
-        near = _planned(members, write_shared(most.join(centers, "pivot"), "plan"))
+        near = by_key(members, write_shared(most.join(centers, "pivot"), "plan"), ["pivot"], "size")
         blocks = F.ceil(F.col("size") / block).cast("int")
         own = F.array(F.pmod(F.xxhash64(F.lit(forest), "rep"), blocks).cast("int"))
         at = F.when(F.array_contains("centers", F.col("rep")), F.sequence(F.lit(0), blocks - 1)).otherwise(own)
@@ -376,7 +364,7 @@ def _traverse(members: DataFrame, sets: DataFrame, block: int, forest: int | Non
     else:
         counts = members.join(most.select("pivot", "main"), "pivot").groupBy("pivot", "g").agg(*[F.ceil(F.count(F.when(c, 1)) / block).cast("int").alias(k) for c, k in ((F.col("label") == F.col("main"), "m"), (F.col("label") != F.col("main"), "o"))])
         plan = counts.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("m", "o")))).alias("k"))  # a row for each size class
-        near = _planned(members, write_shared(most.join(plan, "pivot"), "plan"))
+        near = by_key(members, write_shared(most.join(plan, "pivot"), "plan"), ["pivot"], "size")
         is_main, g = F.col("label") == F.col("main"), F.col("g")
         blocks = F.when(is_main, F.col("k")[g]["m"]).otherwise(F.col("k")[g]["o"])
         s = F.pmod(F.xxhash64("rep"), blocks).cast("int")

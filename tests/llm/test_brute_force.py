@@ -4,13 +4,15 @@ import hashlib
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
+from docloom.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
 from docloom.llm.graph import components, merged
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -23,7 +25,7 @@ def docs(spark, texts):
 # --- exact dedup
 
 
-def test_directory_doubles_and_chains():
+def test_directory_doubles():
     depth, directory, local = exact_dedup.double_directory({0: 5, 1: 1, 2: 1, 3: 1, 7: 9}, 3, 4)
     assert len(directory) == 2**depth and depth == 3
     for b, d in enumerate(local):
@@ -33,20 +35,56 @@ def test_directory_doubles_and_chains():
         assert {c >> (3 - local[b]) for c in range(8) if directory[c] == b} == {cell >> (3 - local[b])}
 
 
-@pytest.mark.parametrize("key_bits", [60, 3])
-def test_exact_groups_with_and_without_collisions(spark, key_bits):
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 63), st.integers(1, 9), max_size=64), st.integers(1, 40))
+def test_buckets_are_key_ranges_within_capacity(cells, capacity):
+    depth, directory, local = exact_dedup.double_directory(cells, 6, capacity)
+    assert directory == sorted(directory) and set(directory) == set(range(len(local))) and max(local) == depth
+    held = [sum(n for c, n in cells.items() if directory[c >> 6 - depth] == b) for b in range(len(local))]
+    assert all(n <= capacity or d == 6 for n, d in zip(held, local, strict=True))
+    total = sum(cells.values())
+    assert total > capacity or len(local) == 1
+
+
+@pytest.mark.parametrize(("key_bits", "hot"), [(60, 4096), (3, 4096), (60, 5), (3, 20)])
+def test_exact_groups_with_and_without_collisions(spark, monkeypatch, key_bits, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(1)
     texts = [rng.choice(["Abc", "abc", "ÄB", "äb", "x", None, ""]) if i % 2 else f"Doc {i % 40}" for i in range(300)]
-    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs(spark, texts), capacity=4, cell_bits=4, key_bits=key_bits).collect()}
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs(spark, texts), capacity=4, key_bits=key_bits).collect()}
     norm = [(t or "").translate(LOW) for t in texts]
     for i, n in enumerate(norm):
         same = [j for j, m in enumerate(norm) if m == n]
         assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (max(same), len(same), i == max(same), hashlib.sha256(n.encode()).hexdigest())
 
 
+def test_lookup_reads_the_bucket_that_the_directory_names(spark):
+    d = docs(spark, [f"text {i % 90}" for i in range(200)])
+    index = exact_dedup.build_index(d, capacity=4)
+    assert len(index.local) > 8 and len(index.directory) == 2**index.depth
+    for i in (0, 17, 89):
+        one = exact_dedup.digests(d.filter(F.col("doc_id") == i)).withColumn("bucket", index.bucket()).first()
+        assert one.bucket == index.directory[one.key >> 60 - index.depth]
+        own = index.chains.filter((F.col("bucket") == one.bucket) & (F.col("key") == one.key))
+        assert "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().toString()
+        assert [(r.slot, r.text_sha256) for r in own.collect()] == [(0, one.text_sha256)]
+    files = [f for f in index.chains.inputFiles() if "bucket=" in f]
+    assert len(files) == len(index.chains.inputFiles()) == len({f.split("bucket=")[1].split("/")[0] for f in files})  # one owner, one file
+
+
+def test_chains_hold_every_text_of_a_key(spark):
+    index = exact_dedup.build_index(docs(spark, [f"text {i % 50}" for i in range(100)]), capacity=4, key_bits=3)
+    slots = {}
+    for r in index.chains.collect():
+        slots.setdefault(r.key, []).append(r.slot)
+    assert sum(map(len, slots.values())) == 50 and all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) <= 8
+
+
 def test_exact_dedup_plan_is_native(spark):
     plan = exact_dedup.exact_groups(docs(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan.replace("LogicalRDD", ""))
+    source = Path(exact_dedup.__file__).read_text()
+    assert not re.search("udf|InPandas|InArrow|toPandas|toArrow|[.]rdd", source)
 
 
 # --- decontamination
@@ -272,20 +310,63 @@ def test_bootstrapping_discovers_identifiers_by_context(spark):
 
 
 def test_pattern_scores(spark):
-    edges = spark.createDataFrame([("L:mail", "email", i, True, 1) for i in range(4)] + [("L:mail", "email", 9, False, 1), ("L:the", "email", 1, True, 1), ("R:x", "email", 9, False, 1)], "pattern string, kind string, instance long, seed boolean, n long")
-    totals = spark.createDataFrame([("L:mail", 5), ("L:the", 1000), ("R:x", 1)], "pattern string, total long")
-    got = {r.pattern: r.confidence for r in pii.score_patterns(edges, totals).collect()}
-    assert got["L:mail"] > 0.9 and got["L:the"] < 0.01 and got["R:x"] > 0.5
+    edges = [("L:mail", i, "email", 1) for i in range(4)] + [("L:mail", 9, None, 1), ("L:the", 1, "email", 1), ("L:the", 2, "email", 1), ("L:the", 3, "email", 1)]
+    edges += [("R:x", i, None, 1) for i in (9, 10, 11, 12)] + [("L:to", i, None, 1) for i in (10, 11, 12, 13)] + [("L:mail", i, None, 1) for i in (11, 12)]
+    totals = spark.createDataFrame([("L:mail", 8), ("L:the", 1000), ("R:x", 4), ("L:to", 4)], "pattern string, total long")
+    score = lambda n: {r.pattern: r.confidence for r in pii.score_patterns(spark.createDataFrame(edges, "pattern string, instance long, kind string, n long"), totals, 1.2, 0.3, n).collect()}
+    assert score(1) == {"L:mail": pytest.approx(4 / 8)}  # seeds alone
+    assert score(2) == {"L:mail": pytest.approx((4 + 3 * 0.5) / 8), "R:x": pytest.approx(3 * 0.5 / 4)}  # what they discover supports a further pattern
+    last = score(9)
+    assert set(last) == {"L:mail", "R:x", "L:to"} and last["L:the"] < 0.01 if "L:the" in last else last["L:to"] > 0.3
+
+
+@pytest.mark.parametrize(("parts", "most", "held"), [(1, 200_000, 200_000), (7, 200_000, 3), (7, 2, 200_000), (7, 0, 3)])
+def test_pattern_totals_count_every_document(spark, parts, most, held):
+    filler = "so much filler text " * 60_000  # a chunk of its own
+    texts = [f"Near, u{i}@mail{i}.example.com here" for i in range(3)] + [f"{filler} (near) {i}" for i in range(4)] + ["near near", "and 12 near 345", None, ""]
+    patterns = spark.createDataFrame([("L:near",), ("R:here",), ("L:0 near",), ("L:filler text near",), ("R:absent",)], "pattern string")
+    totals = pii.pattern_totals(docs(spark, texts).repartition(parts), patterns, most, held)
+    assert {r.pattern: r.total for r in totals.collect()} == {"L:near": 10, "R:here": 3, "L:0 near": 1, "L:filler text near": 4, "R:absent": 0}
 
 
-@pytest.mark.parametrize(("parts", "most"), [(1, 200_000), (7, 200_000), (7, 3)])
-def test_pattern_totals_count_every_document(spark, parts, most):
-    filler = "so much filler text " * 60_000  # a chunk of its own
-    texts = [f"Near, u{i}@mail{i}.example.com here" for i in range(3)] + [f"{filler} (near) {i}" for i in range(4)] + ["near near", None, ""]
-    edges, totals = pii.pattern_graph(docs(spark, texts).repartition(parts), most)
-    assert {r.pattern: r.total for r in totals.collect()} == {"L:near": 9, "R:here": 3} and edges.count() == 6
-    assert pii.confident_patterns(docs(spark, texts)) == {("email", "L:near"), ("email", "R:here")}
-    assert pii.confident_patterns(docs(spark, [*texts, "near " * 9])) == {("email", "R:here")}
+def test_patterns_pass_by_what_they_match_in_all_documents(spark):
+    texts = [f"Near, u{i}@mail{i}.example.com here" for i in range(3)] + ["near near near near", None, ""]
+    assert set(pii.confident_patterns(docs(spark, texts))) == {"L:near", "R:here"}
+    assert set(pii.confident_patterns(docs(spark, [*texts, "near " * 9]))) == {"R:here"}
+    assert pii.confident_patterns(docs(spark, [texts[0]] * 5)) == {}  # one instance, five times
+
+
+def test_bootstrapping_goes_from_pattern_to_pattern(spark):
+    """Seeds support one pattern, what it discovers another, and that one finds identifiers that the seeds never met."""
+    texts = [f"customer mailbox is u{i}@mail{i}.example.com ok{i}x" for i in range(6)]
+    texts += [f"customer mailbox is jo{i} [at] site{i} [dot] org" for i in range(4)] + [f"reply address: jo{i} [at] site{i} [dot] org" for i in range(4)]
+    texts += [f"reply address: ann{i} (at) home{i} (dot) net" for i in range(3)] + [f"see item jo{i} [at] site{i} [dot] com" for i in range(3)]
+    got = pii.personal_data(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_added for r in got] == [0] * 6 + [1] * 11 + [0] * 3
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_planted_identifiers_are_discovered(spark, most):
+    """Unseen identifiers behind the contexts of seeds are found, and numbers elsewhere are left alone."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("river stone house green paper light table moving window under".split()) + rng.choice(["", "s", "ed"])
+    say = lambda n: " ".join(word() for _ in range(n))
+    seeds = {"email": lambda: f"{word()}.{rng.randrange(99)}@mail{rng.randrange(99)}.example.com", "phone": lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4))}
+    loose = {"email": lambda: f"{word()}{rng.randrange(99)} [at] host{rng.randrange(99)} [dot] org", "phone": lambda: f"555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", "ip": lambda: ":".join(f"{rng.randrange(1 << 16):04x}" for _ in range(8)) + "1"}
+    context = {"email": ["write to me at", "my mailbox is", "e-mail:"], "phone": ["call me on", "phone number", "ring"], "ip": ["logged in from", "host address", "client"]}
+    texts, planted, clean = [], {}, set()
+    for i in range(600):
+        kind, what = rng.choice(list(seeds)), i % 3
+        own = f"{rng.choice(context[kind])} {(seeds if what == 0 else loose)[kind]()}" if what < 2 else f"{word()} {loose[kind]()}"
+        texts.append(f"{say(20)} {own} {say(20)}")
+        if what == 1:
+            planted[i] = kind
+        elif what == 2:
+            clean.add(i)
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, texts), most=most).collect()}
+    found = [i for i, kind in planted.items() if any(s.startswith(kind) for s in got[i].spans.split(","))]
+    wrong = [i for i in clean if got[i].n_added]
+    assert len(found) >= 0.9 * len(planted) and len(wrong) <= 0.05 * len(clean)
 
 
 def test_patterns_over_the_bound_are_joined(spark):
@@ -299,6 +380,28 @@ def test_patterns_over_the_bound_are_joined(spark):
         assert sorted(map(str, pii.personal_data(d, most=most).collect())) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("a1.@+-() [:'", max_size=60))
+def test_loose_spans_touch_nothing(t):
+    base = pii.base_spans(t)
+    spans = pii.loose_spans(t, base)
+    assert spans == sorted(spans) and all(a < b and t[a:b].strip() == t[a:b] for a, b in spans)
+    assert all(b <= c for (_, b), (c, _) in itertools.pairwise(spans)) and not any(s < b and a < e for _, s, e in base for a, b in spans)
+
+
+def test_many_entities_in_one_text_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        text = " ".join(f"mail u{i}@x{i}.de or 555 {i:06d} or {i} [at] b{i}" for i in range(n))
+        began = time.perf_counter()
+        pii.all_spans(text, {"L:or": [("phone", 1.0)]})
+        secrets_scan.added_spans(text.replace(" ", "_token = "), [("assign", i, i + 1) for i in range(0, n * 10, 10)])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
 WORDS = ["password", "secret", "api_key", "apikey", "TOKEN", "passwd", "AKIA", "deadbeef" * 4, "=", ":", " ", '"', "'", "abc12345", "x", "0f", "AKIAABCDEFGH12345", "ſecret", "toKen"]
 
 
@@ -323,6 +426,72 @@ def test_lexing_adds_literals_by_name(text, found):
     assert sorted(text[s:e] for _, s, e in spans) == found
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ('{"db": {"user": "bob", "password_hash": "s3cr3tValue99x"}}', ["s3cr3tValue99x"]),
+    ("tokens:\n  github: gH7xPq92LmZt4\nother:\n  github: gH7xPq92LmZt5", ["gH7xPq92LmZt4"]),
+    ("[credentials]\nmain = Zx81kkQ9plm\n[colours]\nmain = Zx81kkQ9plo", ["Zx81kkQ9plm"]),
+    ('# old_auth_pwd = "q1w2e3r4t5y6"\nx = 1', ["q1w2e3r4t5y6"]),
+    ('/* k = "aaaa1111bb" */ auth_pwd = k', []),
+    ('def a():\n    k = "aaaa1111bb"\nauth_pwd = k', []),
+    ('k = "aaaa1111bb"\ndef a():\n    auth_pwd = k', ["aaaa1111bb"]),
+    ('k = "aaaa1111bb"; f() { k = "cccc3333dd"; auth_pwd = k }', ["cccc3333dd"]),
+    ('auth_pwd = "quo\\"ted1x9" + more', ['quo\\"ted1x9']),
+    ("auth_pwd: str = 'zz99yy88xx77'", ["zz99yy88xx77"]),
+    ("private_key: |\n  -----BEGIN KEY-----\n  MIIEabcd1234EFGH5678ijkl\n  MIIEabcd1234EFGH5678ijkm\n  -----END KEY-----\nnext: 1", ["-----BEGIN KEY-----\n  MIIEabcd1234EFGH5678ijkl\n  MIIEabcd1234EFGH5678ijkm\n  -----END KEY-----"]),
+    ("SIGNING_KEY=$(cat <<EOF\nq1w2\nEOF\n)\nAUTH_PWD=<<EOF\nzz99yy88xx77\nEOF\n", ["zz99yy88xx77"]),
+    ("curl -H 'x' --auth-pwd=zz99yy88xx77 -pw qq99yy88xx77 -v", ["zz99yy88xx77", "qq99yy88xx77"]),
+    ('client.set_auth_pwd("zz99yy88xx77"); m.put("auth_pwd", "qq99yy88xx77"); m["auth_pwd"] = "rr99yy88xx77"', ["zz99yy88xx77", "qq99yy88xx77", "rr99yy88xx77"]),
+    ("Authorization_Key: Bearer zz99yy88xx77", ["zz99yy88xx77"]),
+    ("see https://bob:zz99yy88xx77@host/path", ["zz99yy88xx77"]),
+    ('<server auth_pwd="zz99yy88xx77"><authKey>qq99yy88xx77</authKey></server>', ["zz99yy88xx77", "qq99yy88xx77"]),
+    ("don't use my auth: it isn't there, key: value, that's all", []),
+    ('auth_key = get_auth_key\ntoken_type = "access_token"', []),
+])
+def test_lexer_reads_many_kinds_of_syntax(text, found):
+    assert sorted(text[s:e] for _, s, e in secrets_scan.added_spans(text, secrets_scan.base_spans(text))) == sorted(found)
+
+
+def test_planted_secrets_are_found_and_other_literals_left():
+    rng = random.Random(3)
+    value = lambda: "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(rng.randrange(12, 300)))
+    bad = ["auth_pwd", "signingKey", "db.credentials", "PASSPHRASE", "bearerAuth", "private-access-key", "encryptionKey"]
+    good = ["title", "colour", "commit", "build_id", "path", "etag"]
+    forms = ['{n} = "{v}"', "{n}: {v}", '{{"{n}": "{v}"}}', "export {n}={v}", "--{n} {v}", "<{n}>{v}</{n}>", "x = '{v}'\n{n} = x", 'call("{n}", "{v}")', "{n}: |\n  {v}\n", '{n} = """{v}"""', "{n} <- 1\n{n} = <<END\n{v}\nEND"]
+    say = lambda: " ".join(rng.choice("some words stand here and there with".split()) for _ in range(8))
+    hit = wrong = 0
+    for i in range(400):
+        v, secret = value(), i % 2 == 0
+        text = f"{say()}.\n{rng.choice(forms).format(n=rng.choice(bad if secret else good), v=v)}\n{say()}"
+        base = secrets_scan.base_spans(text)
+        spans = base + secrets_scan.added_spans(text, base)
+        got = any(text[s:e] == v for _, s, e in spans)
+        hit, wrong = hit + (got and secret), wrong + (bool(spans) and not secret)
+    assert hit >= 0.95 * 200 and wrong <= 0.02 * 200
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["pwd", "key", "a", "=", ":", " ", "\n", "  ", '"', "'", "`", '"""', "{", "}", "(", ")", "[", "]", "<", ">", "/", "<<E\n", "E", "|", "+", "\\", "#", "//", "/*", "*/", "<!--", "-->", "--", "q1w2e3r4t5", "$x", ","]), max_size=40))
+def test_lexer_takes_any_text(parts):
+    t = "".join(parts)
+    assert all(t[a:b] == literal and names for literal, (a, b), names in secrets_scan.literals(t))
+    base = secrets_scan.base_spans(t)
+    added = secrets_scan.added_spans(t, base)
+    assert not any(s < e2 and s2 < e for _, s, e in added for _, s2, e2 in base) and all(x[2] <= y[1] for x, y in itertools.pairwise(added))
+
+
+@pytest.mark.parametrize("unit", ["/* ", "<!-- ", '"', "<<A{i}\n", "key: ", "key = (", "{", "a.b.c", "<a ", "x" * 50, "key: |\n  a\n", "(key = ", "[", "'"])
+def test_lexing_takes_linear_time(unit):
+    import time
+
+    took = []
+    for n in (1500, 6000):
+        text = "pwd " + "".join(unit.replace("{i}", str(i)) for i in range(n))
+        began = time.perf_counter()
+        secrets_scan.literals(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.05
+
+
 def test_long_literals_are_found_whole():
     long = "aB3" * 300 + "+/"
     for text in (f"<api_token>{long}</api_token>", f"run --api-token {long} now"):

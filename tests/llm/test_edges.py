@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
+from docloom.llm import common, decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id long, rep long, label string, size long, tie long, key long"
 LONG = "lorem ipsum dolor sit amet. " * 20_000
@@ -111,8 +111,18 @@ def test_queries_are_registered():
     assert {q.split("_")[0] for q in e.queries() if q.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
 
 
-def test_skewed_key_is_split(spark):
-    """A text that a third of the rows share is combined before the shuffle."""
+def test_skewed_key_is_split(spark, monkeypatch):
+    """A text that a third of the rows share reaches its owner as a row for each map task, and its entries meet it by broadcast."""
+    monkeypatch.setattr(common, "HOT", 500)
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
-    got = exact_dedup.exact_groups(d).groupBy("group_size").count().collect()
+    found = exact_dedup.exact_groups(d)
+    got = found.groupBy("group_size").count().collect()
     assert {(r.group_size, r["count"]) for r in got} == {(1000, 1000), (1, 2000)}
+    assert found._jdf.queryExecution().toString().count("BroadcastHashJoin") >= 2
+
+
+def test_one_of_rows_that_differ_elsewhere_is_always_the_same(spark):
+    rows = [(1, "a", s) for s in ("x", "y", "z", None)] + [(None, "b", "q"), (None, "b", "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 3, 5):
+        assert [(r.doc_id, r.source) for r in exact_dedup.keep_rows(d.repartition(parts)).orderBy("doc_id").collect()] == [(None, "q"), (1, "x")]
