@@ -98,22 +98,44 @@ def edition(document_id: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(document_id, F.lit("20[0-9]{2}"), F.lit(0)), F.lit(-1)), document_id)
 
 
+#: How quarters are written.
+QUARTERS = {
+    "Q1": r"(?:प्रथम|\b1st|\bfirst)\s*(?:तिमाही|quarter)|\bQ1\b|\bquarter\s*1\b", "Q2": r"(?:द्वितीय|\b2nd|\bsecond)\s*(?:तिमाही|quarter)|\bQ2\b|\bquarter\s*2\b",
+    "Q3": r"(?:तृतीय|\b3rd|\bthird)\s*(?:तिमाही|quarter)|\bQ3\b|\bquarter\s*3\b", "Q4": r"(?:चतुर्थ|\b4th|\bfourth)\s*(?:तिमाही|quarter)|\bQ4\b|\bquarter\s*4\b",
+}
+
+
 def quarter(text: Column) -> Column:
-    """Q1 to Q4 first; then Annual or Quarterly; null otherwise."""
-    q = F.upper(F.regexp_extract(text, r"(?i)\b(Q[1-4])\b", 1))
+    """Q1 to Q4, as a sign or in words; then Annual or Quarterly; null otherwise."""
+    out = F.when(F.lit(False), "")
+    for name, pattern in QUARTERS.items():
+        out = out.when(text.rlike(f"(?i){pattern}"), name)
     low = F.lower(text)
-    return F.when(q != "", q).when(low.rlike("annual|वार्षिक"), "Annual").when(low.rlike("quarterly|तिमाही"), "Quarterly")
+    return out.when(low.rlike("annual|वार्षिक"), "Annual").when(low.rlike("quarterly|तिमाही|त्रैमासिक"), "Quarterly")
+
+
+_YEAR = "(19[89][0-9]|20[0-3][0-9])"
+
+
+def page_year(text: Column) -> Column:
+    """The year of one page: next to a year word, a range's first year, or the commonest of 1990 to 2035 in its first 1,200 characters (the first of equal ones)."""
+    text = ascii_digits(F.coalesce(text, F.lit("")))
+    found = [F.regexp_extract(text, rf"(?i){p}", 1) for p in (rf"(?:year|वर्ष|fy|edition|अंक|annual|वार्षिक)\D{{0,12}}?{_YEAR}", rf"(?:date|दिनांक)\s*[:–—-]?\s*[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-]{_YEAR}", rf"\b{_YEAR}\s*[-–—/]\s*[0-9]{{2,4}}\b")]
+    years = F.filter(F.transform(F.regexp_extract_all(F.substring(text, 1, 1200), F.lit(rf"\b{_YEAR}\b"), F.lit(1)), lambda y: y.cast("int")), lambda y: (y >= 1990) & (y <= 2035))
+    counted = F.transform(F.array_distinct(years), lambda y, i: F.struct(F.size(F.filter(years, lambda z: z == y)).alias("n"), (-i).alias("i"), y.alias("y")))
+    return F.coalesce(*[F.when(x != "", x.cast("int")) for x in found], F.array_max(counted)["y"])
+
+
+def file_year(filename: Column) -> Column:
+    """The year of a file name: four digits, or `edition NN` of 20 to 35."""
+    name = ascii_digits(F.coalesce(filename, F.lit("")))
+    whole, short = F.regexp_extract(name, "((?:199|20[0-3])[0-9])", 1), F.regexp_extract(name, r"(?i)edition[_\s]*([0-9]{2})(?![0-9])", 1).try_cast("int")
+    return F.coalesce(F.when(whole != "", whole.cast("int")), F.when(short.between(20, 35), short + 2000))
 
 
 def year_of(text: Column, filename: Column) -> Column:
-    """The year next to a year word, a range's first year, the commonest of 1990 to 2035, or the file name's."""
-    near = F.regexp_extract(text, r"(?i)(?:year|वर्ष|fy)\D{0,12}((?:19|20)[0-9]{2})", 1)
-    span = F.regexp_extract(text, r"((?:19|20)[0-9]{2})\s*[-–]\s*(?:(?:19|20)?[0-9]{2})", 1)
-    years = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:19|20)[0-9]{2}"), F.lit(0)), lambda y: y.cast("int")), lambda y: (y >= 1990) & (y <= 2035))
-    counted = F.transform(F.array_distinct(years), lambda y: F.struct(F.size(F.filter(years, lambda z: z == y)).alias("n"), (-y).alias("y")))
-    common = -F.array_max(counted)["y"]
-    named = F.regexp_extract(filename, r"((?:19|20)[0-9]{2})", 1)
-    return F.coalesce(*[F.when(x != "", x.cast("int")) for x in (near, span)], common, F.when(named != "", named.cast("int")))
+    """page_year(), else file_year()."""
+    return F.coalesce(page_year(text), file_year(filename))
 
 
 def token_hash(token: Column) -> Column:

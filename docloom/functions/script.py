@@ -35,8 +35,15 @@ def script_of(text: Column) -> Column:
     return F.when(hindi & latin, "mixed_hinglish").when(hindi, "devanagari_hindi").when(latin, "latin_english_or_hinglish").otherwise("neutral")
 
 
-def repair(text: Column) -> Column:
-    """A blank between a consonant and its vowel sign goes, zero-width and private-use characters too; blanks are squeezed."""
+def repair(text: Column, compose: bool = False, repairs: dict[str, str] | None = None) -> Column:
+    """A blank between a consonant and its vowel sign goes, zero-width and private-use characters too; blanks are squeezed.
+
+    compose applies NFKC first (in Arrow batches; the rest is built in). repairs are patterns and replacements of an
+    OCR dictionary, which is data of a corpus and none by default.
+    """
+    text = nfkc(text) if compose else text
+    for pattern, by in (repairs or {}).items():
+        text = F.regexp_replace(text, pattern, by)
     text = F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{FEFF}\x{E000}-\x{F8FF}]", "")
     text = F.regexp_replace(text, r"([\x{0915}-\x{0939}]) +([\x{093E}-\x{094D}])", "$1$2")
     return F.trim(F.regexp_replace(text, r"[ \t]+", " "))
@@ -157,6 +164,66 @@ def title_score_text(query: str | None, title: str | None, aliases: list[str] |
     return max(len(a & b) / len(a | b), 0.92 * seq_ratio_text(q, t))
 
 
+def segments_score_text(query: str | None, title: str | None) -> float:
+    """title_score_text() of the title or of its best part between colons, dashes and bars."""
+    parts = [p for p in re.split(r"\s*[:：|–—]\s*|\s-\s", title or "") if p.strip()]
+    return max([title_score_text(query, title), *(title_score_text(query, p) for p in parts if len(parts) > 1 and len(p.split()) > 1)])
+
+
+def spelled_similarity_text(a: str | None, b: str | None) -> float:
+    """The mean, over the words of a, of the best ratio to a word of b, on Roman spellings; 0 where either has none."""
+    q, t = romanize_text(a).split(), romanize_text(b).split()
+    return sum(max(seq_ratio_text(x, y) for y in t) for x in q) / len(q) if q and t else 0.0
+
+
+#: Words that say nothing of a title.
+TITLE_STOP = frozenset("in on at and or to is this its the of a an ka ke ki me mein men par hai aur".split())
+
+
+def _skeleton_text(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", re.sub("[^bcdfghjklmnpqrstvwxyz]", "", word.lower()))
+
+
+def article_score_text(query: str | None, title: str | None) -> float:
+    """1 for equal texts or Roman forms, 0.95 where one holds the other (4 letters or more), else by shared consonant skeletons: 0.7 of the question's, 0.3 of the title's; 0 below 0.40."""
+    plain = lambda t: re.sub(r"[^\wऀ-ॿ]+", " ", (t or "").lower()).strip()
+    for a, b in ((plain(query), plain(title)), (romanize_text(query), romanize_text(title))):
+        if a and a == b:
+            return 1.0
+        if len(a) >= 4 and b and (a in b or b in a):
+            return 0.95
+    bones = lambda t: {_skeleton_text(w) for w in romanize_text(t).split() if w not in TITLE_STOP and len(w) > 2} - {""}
+    q, t = bones(query), bones(title)
+    both = len(q & t)
+    if not both or (both < 2 and both / len(q) < 0.5):
+        return 0.0
+    score = 0.7 * both / len(q) + 0.3 * both / len(t)
+    return score if score >= 0.40 else 0.0
+
+
+def token_forms(text: str, terms: dict[str, str] | None = None) -> list[str]:
+    """Tokens of a question, their Roman and phonetic forms, and their other names by a table of terms; each once."""
+    own = re.findall("[\\wऀ-ॿ]+", text.lower())
+    roman = romanize_text(text).split()
+    return list(dict.fromkeys([*own, *roman, *map(phonetic_text, roman), *((terms or {})[t] for t in own if t in (terms or {}))]))
+
+
+def clean_key(text: Column) -> Column:
+    """A label without bullets, numbering and the colon at its end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*(?:[-•*▪]|\(?[0-9ivx]{1,4}[.)]|\([a-zA-Zक-ह]\))\s*", ""), r"\s*[:：]\s*$", ""))
+
+
+def clean_value(text: Column) -> Column:
+    """A value without a colon or dash before it, blanks squeezed; null where nothing is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*[:：–—-]\s*", ""), r"\s+", " "))
+    return F.when(bare != "", bare)
+
+
+def generic_header(text: Column) -> Column:
+    """Whether a header says nothing: blank, a number, `Column n`, serial number, or remarks."""
+    return F.lower(F.trim(F.coalesce(text, F.lit("")))).rlike(r"^(?:|[0-9]+\.?|\([0-9]+\)|column [0-9]+|s\.? ?no\.?|sr\.? ?no\.?|serial(?: number)?|क्रम(?:ांक| सं\.?)?|remarks?|टिप्पणी)$")
+
+
 def cross_script_match_text(a: str, b: str) -> bool:
     """Stems of one script, or Roman forms of 5 letters or more alike by 0.78 with lengths within 3."""
     short, long = sorted((a, b), key=len)
@@ -190,5 +257,8 @@ devanagarize = _mapped("string", devanagarize_text)
 person_key = _mapped("string", person_key_text)
 seq_ratio = _mapped("double", seq_ratio_text)
 title_score = _mapped("double", title_score_text)
+segments_score = _mapped("double", segments_score_text)
+article_score = _mapped("double", article_score_text)
+spelled_similarity = _mapped("double", spelled_similarity_text)
 same_person = _mapped("boolean", same_person_text)
 cross_script_match = _mapped("boolean", cross_script_match_text)

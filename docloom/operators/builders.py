@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as nb
+from docloom.functions import script
+from docloom.operators import pages as page_text
+from docloom.operators import tables, terms
 
 PERIOD_WORDS = r"(?i)quarter|period|ending|ended|तिमाही|अवधि|समाप्त"
 #: Lines that a masthead heading may have below it, and that a list heading is looked for.
@@ -99,3 +102,68 @@ def address_continuation(lines: DataFrame) -> DataFrame:
     own = F.trim(F.regexp_extract("line", r"[:：]\s*(.*)$", 1))
     more = F.when(F.col("after").isNotNull() & ~F.col("after").rlike("[:：]") & (F.trim("after") != ""), F.concat(F.lit(", "), F.trim("after"))).otherwise("")
     return lines.withColumn("after", after).filter(F.lower("line").rlike(r"address|पता")).withColumn("value", F.concat(own, more)).drop("after")
+
+
+def form_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tables, cells) of the form blocks of pages: a two-column table for each page with enough `label : value` lines."""
+    pairs = terms.form_pairs(pages)
+    tid = F.concat("document_id", F.lit(":p"), F.col("page_number").cast("string"), F.lit(":form"))
+    rows = pairs.withColumn("table_id", tid).withColumn("row_index", (F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("position")) - 1).cast("int"))
+    return _made(rows, ["Field", "Value"], ["label", "value"], "key_value_form")
+
+
+def period_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tables, cells) of lines with a date and a period word: a table of one row for each."""
+    rows = period_fields(pages)
+    nth = F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("label", "value"))
+    rows = rows.withColumn("table_id", F.concat("document_id", F.lit(":p"), F.col("page_number").cast("string"), F.lit(":period"), nth.cast("string"))).withColumn("row_index", F.lit(0))
+    return _made(rows, ["Period", "Value"], ["label", "value"], "period_field_pattern")
+
+
+def _made(rows: DataFrame, headers: list[str], columns: list[str], method: str) -> tuple[DataFrame, DataFrame]:
+    cells = F.array(*[F.struct(F.lit(i).alias("col_index"), F.lit(h).alias("header"), F.col(c).alias("value")) for i, (h, c) in enumerate(zip(headers, columns, strict=True))])
+    long = rows.select("document_id", "table_id", "row_index", F.explode(cells).alias("c")).select("document_id", "table_id", "row_index", "c.*")
+    return rows.select("document_id", "table_id", "page_number", F.lit(method).alias("extraction_method")).distinct(), long
+
+
+def extracted_tables(pages: DataFrame, matrices: DataFrame | None = None, native: str = "docx_xml") -> tuple[DataFrame, DataFrame]:
+    """(tables, cells) of documents: native matrices (document_id, table_id, matrix, page_number), form blocks, then period fields.
+
+    Cells are cleaned and normalised; tables of one page with the same headers and rows are one, the first by id. Each
+    table has its heading (from its page), extraction method and confidence.
+    """
+    parts = [form_tables(pages), period_tables(pages)]
+    if matrices is not None:
+        clean = F.transform("matrix", lambda row: F.transform(row, lambda v: script.repair(F.coalesce(v, F.lit("")))))
+        rows = matrices.withColumn("matrix", clean)
+        page = F.col("page_number") if "page_number" in matrices.columns else F.lit(None).cast("int")
+        own = rows.select("document_id", "table_id", page.alias("page_number"), F.lit(native).alias("extraction_method"))
+        parts.insert(0, (own, tables.matrix_cells(rows).join(own.select("document_id", "table_id"), "table_id")))
+    every, cells = parts[0]
+    for t, c in parts[1:]:
+        every, cells = every.unionByName(t), cells.unionByName(c)
+    whole = cells.groupBy("document_id", "table_id").agg(F.array_sort(F.collect_set(F.struct("col_index", "header"))).alias("headers"), F.collect_list(F.struct("row_index", "col_index", "value")).alias("c"))
+    by_row = F.transform(F.array_distinct(F.transform("c", lambda x: x["row_index"])), lambda i: F.struct(F.array_join(F.transform(F.array_sort(F.filter("c", lambda x: x["row_index"] == i)), lambda x: F.coalesce(x["value"], F.lit(""))), "\u001f").alias("row")))
+    unique = tables.dedup_tables(every.join(whole, ["document_id", "table_id"]).withColumn("rows", by_row)).select("document_id", "table_id", "page_number", "extraction_method")
+    cells = cells.join(unique.select("table_id"), "table_id", "left_semi")
+    forms = every.filter(~F.col("extraction_method").isin("docx_xml", "pdfplumber")).select("table_id").distinct()
+    sure = tables.confidence(cells.join(forms, "table_id", "left_anti")).unionByName(tables.confidence(cells.join(forms, "table_id", "left_semi"), form=True))
+    headings = pages.select("document_id", "page_number", page_text.heading(F.col("text")).alias("heading"))
+    listed = unique.join(headings, ["document_id", "page_number"], "left").join(sure, "table_id", "left")
+    return listed, cells
+
+
+def document_leaves(entries: DataFrame, cells: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Leaves of documents from contents, tables, forms and prose, mastheads and lists, in this order of preference.
+
+    Contents count for documents that aren't reports; a first key that an earlier part has is left out later.
+    """
+    lines = lines_of(pages)
+    pairs = terms.form_pairs(pages).filter("value_state <> 'blank'").select("document_id", F.array("label").alias("path"), "value")
+    reports = documents.filter("document_type = 'report'")
+    return assemble([contents_leaves(entries), table_leaves(cells), pairs, address_leaves(lines), masthead_leaves(lines), prose_leaves(lines), list_leaves(lines)], reports)
+
+
+def address_leaves(lines: DataFrame) -> DataFrame:
+    """(document_id, path, value) of address lines that go on in the next one."""
+    return address_continuation(lines).filter("value <> '' AND contains(value, ', ')").select("document_id", F.array(F.lit("Full address")).alias("path"), "value").dropDuplicates(["document_id"])

@@ -14,20 +14,20 @@ from docloom.functions import tokens as tk
 ACCEPT_CELL, EARLY_PAGES, EARLY_LEAST, SOURCES = 3.0, 8, 5, 12
 
 
-def cell_scores(cells: DataFrame, query: list[str], expected: str | None = None, region: str | None = None, counting: bool = False) -> DataFrame:
-    """Adds score to cells (header, label, value): overlap of words, type, region and count terms; 3.0 and more are kept."""
-    words = F.array(*[F.lit(w) for w in query]) if query else F.array().cast("array<string>")
-    described = tk.tokens(F.concat_ws(" ", "header", "label"))
-    score = 12 * tk.token_overlap(words, described)
+def cell_scores(cells: DataFrame, queries: list[list[str]], expected: str | None = None, regions: tuple[str, ...] = (), counting: bool = False) -> DataFrame:
+    """Adds score to cells (label, value; header or description; regions): the best overlap over the question's variants, type, region and count terms; 3.0 and more are kept."""
+    own = [c for c in ("description", "header") if c in cells.columns][0]
+    described = tk.tokens(F.concat_ws(" ", own, "label"))
+    overlaps = [tk.token_overlap(F.array(*[F.lit(w) for w in q]), described) for q in queries if q]
+    score = 12 * (F.greatest(*overlaps) if len(overlaps) > 1 else overlaps[0] if overlaps else F.lit(0.0))
     flags = nb.cell_flags(F.col("value"))
     if counting:
         score = score + F.when(flags["yes_no"] | ~flags["has_digit"], -8.0).otherwise(0.0) + F.when(flags["percent"], -18.0).when(flags["date"], -20.0).when(flags["pure_number"], 6.0).otherwise(0.0)
     wanted = {"PERCENTAGE": ("percent", 15.0, -18.0), "DURATION": ("duration", 15.0, -20.0), "DATE": ("date", 15.0, -18.0)}.get(expected or "")
     if wanted:
         score = score + F.when(flags[wanted[0]], wanted[1]).otherwise(wanted[2])
-    if region:
-        own = F.col("region") if "region" in cells.columns else F.lit(None).cast("string")
-        score = score + F.when(own == region, 8.0).when(own.isNotNull(), -15.0).otherwise(0.0)
+    if regions and "regions" in cells.columns:
+        score = score + F.when(F.arrays_overlap("regions", F.array(*map(F.lit, regions))), 8.0).when(F.size("regions") > 0, -15.0).otherwise(0.0)
     score = score + F.when(F.trim(F.coalesce("value", F.lit(""))) == "", -8.0).otherwise(0.0)
     return cells.withColumn("score", F.round(score, 3)).filter(F.col("score") >= ACCEPT_CELL)
 
@@ -114,6 +114,39 @@ def chart(wide: DataFrame, label: str, periods: list[str], unit: str = "") -> Da
     return rows.select(F.lit("bar").alias("type"), F.transform("r", _field(label)).alias("labels"), series.alias("series"), F.lit(unit).alias("unit"))
 
 
+#: Shapes of chart text that charts are read from.
+_CHART = "type string, labels array<string>, series array<struct<name:string,values:array<double>>>, unit string"
+_SHAPES = "chart string, type string, labels array<string>, categories array<string>, values array<double>, data string, series string, datasets string, rows string, unit string"
+
+
+def chart_of(text: Column) -> Column:
+    """A chart out of JSON text in any of five shapes: series with values; datasets with data; labels and values; rows of label and value; one of these under `chart`. Null for anything else."""
+    inner = F.get_json_object(text, "$.chart")
+    own = F.from_json(F.coalesce(F.when(F.startswith(F.trim(inner), F.lit("{")), inner), text), _SHAPES)
+    labels = F.coalesce(own["labels"], own["categories"])
+    series = F.from_json(own["series"], "array<struct<name:string,label:string,values:array<double>,data:array<double>>>")
+    sets = F.from_json(own["datasets"], "array<struct<name:string,label:string,values:array<double>,data:array<double>>>")
+    rows = F.from_json(F.coalesce(own["rows"], own["data"]), "array<struct<label:string,name:string,value:double>>")
+    rows = F.filter(rows, lambda r: r["value"].isNotNull())
+    named = lambda s: F.transform(s, lambda x, i: F.struct(F.coalesce(x["name"], x["label"], F.concat(F.lit("Series "), (i + 1).cast("string"))).alias("name"), F.coalesce(x["values"], x["data"]).alias("values")))
+    one = lambda v: F.array(F.struct(F.lit("Value").alias("name"), v.alias("values")))
+    numbers = F.coalesce(own["values"], F.from_json(own["data"], "array<double>"))
+    made = F.when(F.size(series) > 0, named(series)).when(F.size(sets) > 0, named(sets)).when(F.size(rows) > 0, one(F.transform(rows, lambda r: r["value"]))).when(F.size(numbers) > 0, one(numbers))
+    axis = F.when(F.size(rows) > 0, F.transform(rows, lambda r: F.coalesce(r["label"], r["name"]))).otherwise(labels)
+    return F.when(made.isNotNull(), F.struct(F.coalesce(own["type"], F.lit("bar")).alias("type"), F.coalesce(labels, axis, F.array().cast("array<string>")).alias("labels"), made.alias("series"), F.coalesce(own["unit"], F.lit("")).alias("unit")))
+
+
+def chart_json(charts: DataFrame) -> DataFrame:
+    """(chart): chart rows as JSON text, which chart_of() reads back."""
+    return charts.select(F.to_json(F.struct("type", "labels", "series", "unit")).alias("chart"))
+
+
+def comparison_table(wide: DataFrame, label: str, periods: list[str]) -> DataFrame:
+    """(label, values MAP<period, value>, change, change_pct) of a comparison's rows."""
+    pairs = [x for p in periods for x in (F.lit(str(p)), F.col(f"`{p}`").cast("double"))]
+    return wide.select(F.col(label).alias("label"), F.create_map(*pairs).alias("values"), "change", "change_pct")
+
+
 def _field(name: str):
     return lambda r: r[name]
 
@@ -135,11 +168,35 @@ def common_type(documents: DataFrame) -> DataFrame:
     return documents.agg(F.when(F.count_distinct("document_type") == 1, F.max("document_type")).alias("document_type"))
 
 
+#: What answers an expected type in a text, each shape in order of preference.
+SPANS = {
+    "DURATION": (r"(?:for\s+)?([0-9]+\s*(?:to\s*[0-9]+\s*)?(?:days?|weeks?|months?|years?|hours?|minutes?|दिन|माह|वर्ष|घंटे?))",),
+    "MONETARY": (r"((?:₹|Rs\.?)\s*[0-9][0-9,.]*(?:\s*(?:lakh|crore))?)", r"([0-9][0-9,.]*\s*(?:lakh|crore)?\s*(?:rupees|रुपये|रुपए))"),
+    "PERCENTAGE": (r"([0-9]+(?:\.[0-9]+)?\s*(?:%|percent|प्रतिशत))",),
+    "DATE": (rf"({nb.DATE})", r"\b([0-9]{1,2}\s+[A-Z][a-z]+,?\s+(?:19|20)[0-9]{2})\b", r"\b([A-Z][a-z]+\s+[0-9]{1,2},\s+(?:19|20)[0-9]{2})\b"),
+    "COUNT": (r"\b([0-9][0-9,]*)\s+(?=[a-zऀ-ॿ])", r"\b([0-9][0-9,]*)\b"),
+    "PERSON": (r"\b((?:Shri|Smt|Dr|Mr|Mrs|Ms|Prof)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", r"\bby\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"),
+    "RECIPIENT": (r"(?:awarded|presented|given|sent|addressed)\s+to\s+((?:[A-Z][\w.]*\s*)+)",),
+    "AWARD": (r"\b((?:[A-Z][a-z]+\s+)*(?:Award|Prize|Medal|Shield|Trophy))\b", r"([\u0900-\u097F]+\s+(?:पुरस्कार|सम्मान))"),
+    "LOCATION": (r"(?:held|located|situated|organi[sz]ed)\s+(?:in|at)\s+((?:[A-Z][\w.]*[\s,]*)+)", r"\bin\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"),
+}
+
+
 def factual_span(kind: str | None, text: str) -> str | None:
-    """What answers an expected type in a text: a duration, an amount, a percentage, a date, a count or a person."""
-    shapes = {
-        "DURATION": r"[0-9]+\s*(?:days?|weeks?|months?|years?|hours?|दिन|माह|वर्ष|घंटे?)", "MONETARY": r"(?:₹|Rs\.?)\s*[0-9][0-9,.]*(?:\s*(?:lakh|crore))?|[0-9][0-9,.]*\s*(?:rupees|रुपये|रुपए)", "PERCENTAGE": r"[0-9]+(?:\.[0-9]+)?\s*(?:%|percent|प्रतिशत)",
-        "DATE": nb.DATE + r"|\b[0-9]{1,2}\s+[A-Z][a-z]+\s+(?:19|20)[0-9]{2}\b", "COUNT": r"\b[0-9][0-9,]*\b", "PERSON": r"(?:(?:Shri|Smt|Dr|Mr|Mrs|Ms)\.?\s+)?[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+",
-    }
-    m = re.search(shapes[kind], text) if kind in shapes else None
-    return m[0].strip() if m else None
+    """What answers an expected type in a text: a duration, amount, percentage, date, count, person, recipient, award or place; None for other types."""
+    for shape in SPANS.get(kind or "", ()):
+        if m := re.search(shape, text):
+            return m[1].strip(" ,")
+    return None
+
+
+def span_kind(question: str, expected: str | None) -> str | None:
+    """The span that a question asks for: a place, a recipient or an award by its words, else its expected type."""
+    low = question.lower()
+    if re.search(r"\bwhere\b|which (?:place|city|venue)|कहाँ|कहां", low):
+        return "LOCATION"
+    if re.search(r"to whom|who (?:received|was awarded|got)|किसे|किसको", low):
+        return "RECIPIENT"
+    if re.search(r"which (?:award|prize|medal)|what (?:award|prize)|कौन सा पुरस्कार", low):
+        return "AWARD"
+    return expected

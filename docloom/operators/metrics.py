@@ -12,6 +12,9 @@ from docloom.functions.script import seq_ratio_text
 #: Latin letters of regions to Devanagari ones, in order.
 REGIONS = {"a": "क", "b": "ख", "c": "ग"}
 THRESHOLD, MERGE_RATIO, TOP_MARGIN, WIDE_MARGIN = 2.0, 0.85, 0.6, 2.5
+#: Sections that match a question's words and may be broadcast.
+BROADCAST_SECTIONS = 100_000
+NATIVE = ("docx_xml", "pdfplumber")
 
 
 def region_of(text: Column) -> Column:
@@ -48,27 +51,38 @@ def compare(wide: DataFrame, periods: list, is_percent: Column | None = None) ->
     return wide.withColumn("change", diff).withColumn("change_pct", pct)
 
 
+def _ratio_at_least(a: str, b: str, least: float) -> float:
+    """The sequence ratio, or 0 where lengths alone keep it below `least`."""
+    return seq_ratio_text(a, b) if 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) else 0.0
+
+
 def fuzzy_merge(records: DataFrame, keys: list[str], metric: str = "metric_key", period: str = "period", position: str = "position", ratio: float = MERGE_RATIO) -> DataFrame:
     """Adds merged_key: the key of the first metric alike by `ratio` that has no value for the period yet.
 
-    The order of a group decides, so a group (document-order rows of one section and region) is one call;
-    groups are as small as a report section.
+    The order of a group decides. Records of one key, metric and period share their fate, the first of them by
+    position: only these distinct ones go through Python, by group, and the records are joined to the result. A
+    group is as large as the metrics that a section has in all periods, not as its records.
     """
-    schema = records.withColumn("merged_key", F.lit("")).schema
+    distinct = records.groupBy(*keys, metric, period).agg(F.min(position).alias("_at"))
+    schema = distinct.withColumn("merged_key", F.lit("")).drop("_at").schema
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([position], kind="stable")
+        pdf = pdf.sort_values(["_at", metric], kind="stable")
         held: dict[str, set] = {}
         out = []
         for m, p in zip(pdf[metric], pdf[period], strict=True):
             if m not in held:
-                near = sorted(((seq_ratio_text(m, k), -i, k) for i, k in enumerate(held) if p not in held[k]), reverse=True)
+                near = sorted(((_ratio_at_least(m, k, ratio), -i, k) for i, k in enumerate(held) if p not in held[k]), reverse=True)
                 m = near[0][2] if near and near[0][0] >= ratio else m
             held.setdefault(m, set()).add(p)
             out.append(m)
-        return pdf.assign(merged_key=out)
+        return pdf.drop(columns="_at").assign(merged_key=out)
 
-    return records.groupBy(*keys).applyInPandas(merge, schema)
+    merged = distinct.groupBy(*keys).applyInPandas(merge, schema).alias("m")
+    on = F.lit(True)
+    for c in [*keys, metric, period]:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return records.alias("r").join(merged, on).select("r.*", "m.merged_key")
 
 
 def latest_period(records: DataFrame, period: Column) -> DataFrame:
@@ -102,7 +116,8 @@ def section_scope(records: DataFrame, query: list[str], least: float = 1.0, marg
 
     words = records.select("section_no", "section").distinct().select("section_no", "section", F.explode(F.array_distinct(tokens(F.col("section")))).alias("w")).filter(F.col("w").isin(query))
     scored = words.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("w"))).groupBy("section_no", "section").agg(F.sum(1.0 / F.col("df")).alias("_s"))
-    out = records.join(F.broadcast(scored), ["section_no", "section"], "left").fillna(0.0, ["_s"])
+    few = F.broadcast(scored) if scored.limit(BROADCAST_SECTIONS + 1).count() <= BROADCAST_SECTIONS else scored
+    out = records.join(few, ["section_no", "section"], "left").fillna(0.0, ["_s"])
     top = scored.agg(F.coalesce(F.max("_s"), F.lit(0.0)).alias("_top"))  # one row
     return out.crossJoin(F.broadcast(top)).filter((F.col("_top") < least) | (F.col("_s") >= F.col("_top") - margin)).drop("_s", "_top")
 
@@ -132,22 +147,90 @@ def records_from_cells(cells: DataFrame) -> DataFrame:
     row = row.filter((F.size("texts") > 0) & (F.size("numbers") > 0))
     label = F.reduce("texts", F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     raw = F.try_element_at("filled", F.lit(-1))
-    value, percent = nb.parse_number(F.col("raw_value"))
-    out = row.select("table_id", "row_index", "section_no", "section", "region", "region_header", label.alias("metric"), raw.alias("raw_value"))
-    return out.withColumn("metric_short", nb.short_label(F.col("metric"))).withColumn("metric_key", nb.metric_key(F.col("metric"))).withColumn("value", value).withColumn("is_percent", percent).filter("value IS NOT NULL")
+    return _finished(row.select("table_id", "row_index", "section_no", "section", "region", "region_header", label.alias("metric"), raw.alias("raw_value")))
 
 
 def native_first(tables: DataFrame) -> DataFrame:
     """A document's native tables; its form tables where it has none native."""
-    native = F.col("extraction_method").isin("docx_xml", "pdfplumber")
+    native = F.col("extraction_method").isin(*NATIVE)
     return tables.withColumn("_n", F.max(native).over(Window.partitionBy("document_id"))).filter(~F.col("_n") | native).drop("_n")
 
 
 def reports_only(tables: DataFrame, documents: DataFrame) -> DataFrame:
-    """Tables of documents that are not typed magazine; an unknown type counts as magazine for contents, not here."""
+    """Tables or records of documents that are not typed magazine; an unknown type counts as magazine for contents, not here."""
     return tables.join(documents.filter(F.col("document_type") == "magazine").select("document_id"), "document_id", "left_anti")
 
 
+def _regions_out_of_labels(records: DataFrame) -> DataFrame:
+    """Records without a region whose label names one: the region is lifted out of the label, unless nothing else is left."""
+    own = region_of(F.col("metric"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("metric", r"(?i)(?:from\s+)?(?:region|kshetra|क्षेत्र)\s*[‘'\"“(]?\s*[abcकखग]\s*[’'\"”)]?|[‘'\"“(]\s*[abcकखग]\s*[’'\"”)]\s*(?:region|kshetra|क्षेत्र)", " "), r"^[\s:–—()'‘’\"-]+|[\s:–—()'‘’\"-]+$", ""))
+    lift = F.col("region").isNull() & own.isNotNull()
+    rows = records.withColumn("_lift", lift).withColumn("region_header", F.when(F.col("_lift"), F.col("metric")).otherwise(F.col("region_header"))).withColumn("region", F.coalesce("region", own))
+    return rows.withColumn("metric", F.when(F.col("_lift") & (bare != ""), bare).otherwise(F.col("metric"))).drop("_lift")
+
+
+def _finished(records: DataFrame) -> DataFrame:
+    """Adds the metric's short form and key, value and is_percent; rows without a number go."""
+    value, percent = nb.parse_number(F.col("raw_value"))
+    rows = _regions_out_of_labels(records)
+    return rows.withColumn("metric_short", nb.short_label(F.col("metric"))).withColumn("metric_key", nb.metric_key(F.col("metric"))).withColumn("value", value).withColumn("is_percent", percent).filter("value IS NOT NULL")
+
+
+def records_from_forms(cells: DataFrame) -> DataFrame:
+    """Records of form tables (label and value columns): the first cell is the metric, the last the value."""
+    rows = cells.groupBy("table_id", "row_index").agg(F.min_by("value", "col_index").alias("metric"), F.max_by("value", "col_index").alias("raw_value")).filter("trim(coalesce(metric, '')) <> ''")
+    empty = F.lit(None).cast("string")
+    return _finished(rows.select("table_id", "row_index", F.lit("").alias("section_no"), F.lit("").alias("section"), empty.alias("region"), empty.alias("region_header"), F.trim("metric").alias("metric"), F.trim("raw_value").alias("raw_value"), empty.alias("aggregation_group")))
+
+
+def records_by_column(cells: DataFrame) -> DataFrame:
+    """Records of tables whose measures stand in columns: a row of labels names the columns below it, within its section.
+
+    A label row has two texts or more, one number at most and no region; a second one refines the first (parent –
+    label, with the parent as aggregation group). Below it, every number of a row with a region or with two numbers
+    is a record of its column.
+    """
+    text = F.trim(F.coalesce("value", F.lit("")))
+    grid = cells.withColumn("v", F.when(text.isin(":", "："), "").otherwise(text))
+    number = F.col("v").rlike(nb.NUMBER)
+    rows = grid.groupBy("table_id", "row_index").agg(F.count_if((F.col("v") != "") & ~number).alias("texts"), F.count_if(number).alias("numbers"), F.min(F.when((F.col("v") != "") & ~number & (F.col("col_index") >= 2), F.col("col_index"))).alias("lead"), F.max(region_of(F.col("v"))).alias("own_region"), F.max_by("v", region_of(F.col("v"))).alias("own_header"), F.min_by("v", "col_index").alias("head"), F.min(F.when((F.col("v") != "") & ~number, F.col("v").rlike(r"^\(\s*[0-9]+\s*\)$"))).alias("numbering"), F.min_by("v", F.when((F.col("v") != "") & (F.col("col_index") > 0), F.col("col_index"))).alias("title"))
+    rows = rows.withColumn("no", F.regexp_extract("head", r"^([0-9]+)\.$", 1)).withColumn("is_section", F.col("no") != "")
+    so_far = Window.partitionBy("table_id").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("part", F.count_if("is_section").over(so_far)).withColumn("is_label", ~F.col("is_section") & F.col("own_region").isNull() & (F.col("texts") >= 2) & (F.col("numbers") <= 1) & ~F.coalesce("numbering", F.lit(False)))
+    in_part = Window.partitionBy("table_id", "part").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("section_no", F.last(F.when(F.col("is_section"), F.col("no")), ignorenulls=True).over(in_part)).withColumn("section", F.last(F.when(F.col("is_section"), F.col("title")), ignorenulls=True).over(in_part))
+    rows = rows.withColumn("region", F.last("own_region", ignorenulls=True).over(in_part)).withColumn("region_header", F.last(F.when(F.col("own_region").isNotNull(), F.col("own_header")), ignorenulls=True).over(in_part))
+    # a label row's texts by column, and those of the label row before it
+    labels = grid.filter((F.col("v") != "") & ~number & (F.col("col_index") >= 1)).groupBy("table_id", "row_index").agg(F.map_from_entries(F.collect_list(F.struct("col_index", "v"))).alias("names"))
+    rows = rows.join(labels, ["table_id", "row_index"], "left").withColumn("names", F.when(F.col("is_label"), F.col("names")))
+    before = Window.partitionBy("table_id", "part").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("above", F.last("names", ignorenulls=True).over(before)).withColumn("parent", F.when(F.col("is_label") & F.col("lead").isNotNull(), F.element_at("above", F.col("lead"))))
+    named = F.transform_values("names", lambda k, v: F.struct(F.when((k >= 2) & F.col("parent").isNotNull(), F.concat("parent", F.lit(" – "), v)).otherwise(v).alias("label"), F.when(k >= 2, F.coalesce("parent", v)).alias("group")))
+    rows = rows.withColumn("columns", F.last(named, ignorenulls=True).over(in_part))
+    data = rows.filter(~F.col("is_section") & ~F.col("is_label") & F.col("columns").isNotNull() & (F.col("own_region").isNotNull() | (F.col("numbers") >= 2)))
+    found = data.select("table_id", "row_index", "section_no", "section", F.when(F.col("own_region").isNotNull(), F.col("region")).alias("region"), F.when(F.col("own_region").isNotNull(), F.col("region_header")).alias("region_header"), "columns")
+    values = grid.filter(number).select("table_id", "row_index", "col_index", F.col("v").alias("raw_value"))
+    out = found.join(values, ["table_id", "row_index"]).withColumn("c", F.element_at("columns", F.col("col_index"))).filter("c IS NOT NULL")
+    return _finished(out.select("table_id", "row_index", F.coalesce("section_no", F.lit("")).alias("section_no"), F.coalesce("section", F.lit("")).alias("section"), "region", "region_header", F.col("c.label").alias("metric"), "raw_value", F.col("c.group").alias("aggregation_group")))
+
+
+def report_records(cells: DataFrame, tables: DataFrame, documents: DataFrame) -> DataFrame:
+    """Metric records of report documents: by the layout of each table (document_id, table_id, extraction_method).
+
+    Documents typed magazine, form tables beside native ones, and contents lists give none. A row that the column
+    layout reads isn't read again by sections.
+    """
+    kept = native_first(reports_only(tables.select("document_id", "table_id", "extraction_method"), documents))
+    own = cells.join(kept.select("table_id", F.col("extraction_method").isin(*NATIVE).alias("native")), "table_id")
+    row = own.filter("native").groupBy("table_id", "row_index").agg(F.min_by(F.trim(F.coalesce("value", F.lit(""))), "col_index").rlike(r"^[0-9]+[.)]?$").alias("numbered"), F.max_by(F.trim(F.coalesce("value", F.lit(""))), "col_index").rlike(nb.NUMBER).alias("ends"))
+    native = own.filter("native").join(not_contents_list(row, "table_id", "numbered", "ends").select("table_id").distinct(), "table_id", "left_semi").drop("native")
+    columns = records_by_column(native)
+    sections = records_from_cells(native).withColumn("aggregation_group", F.lit(None).cast("string")).join(columns.select("table_id", "row_index").distinct(), ["table_id", "row_index"], "left_anti")
+    every = columns.unionByName(sections).unionByName(records_from_forms(own.filter("NOT native").drop("native")))
+    return every.join(kept.select("table_id", "document_id"), "table_id")
+
+
 def not_contents_list(rows: DataFrame, key: str, is_numbered: str, ends_in_number: str) -> DataFrame:
     """Tables but those with 5 numbered rows of which 60 % end in a number."""
     g = rows.groupBy(key).agg(F.count_if(is_numbered).alias("n"), F.count_if(F.col(is_numbered) & F.col(ends_in_number)).alias("e"))

@@ -77,6 +77,8 @@ def dense_variants(df: DataFrame, queries: list[tuple[list[float], float]], vect
 def sparse(df: DataFrame, query: str, text: str = "text", id_column: str = "id", k: int = TOP_K) -> DataFrame:
     """The k best rows that share a token, by the dot product of sublinear weights, to 4 places."""
     weights = tk.query_weights(query)
+    if not weights:
+        return df.withColumn("score", F.lit(0.0)).limit(0)
     toks = tk.tokens(F.col(text))
     df = df.withColumn("toks", F.filter(toks, lambda t: t.isin(list(weights))))
     parts = [F.when((n := tk.tf(F.col("toks"), t)) > 0, tk.sublinear(n) * w).otherwise(0.0) for t, w in weights.items()]
@@ -98,15 +100,18 @@ def _idf(n: Column, d: Column) -> Column:
 def bm25(df: DataFrame, query: str, text: str = "text", id_column: str = "id", k: int = TOP_K, k1: float = BM25_K1, b: float = BM25_B, fields: tuple[str, ...] = (), page: str | None = None, year: str | None = None) -> DataFrame:
     """The k best rows by BM25 over df, with the boosts for a phrase, a page and a year.
 
-    One scan counts the statistics and one scores. A term that occurs in one of `fields` adds 3 to its frequency.
+    One scan counts the statistics and one scores the rows that contain a term, a year or a page. A term that occurs
+    in one of `fields` adds 3 to its frequency.
     """
     terms = list(dict.fromkeys(tk.query_tokens(query)))
     numbers = [t for t in terms if t.isdigit() and len(t) <= 4]
+    has = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t)) for t in terms for c in (text, *fields)]
+    has += [F.col(c).cast("string").isin(numbers) for c in (page, year) if c and numbers]
     df = df.withColumn("toks", tk.tokens(F.col(text))).withColumn("dl", F.size("toks"))
     counts = [tk.tf(F.col("toks"), t) + sum((F.when(F.contains(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(t)), FIELD_TF).otherwise(0) for f in fields), F.lit(0)) for t in terms]
     rows = df.withColumn("tf", F.array(*counts)).drop("toks")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    scored = rows.crossJoin(F.broadcast(stats))  # one row
+    scored = rows.filter(reduce(Column.__or__, has, F.lit(False))).crossJoin(F.broadcast(stats))  # one row
     parts = []
     for i in range(len(terms)):
         f = F.col("tf")[i].cast("double")
@@ -129,8 +134,8 @@ def keyword_fallback(df: DataFrame, terms: list[str], text: str = "text", id_col
 
 def or_else(first: DataFrame, fallback: DataFrame) -> DataFrame:
     """The first result, or the fallback where the first is empty (same columns)."""
-    tagged = first.withColumn("_try", F.lit(0)).unionByName(fallback.withColumn("_try", F.lit(1)))
-    return tagged.withColumn("_least", F.min("_try").over(Window.partitionBy(F.lit(0)))).filter("_try = _least").drop("_try", "_least")
+    none = first.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))  # one row
+    return first.unionByName(fallback.crossJoin(F.broadcast(none)).filter("_none").drop("_none"))
 
 
 def fuse(lists: list[DataFrame], id_column: str = "id", rank: str = "rank", k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
@@ -161,17 +166,19 @@ def relative_cut(df: DataFrame, score: str, margin: float, least: float = 0.0) -
 
 
 def located_pages(lines: DataFrame, terms: list[str], text: str = "text", most: int = 300) -> DataFrame:
-    """Pages that contents lines name next to a term, and the page after each: distinct page from 1 to `most`."""
+    """Pages that contents lines of a document name next to a term, and the page after each: distinct (document_id, page from 1 to `most`)."""
     low = F.lower(F.col(text))
     hit = reduce(Column.__or__, [F.contains(low, F.lit(t.lower())) for t in terms])
     numbers = F.transform(F.regexp_extract_all(F.col(text), F.lit("[0-9]{1,3}"), F.lit(0)), lambda x: x.cast("int"))
-    pages = lines.filter(hit).select(F.explode(numbers).alias("p"))
-    return pages.select(F.explode(F.array("p", F.col("p") + 1)).alias("page")).filter((F.col("page") >= 1) & (F.col("page") <= most)).distinct()
+    key = [c for c in ("document_id",) if c in lines.columns]
+    pages = lines.filter(hit).select(*key, F.explode(numbers).alias("p"))
+    return pages.select(*key, F.explode(F.array("p", F.col("p") + 1)).alias("page")).filter((F.col("page") >= 1) & (F.col("page") <= most)).distinct()
 
 
 def with_located(found: DataFrame, chunks: DataFrame, pages: DataFrame, id_column: str = "id") -> DataFrame:
     """Hits on located pages get 0.20 more (1.0 at most); other chunks of these pages enter at 0.85."""
-    near = chunks.join(F.broadcast(pages), "page", "left_semi")
+    on = [c for c in ("document_id", "page") if c in pages.columns]
+    near = chunks.join(F.broadcast(pages), on, "left_semi")  # pages of a question: numbers up to 300 of the documents that name it
     kept = found.join(near.select(id_column, F.lit(True).alias("_near")), id_column, "left")
     kept = kept.withColumn("score", F.when(F.col("_near"), F.least(F.lit(1.0), F.col("score") + 0.20)).otherwise(F.col("score"))).drop("_near")
     new = near.join(found.select(id_column), id_column, "left_anti").withColumn("score", F.lit(0.85))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as nb
 from docloom.functions import tokens as tk
+from docloom.functions.script import romanize
 
 SEPARATOR = " > "
 #: Which stored value types may answer a requested type.
@@ -42,6 +43,40 @@ def hierarchy_points(leaves: DataFrame) -> DataFrame:
     )
 
 
+def sibling_ordinals(points: DataFrame) -> DataFrame:
+    """Adds sibling_ordinal: the place of a point among those of its parent, from 1, by id."""
+    parent = F.slice("hierarchy_path", 1, F.greatest(F.col("depth") - 1, F.lit(0)))
+    return points.withColumn("sibling_ordinal", F.row_number().over(Window.partitionBy("document_id", parent).orderBy("id")))
+
+
+def flatten_tree(trees: DataFrame, key: str = "document_id", tree: str = "tree") -> DataFrame:
+    """(key, path, value) of every node of trees as JSON text {"key", "value", "children"}, parents before children, by a recursive query.
+
+    A level of nodes is one round, so that a tree is as deep as it likes.
+    """
+    node = "STRUCT<key: STRING, value: STRING, children: ARRAY<STRING>>"
+    name = f"_trees_{abs(hash((key, tree)))}"
+    trees.select(F.col(key).alias("id"), F.col(tree).alias("tree")).createOrReplaceTempView(name)
+    found = trees.sparkSession.sql(f"""
+        WITH RECURSIVE walk(id, path, value, children) AS (
+          SELECT id, array(n.key), n.value, n.children FROM (SELECT id, from_json(tree, '{node}') AS n FROM {name})
+          UNION ALL
+          SELECT id, concat(path, array(n.key)), n.value, n.children FROM (SELECT id, path, from_json(child, '{node}') AS n FROM walk LATERAL VIEW explode(children) c AS child))
+        SELECT id, path, value FROM walk WHERE path[0] IS NOT NULL""")
+    return found.withColumnRenamed("id", key)
+
+
+def find_key(points: DataFrame, key: str) -> DataFrame:
+    """Points of a key, whatever its case, in the order of their paths; the first is the one that a lookup takes."""
+    return points.filter(F.lower("node_key") == key.lower()).orderBy("document_id", "depth", "id")
+
+
+def labels_of(text: Column) -> Column:
+    """The labels that a text answers to: its cleaned lower-case form, that without blanks, and its Roman form."""
+    low = F.lower(tk.clean(text))
+    return F.filter(F.array_distinct(F.array(low, F.replace(low, F.lit(" "), F.lit("")), romanize(text))), lambda x: x.isNotNull() & (x != ""))
+
+
 def descendants(points: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Points strictly below prefixes (document_id, prefix): an equi-join on each point's ancestors."""
     above = F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda n: F.slice("hierarchy_path", 1, n))
@@ -159,6 +194,19 @@ def has_word(value: Column) -> Column:
     return value.rlike(r"[A-Za-z0-9\x{0900}-\x{097F}]")
 
 
+#: Names of designations, by group.
+ROLES = {
+    "director": ("director", "निदेशक"), "secretary": ("secretary", "सचिव"), "chairman": ("chairman", "chairperson", "अध्यक्ष"), "editor": ("editor", "संपादक"), "minister": ("minister", "मंत्री"), "manager": ("manager", "प्रबंधक"),
+    "officer": ("officer", "अधिकारी"), "commissioner": ("commissioner", "आयुक्त"), "patron": ("patron", "संरक्षक"), "advisor": ("advisor", "adviser", "सलाहकार"), "head": ("head of office", "कार्यालय प्रमुख"),
+}
+
+
+def roles_in(question: str) -> list[list[str]]:
+    """The groups of designations that a question names."""
+    low = question.lower()
+    return [list(names) for names in ROLES.values() if any(n in low for n in names)]
+
+
 def roles_present(groups: list[list[str]], text: Column) -> Column:
     """Every group of designations named in the question occurs in the evidence."""
     low = F.lower(text)
@@ -178,6 +226,17 @@ def type_gate(expected: str | None, value: Column) -> Column:
     }.get(expected, F.lit(True))
 
 
+def typed_or_wordy(df: DataFrame, expected: str | None, value: str = "node_value", order: tuple[str, ...] = ("rerank_score",)) -> DataFrame:
+    """Rows whose value may answer the expected type; for a person or a description without any, the first whose value has four words or more."""
+    from docloom.operators.search import or_else
+
+    fits = df.filter(has_word(F.col(value)) & type_gate(expected, F.col(value)))
+    if expected not in ("PERSON", "DESCRIPTION"):
+        return fits
+    wordy = df.filter(F.size(F.split(F.trim(F.col(value)), r"\s+")) >= 4).orderBy(*[F.desc(c) for c in order]).limit(1)
+    return or_else(fits, wordy)
+
+
 def sufficient(df: DataFrame, score: str = "score", lexical: str = "lexical") -> DataFrame:
     """(sufficient): top score 0.45, or lexical support and 0.30."""
     return df.agg(F.coalesce((F.max(score) >= 0.45) | ((F.max(lexical) > 0) & (F.max(score) >= 0.30)), F.lit(False)).alias("sufficient"))

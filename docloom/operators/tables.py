@@ -6,6 +6,8 @@ aggregate by table and no task holds more than one table's rows of a key.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +66,18 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w)).drop("_group")
 
 
+#: Words that name an operation, in order of precedence.
+OPERATIONS = {
+    "difference": ("difference", "differ", "differs", "अंतर", "antar"), "max": ("maximum", "highest", "largest", "most", "सबसे अधिक", "अधिकतम"), "min": ("minimum", "lowest", "smallest", "least", "सबसे कम", "न्यूनतम"),
+    "average": ("average", "mean", "औसत"), "percentage": ("percent", "percentage", "%", "प्रतिशत"), "sum": ("sum", "total", "totals", "कुल", "योग"),
+}
+
+
 def operation_of(question: str) -> str:
-    """difference, max, min, average, percentage, sum or lookup; the first whose word occurs."""
-    low = question.lower()
-    for name, words in {
-        "difference": ("difference", "differ", "अंतर", "antar"), "max": ("maximum", "highest", "largest", "most", "सबसे अधिक", "अधिकतम"), "min": ("minimum", "lowest", "smallest", "least", "सबसे कम", "न्यूनतम"),
-        "average": ("average", "mean", "औसत"), "percentage": ("percent", "%", "प्रतिशत"), "sum": ("sum", "total", "कुल", "योग"),
-    }.items():
-        if any(w in low for w in words):
+    """difference, max, min, average, percentage, sum or lookup; the first of which a whole word occurs. "at least" and "at most" are no operation."""
+    low = re.sub(r"\bat (?:least|most)\b", " ", question.lower())
+    for name, words in OPERATIONS.items():
+        if any(w in low if w == "%" else re.search(rf"(?<![\wऀ-ॿ]){w}(?![\wऀ-ॿ])", low) for w in words):
             return name
     return "lookup"
 
@@ -155,6 +161,14 @@ def table_chunks(cells: DataFrame) -> DataFrame:
     return summary.unionByName(rows.withColumn("row_index", F.col("row_index").cast("int")))
 
 
+def field_chunks(pairs: DataFrame) -> DataFrame:
+    """(id, table_id, chunk_type, text) of form fields: one chunk for each label, with its value or that it is blank."""
+    tid = F.concat("document_id", F.lit(":p"), F.col("page_number").cast("string"), F.lit(":form"))
+    rows = pairs.withColumn("table_id", tid).withColumn("n", F.row_number().over(Window.partitionBy("document_id", "page_number").orderBy("position")))
+    shown = F.when(F.col("value_state") == "present", F.col("value")).otherwise(F.concat(F.lit("("), F.replace("value_state", F.lit("_"), F.lit(" ")), F.lit(")")))
+    return rows.select(F.concat("table_id", F.lit(":field:"), F.col("n").cast("string")).alias("id"), "table_id", F.lit("field").alias("chunk_type"), F.concat("label", F.lit(": "), shown).alias("text"))
+
+
 def dedup_tables(tables: DataFrame) -> DataFrame:
     """Tables of one page, headers and rows (in any order) once; the first by table_id stays."""
     print_ = F.sha2(F.to_json(F.struct("page_number", "headers", F.array_sort(F.transform("rows", lambda r: F.to_json(r))).alias("r"))), 256)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import contents
 from docloom.plans.registry import query, table
-from docloom.streaming import windows
+from docloom.sources.store import collection_counts, listing_of
+from docloom.streaming import ingest, windows
 
 YEARS = list(range(1995, 2002))
 _COUNTS = ", ".join(f'(count(*) FILTER (year(o_orderdate) = {y}))::BIGINT AS "{y}"' for y in YEARS)
@@ -23,7 +24,7 @@ def author_ranking(spark, sf_dir):
     # works are counted by key before the names are looked up, so that the large side is reduced first
     counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     named = counts.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return named.groupBy(F.col("s_name").alias("author")).agg(F.sum("n").alias("works")).orderBy(F.desc("works"), "author").limit(15)
+    return contents.author_ranking(named.select(F.col("s_name").alias("author"), "n"), count="n")
 
 
 @query()
@@ -49,15 +50,12 @@ def section_index(spark, sf_dir):
 
 @query("""SELECT q.page AS page, p.url, p.page_id IS NOT NULL AS found FROM (SELECT unnest([3, 17, 100000]) AS page) q LEFT JOIN pages p ON p.page_id = q.page""")
 def page_lookup(spark, sf_dir):
-    wanted = [3, 17, 100000]
-    questions = spark.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("page"))
-    rows = table(spark, sf_dir, "pages").filter(F.col("page_id").isin(wanted)).select("page_id", "url")
-    return questions.join(rows, F.col("page") == F.col("page_id"), "left").select("page", "url", F.col("page_id").isNotNull().alias("found"))
+    return contents.by_page(table(spark, sf_dir, "pages"), [3, 17, 100000], "page_id").select("page", "url", "found")
 
 
 @query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_type = 'PROMO'""")
 def articles_by_section(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.col("p_type") == "PROMO").select("p_partkey", "p_name", "p_size")
+    return contents.in_section(table(spark, sf_dir, "part"), "PROMO", ("p_type",)).select("p_partkey", "p_name", "p_size")
 
 
 @query(r"""SELECT p_partkey, hits FROM (SELECT p_partkey, (contains(lower(p_name), 'widget')::INT + contains(lower(p_name), 'small')::INT + CASE WHEN list_contains(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_\x{0900}-\x{097F}]+'), 'hot') THEN 2 ELSE 0 END) AS hits FROM part) WHERE hits > 0""")
@@ -67,20 +65,20 @@ def topic_hits(spark, sf_dir):
 
 @query("""SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1""")
 def conversation_memory(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("last_turn"))
+    rows = ingest.last_by_conversation(table(spark, sf_dir, "conversations").filter("role = 'user'"), "conv_id", "turn", "text")
+    return rows.select("conv_id", F.col("text").alias("last_text"), F.col("turn").alias("last_turn"))
 
 
 @query("""SELECT DISTINCT user_id FROM events a WHERE event_id % 2 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_id % 2 = 1)""")
 def common_entities(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.max(F.col("event_id") % 2 == 0).alias("even"), F.max(F.col("event_id") % 2 == 1).alias("odd")).filter("even AND odd").select("user_id")
+    rows = table(spark, sf_dir, "events").withColumn("edition", F.col("event_id") % 2)
+    return contents.common_members(rows, "user_id", "edition", 0, 1)
 
 
 @query("""SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic, l.doc_id IS NOT NULL AS has_meta FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def doc_listing(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").withColumn("has_meta", F.lit(True))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
-    return rows.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.coalesce("has_meta", F.lit(False)).alias("has_meta"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return listing_of(files, table(spark, sf_dir, "labels"), "doc_id", {"quality": -1, "toxic": 0}).select("doc_id", "source", "quality", "toxic", "has_meta")
 
 
 _ALL = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -88,11 +86,7 @@ _ALL = ("documents", "embeddings", "pages", "benchmark", "labels", "conversation
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS collection, count(*)::BIGINT AS n FROM {t}" for t in _ALL))
 def collection_stats(spark, sf_dir):
-    each = [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("collection"), "n") for t in _ALL]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out
+    return collection_counts({t: table(spark, sf_dir, t) for t in _ALL}, "n")
 
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")

@@ -6,8 +6,9 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from docloom.functions.script import devanagarize_text, romanize_text
+from docloom.functions.script import devanagarize_text, romanize_text, seq_ratio_text
 from docloom.functions.tokens import query_tokens
+from docloom.operators.contents import SECTION_WORDS
 
 #: Words of the recognisers.
 ORDINALS = {
@@ -16,10 +17,6 @@ ORDINALS = {
     9: ("ninth", "9th", "नौवाँ", "नौवां", "nauva"), 10: ("tenth", "10th", "दसवाँ", "दसवां", "dasva"),
 }
 LAST = ("last", "final", "अंतिम", "आखिरी", "antim", "aakhiri")
-SECTIONS = {
-    "non technical": ("non technical", "non-technical", "गैर तकनीकी", "gair takniki"), "technical": ("technical", "तकनीकी", "takniki"), "poem": ("poem", "poems", "poetry", "कविता", "kavita"),
-    "story": ("story", "stories", "कहानी", "kahani"), "tribute": ("tribute", "श्रद्धांजलि", "shraddhanjali"), "report": ("report", "रिपोर्ट", "प्रतिवेदन"),
-}
 EXPECTED = [
     ("PERCENTAGE", r"percent|%|प्रतिशत|pratishat"), ("PERSON", r"\bwho\b|whose|author|लेखक|किसने|कौन|kisne|kaun|lekhak"), ("DURATION", r"how long|duration|अवधि|कितने दिन|kitne din"),
     ("DATE", r"\bwhen\b|\bdate\b|कब|तिथि|दिनांक|\bkab\b"), ("MONETARY", r"amount|cost|price|rupees|राशि|रुपये|कितने रुपए"), ("DESCRIPTION", r"describe|explain|\bwhy\b|\bhow does\b|वर्णन|क्यों|कैसे"),
@@ -28,6 +25,10 @@ EXPECTED = [
 LANGUAGES = {"hindi": ("hindi", "हिंदी", "हिन्दी"), "english": ("english", "अंग्रेजी", "अंग्रेज़ी", "angrezi"), "bilingual": ("bilingual", "द्विभाषी")}
 RELATIONS = {"reply_received": ("reply received", "replies received"), "reply_given": ("replied", "reply given", "उत्तर दिया", "answered"), "received": ("received", "प्राप्त"), "sent": ("sent", "भेजे"), "issued": ("issued", "जारी")}
 AGGREGATIONS = {"AVERAGE": r"average|mean|औसत", "PERCENTAGE": r"percent|%|प्रतिशत", "TOTAL": r"total|कुल|योग", "SUM": r"\bsum\b|add up", "COUNT": r"how many|count|कितने|संख्या"}
+#: Attributes that a question may ask for, and what joins an index question to the contents pages.
+ATTRIBUTES = {"author": ("author", "writer", "लेखक"), "page": ("page", "पृष्ठ"), "title": ("title", "शीर्षक"), "date": ("date", "दिनांक", "तिथि"), "phone": ("phone", "telephone", "दूरभाष"), "email": ("email", "ईमेल"), "address": ("address", "पता"), "percentage": ("percentage", "percent", "प्रतिशत"), "number": ("number of", "count", "संख्या")}
+CONTENTS_BAIT = "contents index अनुक्रमणिका विषय सूची"
+ACTIONS = r"repl(?:y|ied|ies)|answered|respon(?:se|ded)|उत्तर|जवाब|uttar|jawab"
 COMPARE = r"compar|versus|\bvs\b|difference|change|increase|decrease|तुलना|अंतर|वृद्धि|कमी|tulna"
 STOP = frozenset("a an the of in on at to for is are was were what which who whom whose how many much give me show list tell about by from and or page article articles author written wrote write में के की का को है हैं से पर और ने किस किसने क्या कौन ka ke ki ko hai me se".split())
 ALIASES = {"hindi": "हिंदी", "letter": "पत्र", "letters": "पत्र", "office": "कार्यालय", "region": "क्षेत्र", "training": "प्रशिक्षण", "meeting": "बैठक", "report": "रिपोर्ट", "magazine": "पत्रिका", "article": "लेख", "poem": "कविता", "total": "कुल"}
@@ -64,6 +65,10 @@ class Analysis:
     target: str | None = None
     author: str | None = None
     topic: tuple[str, ...] = field(default_factory=tuple)
+    attribute: str | None = None
+    condition_languages: tuple[str, ...] = ()
+    target_languages: tuple[str, ...] = ()
+    auxiliary: tuple[str, ...] = ()
 
 
 def clean(query: str) -> str:
@@ -96,7 +101,7 @@ def page_of(text: str) -> int | None:
 def section_of(text: str) -> str | None:
     """The section concept whose longest name occurs."""
     low = text.lower()
-    names = sorted(((s, key) for key, words in SECTIONS.items() for s in words), key=lambda x: -len(x[0]))
+    names = sorted(((s, key) for key, words in SECTION_WORDS.items() for s in words), key=lambda x: -len(x[0]))
     return next((key for s, key in names if _has(low, (s,))), None)
 
 
@@ -133,6 +138,30 @@ def variants_of(text: str, terms: dict[str, str] | None = None) -> tuple[str, ..
     return tuple(dict.fromkeys(v for v in out if v.strip()))
 
 
+def expanded_queries(a: Analysis) -> list[tuple[str, float]]:
+    """What a dense search asks, with scales: the question's variants at 1; auxiliary words of three or fewer at 0.7; for a contents question the words of contents pages too."""
+    out = dict.fromkeys([*a.variants, a.query], 1.0)
+    for x in a.auxiliary:
+        out.setdefault(x, 0.7 if len(x.split()) <= 3 else 1.0)
+    if a.mode == "INDEX_BASED":
+        out.setdefault(f"{a.clean} {CONTENTS_BAIT}", 1.0)
+    return list(out.items())
+
+
+def languages_of(text: str) -> tuple[str, ...]:
+    """Languages that a text names; a word of 8 letters or more may be misspelt (a ratio of 0.82)."""
+    low = text.lower()
+    words = [w for w in query_tokens(low) if len(w) >= 8]
+    near = lambda names: any(seq_ratio_text(w, n) >= 0.82 for w in words for n in names if len(n) >= 7)
+    return tuple(k for k, names in LANGUAGES.items() if _has(low, names) or near(names))
+
+
+def languages_by_side(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(languages of the condition, of the target): before and after the word of the answer, as in `received in Hindi, replied in English`; all are the target's where there is none."""
+    parts = re.split(ACTIONS, text.lower(), maxsplit=1)
+    return (languages_of(parts[0]), languages_of(parts[1])) if len(parts) == 2 else ((), languages_of(text))
+
+
 def _target(text: str) -> str | None:
     """The title that a question is about: quoted, or what is left at its edges."""
     quoted = re.search(r"[\"“‘']([^\"”’']{2,120})[\"”’']", text)
@@ -195,8 +224,8 @@ def analyze(query: str, mode: str | None = None, terms: dict[str, str] | None =
     return Analysis(
         query, text, script_of(text), index_intent(low, page, ordinal, section, target, author), picked, tuple(toks), entities_of(text), variants_of(text, terms),
         next((kind for kind, words in EXPECTED if re.search(words, low)), None), ordinal, page, section, int(numbered[1]) if numbered else None, numbered[2] if numbered else None, regions_of(query),
-        tuple(k for k, words in LANGUAGES.items() if _has(low, words)), next((k for k, words in RELATIONS.items() if _has(low, words)), None), next((k for k, words in AGGREGATIONS.items() if re.search(words, low)), None),
+        languages_of(low), next((k for k, words in RELATIONS.items() if _has(low, words)), None), next((k for k, words in AGGREGATIONS.items() if re.search(words, low)), None),
         int(years[0]) if years else None, periods + tuple(y for y in dict.fromkeys(years) if not any(y in p for p in periods)), "report" if re.search("report|रिपोर्ट", low) else "magazine" if re.search("magazine|पत्रिका", low) else None,
         bool(re.search(COMPARE, low)), bool(re.search(r"how many|count|number of|कितने|कितनी|संख्या", low)), bool(re.search(r"\blist\b|\bshow all\b|name the|सूची|कौन-कौन", low)), target, author,
-        tuple(t for t in toks if t not in STOP and len(t) > 2),
+        tuple(t for t in toks if t not in STOP and len(t) > 2), next((k for k, words in ATTRIBUTES.items() if _has(low, words)), None), *languages_by_side(low), tuple(dict.fromkeys([*entities_of(text), *((target,) if target else ())])),
     )

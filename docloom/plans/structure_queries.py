@@ -69,7 +69,4 @@ def structural_union(spark, sf_dir):
 @query("""SELECT l_orderkey, l_returnflag, l_extendedprice, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_suppkey, l_shipdate) AS n FROM lineitem) WHERE n = 1""")
 def evidence_dedup(spark, sf_dir):
     order = [F.desc("l_extendedprice"), "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate"]
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy(*order)))
-    return rows.filter("n = 1").select("l_orderkey", "l_returnflag", "l_extendedprice", "l_linenumber")
+    return structure.first_of(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], order).select("l_orderkey", "l_returnflag", "l_extendedprice", "l_linenumber")

@@ -64,9 +64,9 @@ def chunk_documents(spark, sf_dir):
 @query(r"""SELECT event_id, regexp_extract(props, '"(\w+)"\s*:\s*([^,}]*)', 1) AS label, trim(regexp_extract(props, '"(\w+)"\s*:\s*([^,}]*)', 2)) AS value,
   CASE WHEN trim(regexp_extract(props, '"(\w+)"\s*:\s*([^,}]*)', 2)) = '' THEN 'blank' ELSE 'present' END AS value_state FROM events""")
 def kv_extract(spark, sf_dir):
-    pattern = r'"(\w+)"\s*:\s*([^,}]*)'
-    rows = table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", pattern, 1).alias("label"), F.trim(F.regexp_extract("props", pattern, 2)).alias("value"))
-    return rows.withColumn("value_state", nb.value_state(F.col("value")))
+    # a numbered line for each event, so that one pair is a form
+    line = F.concat(F.lit("1. "), F.regexp_replace(F.regexp_extract("props", r'"\w+"\s*:\s*[^,}]*', 0), '"', ""))
+    return terms.form_pairs(table(spark, sf_dir, "events").select("event_id", line.alias("text")), ("event_id",)).select("event_id", "label", "value", "value_state")
 
 
 _STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""

@@ -6,7 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -69,14 +69,22 @@ def docx_pages(data: bytes) -> list[str]:
     return texts
 
 
-def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages (document_id, page_number, location, text, error) of the DOCX and text files of a folder; PDF and DOC need a parser, and say so in `error`.
+def _files(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None) -> DataFrame:
+    """(document_id, content) of a folder's files, of some extensions; temporary files (~$) are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions:
+        files = files.option("pathGlobFilter", "*.{" + ",".join(sorted({x for e in extensions for x in (e.lower(), e.upper())})) + "}")
+    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
+    return files.load(folder).select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("document_id"), "content").filter(~F.startswith(F.col("document_id"), F.lit("~$")))
+
 
-    A file that can't be read gives one row with its error; temporary files (~$) are left out.
+def read_pages(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], list[str]]] | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """Pages (document_id, page_number, location, text, error) of the files of a folder, of some extensions.
+
+    DOCX and text are read here; parsers take the bytes of other kinds (pdf, doc) to the texts of their pages, and a
+    kind without one says so in `error`. A file that can't be read gives one row with its error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
-    files = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("document_id"), "content").filter(~F.startswith(F.col("document_id"), F.lit("~$")))
+    files, own = _files(spark, folder, extensions), parsers or {}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,9 +92,12 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
             for doc, content in zip(pdf["document_id"], pdf["content"], strict=True):
                 try:
                     kind = file_type(doc)
-                    if kind in ("pdf", "doc"):
-                        raise ValueError(f"no parser for {kind} files; load its pages as a table")
-                    texts = docx_pages(content) if kind == "docx" else content.decode("utf-8", "replace").split("\f")
+                    if kind in own:
+                        texts = own[kind](content)
+                    elif kind in ("pdf", "doc"):
+                        raise ValueError(f"no parser for {kind} files; give one, or load their pages as a table")
+                    else:
+                        texts = docx_pages(content) if kind == "docx" else content.decode("utf-8", "replace").split("\f")
                     rows += [(doc, i, f"Page {i}", t, None) for i, t in enumerate(texts, 1) if t.strip()]
                 except Exception as e:  # one bad file doesn't end the ingest
                     rows.append((doc, None, None, None, f"{type(e).__name__}: {e}"))
@@ -95,19 +106,31 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(parse, "document_id string, page_number int, location string, text string, error string")
 
 
-def read_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Matrices (document_id, table_id, matrix) of the DOCX tables of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(folder)
-    files = files.select(F.url_decode(F.try_element_at(F.split("path", "/"), F.lit(-1))).alias("document_id"), "content").filter(~F.startswith(F.col("document_id"), F.lit("~$")))
+def read_tables(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], list[tuple[int | None, list[list[str]]]]]] | None = None) -> DataFrame:
+    """Matrices (document_id, table_id, page_number, matrix) of the tables of a folder's files.
+
+    DOCX tables have no page; parsers take the bytes of other kinds to (page, rows) pairs. A file that can't be read
+    has no tables; read_pages() reports it.
+    """
+    own = parsers or {}
+    files = _files(spark, folder, ("docx", *own))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc, content in zip(pdf["document_id"], pdf["content"], strict=True):
+                kind = file_type(doc)
                 try:
-                    rows += [(doc, f"{doc}:pdocument:t{i}", m) for i, m in enumerate(docx_tables(content), 1)]
-                except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                    continue  # read_pages() reports the file
-            yield pd.DataFrame(rows, columns=["document_id", "table_id", "matrix"])
+                    found = own[kind](content) if kind in own else [(None, m) for m in docx_tables(content)]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError):
+                    continue
+                rows += [(doc, f"{doc}:p{page or 'document'}:t{i}", page, m) for i, (page, m) in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["document_id", "table_id", "page_number", "matrix"]).astype({"page_number": "Int32"})
+
+    return files.mapInPandas(parse, "document_id string, table_id string, page_number int, matrix array<array<string>>")
+
 
-    return files.mapInPandas(parse, "document_id string, table_id string, matrix array<array<string>>")
+def ingest_totals(pages: DataFrame) -> DataFrame:
+    """One row over read_pages(): files, failed, pages, words, characters, and the errors by file."""
+    failed = F.col("error").isNotNull()
+    return pages.agg(F.count_distinct("document_id").alias("files"), F.count_distinct(F.when(failed, F.col("document_id"))).alias("failed"), F.count("page_number").alias("pages"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0)).cast("long").alias("words"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("characters"), F.map_from_entries(F.array_sort(F.collect_list(F.when(failed, F.struct("document_id", "error"))))).alias("errors"))

@@ -1,10 +1,19 @@
-"""The store: one Parquet table for each record set, partitioned by document_id, rewritten by document."""
+"""The store: one Parquet table for each record set, in a fixed number of buckets by document.
+
+A bucket holds the documents whose id hashes to it, so that folders and files don't grow with the documents. A
+write rewrites the buckets of its documents alone; an ingest repeated is an ingest once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Buckets of a new store; an existing one keeps its number.
+BUCKETS = 64
+
 
 def _schema(**columns: str) -> str:
     return ", ".join(f"{k} {v}" for k, v in columns.items())
@@ -14,72 +23,169 @@ def _schema(**columns: str) -> str:
 SCHEMAS = {
     "pages": _schema(page_number="int", location="string", text="string", author="string", segment_type="string", document_id="string"),
     "documents": _schema(filename="string", file_type="string", document_type="string", year="int", quarter="string", report_period="string", total_pages="int", total_words="long", total_chars="long", upload_date="timestamp", document_id="string"),
+    "tables": _schema(table_id="string", page_number="int", heading="string", extraction_method="string", extraction_confidence="double", document_id="string"),
     "cells": _schema(table_id="string", row_index="int", col_index="int", header="string", value="string", document_id="string"),
     "chunks": _schema(id="string", collection="string", chunk_type="string", page="int", section="string", text="string", dense="array<float>", document_type="string", year="int", document_id="string"),
-    "points": _schema(id="string", node_type="string", hierarchy_path="array<string>", hierarchy_path_text="string", node_key="string", node_value="string", value_type="string", root_section="string", parent_key="string", row_entity="string", column_attribute="string", depth="int", document_id="string"),
+    "points": _schema(id="string", node_type="string", hierarchy_path="array<string>", hierarchy_path_text="string", node_key="string", node_value="string", value_type="string", root_section="string", parent_key="string", row_entity="string", column_attribute="string", depth="int", sibling_ordinal="int", dense="array<float>", document_type="string", year="int", quarter="string", report_period="string", document_id="string"),
     "facts": _schema(source_type="string", page_number="int", position="int", field="string", label="string", value="string", value_state="string", confidence="double", document_id="string"),
     "contents": _schema(serial_number="int", section_original="string", section_normalized="string", section_item_index="int", title_original="string", title_normalized="string", title_roman="string", author_original="string", author_list="array<string>", page_number="int", type="string", article_id="string", document_id="string"),
-    "records": _schema(table_id="string", row_index="int", period="string", section_no="string", section="string", region="string", region_header="string", metric="string", metric_short="string", metric_key="string", raw_value="string", value="double", is_percent="boolean", document_id="string"),
+    "records": _schema(table_id="string", row_index="int", period="string", section_no="string", section="string", region="string", region_header="string", metric="string", metric_short="string", metric_key="string", raw_value="string", value="double", is_percent="boolean", aggregation_group="string", document_id="string"),
     "terms": _schema(key="string", canonical="string", category="string", english="array<string>", hindi="array<string>", roman="array<string>", occurrences="long", source_chunk_ids="array<string>", contexts="array<string>", document_id="string"),
 }
+#: What names one row of a record set within a document.
+KEYS = {
+    "pages": ["page_number"], "documents": [], "tables": ["table_id"], "cells": ["table_id", "row_index", "col_index"], "chunks": ["id"], "points": ["id"], "facts": ["page_number", "position", "field"],
+    "contents": ["article_id", "title_normalized"], "records": ["table_id", "row_index", "metric_key", "region"], "terms": ["key"],
+}
 #: Where a point lookup searches, in order.
 COLLECTIONS = ("index", "content", "table", "hierarchical")
 
 
+def listing_of(files: DataFrame, meta: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Files (key) with their metadata, defaults for what is missing, and has_meta."""
+    rows = files.join(meta.withColumn("has_meta", F.lit(True)), key, "left")
+    for c, value in {**defaults, "has_meta": False}.items():
+        rows = rows.withColumn(c, F.coalesce(c, value if isinstance(value, Column) else F.lit(value)))
+    return rows
+
+
+def collection_counts(collections: dict[str, DataFrame], name: str = "points") -> DataFrame:
+    """(collection, points) of each collection."""
+    out = None
+    for collection, rows in collections.items():
+        own = rows.agg(F.count(F.lit(1)).alias(name)).select(F.lit(collection).alias("collection"), name)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 class Store:
     """Tables under a root folder that every executor sees."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        if self._exists("_layout"):
+            self.buckets = self.spark.read.schema("buckets int").json(self._path("_layout")).first()[0]
+        else:
+            self.buckets = buckets
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(self._path("_layout"))
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        path, fs = self._hadoop(self._path(name))
+        return fs.exists(path)
 
-    def read(self, name: str, document_ids: list[str] | None = None) -> DataFrame:
-        """A record set, of some documents (partition pruning); an empty frame before the first write."""
+    def _drop(self, path: str) -> None:
+        p, fs = self._hadoop(path)
+        fs.delete(p, True)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(self.buckets)).cast("int")
+
+    def ensure(self) -> list[str]:
+        """Drop stored record sets whose columns aren't the expected ones; their names."""
+        dropped = []
+        for name, schema in SCHEMAS.items():
+            if self._exists(name):
+                stored = {f.name: f.dataType.simpleString() for f in self.spark.read.parquet(self._path(name)).schema if f.name != "bucket"}
+                wanted = {f.name: f.dataType.simpleString() for f in self.spark.createDataFrame([], schema).schema}
+                if stored != wanted:
+                    self._drop(self._path(name))
+                    dropped.append(name)
+        return dropped
+
+    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         if not self._exists(name):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        df = self.spark.read.schema(SCHEMAS[name]).parquet(self._path(name))
-        return df if not document_ids else df.filter(F.col("document_id").isin(document_ids))
+            return self.spark.createDataFrame([], f"{SCHEMAS[name]}, bucket int")
+        df = self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(self._path(name))
+        return df if buckets is None else df.filter(F.col("bucket").isin(buckets))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Overwrite the documents of df alone, so that a repeated ingest changes nothing."""
+    def read(self, name: str, document_ids: list[str] | None = None) -> DataFrame:
+        """A record set, of some documents (their buckets alone are read); an empty frame before the first write."""
+        if not document_ids:
+            return self._stored(name).drop("bucket")
+        ids = self.spark.createDataFrame([(d,) for d in document_ids], "document_id string").select(self._bucket()).distinct()
+        return self._stored(name, [r[0] for r in ids.collect()]).drop("bucket").filter(F.col("document_id").isin(document_ids))  # as many buckets as documents asked for
+
+    def _rewrite(self, name: str, df: DataFrame, replaced: list[str], documents: DataFrame | None = None) -> None:
+        """Rows of df, and the stored rows of their buckets that they don't replace by key; nothing stays of `documents`."""
         types = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))
-        out = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
-        out.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(self._path(name))
+        rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()]).withColumn("bucket", self._bucket())
+        staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)  # df may be read from the buckets that are rewritten
+        new = self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(staged)
+        gone = new.select("document_id", *replaced).distinct()
+        if documents is not None:
+            gone = gone.unionByName(documents.select(F.col("document_id").cast("string").alias("document_id"))).distinct()
+        touched = [r[0] for r in gone.select(self._bucket().alias("bucket")).distinct().collect()]  # the number of buckets at most
+        if touched:
+            old = self._stored(name, touched).alias("o")
+            same = F.lit(True)
+            for c in ["document_id", *replaced]:
+                same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+            after = old.join(gone.alias("n"), same, "left_anti").unionByName(new)
+            left = {r[0] for r in after.select("bucket").distinct().collect()}
+            if left:
+                self._write_buckets(name, after)
+            for b in set(touched) - left:
+                self._drop(f"{self._path(name)}/bucket={b}")
+        self._drop(staged)
+
+    def _write_buckets(self, name: str, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
+
+    def write(self, name: str, df: DataFrame, documents: DataFrame | None = None) -> None:
+        """Overwrite the documents of df, and those of `documents` (document_id) of which nothing is left; a repeated ingest changes nothing."""
+        self._rewrite(name, df, [], documents)
+
+    def merge(self, name: str, df: DataFrame) -> None:
+        """Upsert the rows of df by the record set's key; other rows of their documents stay."""
+        self._rewrite(name, df.dropDuplicates(["document_id", *KEYS[name]]), KEYS[name])
 
     def delete(self, document_id: str) -> None:
-        """Drop a document from every record set; terms lose the association alone."""
+        """Drop a document from every record set; terms lose the association alone, and stay with no occurrence of it."""
+        own = self.spark.createDataFrame([(document_id,)], "document_id string").select(self._bucket()).first()[0]
         for name in SCHEMAS:
-            if self._exists(name):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-                fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-                part = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(document_id)
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/document_id={part}"), True)
+            if not self._exists(name):
+                continue
+            rows = self._stored(name, [own])
+            if name == "terms":
+                freed = rows.filter(F.col("document_id") == document_id)
+                freed = freed.withColumn("document_id", F.lit(None).cast("string")).withColumn("occurrences", F.lit(0).cast("long")).withColumn("source_chunk_ids", F.array().cast("array<string>"))
+                self.merge(name, freed)
+                rows = self._stored(name, [own])
+            kept = rows.filter(~F.col("document_id").eqNullSafe(F.lit(document_id)))
+            if kept.isEmpty():
+                self._drop(f"{self._path(name)}/bucket={own}")
+            else:
+                self._write_buckets(name, kept)
 
     def listing(self, files: DataFrame | None = None) -> DataFrame:
         """Documents with defaults for what is missing; files (document_id) without metadata are listed too."""
         meta = self.read("documents")
-        if files is not None:
-            meta = files.select("document_id").join(meta, "document_id", "left")
-        return meta.withColumn("filename", F.coalesce("filename", "document_id")).withColumn("document_type", F.coalesce("document_type", F.lit("magazine"))).fillna(0, ["total_pages", "total_words", "total_chars"])
+        rows = listing_of((files if files is not None else meta).select("document_id"), meta, "document_id", {"filename": F.col("document_id"), "document_type": "magazine", "total_pages": 0, "total_words": 0, "total_chars": 0})
+        return rows.drop("has_meta")
 
     def stats(self) -> DataFrame:
         """(collection, points)."""
-        chunks = self.read("chunks").groupBy("collection").agg(F.count(F.lit(1)).alias("points"))
-        return chunks.unionByName(self.read("points").agg(F.count(F.lit(1)).alias("points")).select(F.lit("hierarchical").alias("collection"), "points"))
+        chunks = self.read("chunks")
+        each = {c: chunks.filter(F.col("collection") == c) for c in COLLECTIONS[:3]}
+        return collection_counts({**each, "hierarchical": self.read("points")}).filter("points > 0")
 
-    def vector(self, chunk_id: str) -> list[float] | None:
-        """The dense vector of a chunk: the first collection that has it."""
+    def vector(self, point_id: str) -> list[float] | None:
+        """The dense vector of a chunk or a hierarchy point: the first collection that has it."""
+        both = self.read("chunks").select("id", "collection", "dense").unionByName(self.read("points").select("id", F.lit("hierarchical").alias("collection"), "dense"))
         rank = F.array_position(F.array(*map(F.lit, COLLECTIONS)), F.col("collection"))
-        row = self.read("chunks").filter(F.col("id") == chunk_id).orderBy(rank).select("dense").first()
+        row = both.filter(F.col("id") == point_id).orderBy(rank).select("dense").first()
         return list(row[0]) if row and row[0] is not None else None
 
     def points(self, document_id: str, limit: int = 50, node_type: str | None = None) -> DataFrame:
-        """Some points of a document, for a look."""
+        """Some points of a document, for a look, with the sizes of their vectors."""
         df = self.read("points", [document_id])
-        return (df.filter(F.col("node_type") == node_type) if node_type else df).orderBy("depth", "id").limit(limit)
+        df = df.filter(F.col("node_type") == node_type) if node_type else df
+        return df.withColumn("dense_size", F.size("dense")).orderBy("depth", "id").limit(limit)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,11 +14,16 @@ from docloom.sources.store import Store
 
 
 def ingest_stream(rows: DataFrame, store: Store, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write each micro-batch's documents over their partitions; a replayed batch changes nothing."""
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.write(name, df))
+    """Merge each micro-batch into the store by key: a document may come in parts, and a replayed batch changes nothing."""
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.merge(name, df))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def last_by_conversation(turns: DataFrame, key: str = "conversation_id", turn: str = "turn", value: str = "article_id") -> DataFrame:
+    """(key, value, turn) of each conversation's last turn; the batch form of conversation_memory()."""
+    return turns.groupBy(key).agg(F.max_by(value, turn).alias(value), F.max(turn).alias(turn))
+
+
 def conversation_memory(turns: DataFrame, timeout_ms: int = 30 * 60 * 1000) -> DataFrame:
     """The last article of each conversation from turns (conversation_id, turn, article_id); idle conversations are forgotten."""
 

