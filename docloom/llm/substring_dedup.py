@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -114,6 +115,23 @@ def runs(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, piece: in
     return [(i, xxhash.xxh3_128_digest(" ".join(words[at[i] : at[end]]).encode("utf-8", "surrogatepass"))) for i, end in enumerate(ends)]
 
 
+#: A run that HOT_SAMPLED documents have among one of SAMPLE is hot: its rows are dealt to SALTS tasks first. HOT_RUNS are known at most.
+SAMPLE, HOT_SAMPLED, HOT_RUNS, SALTS = 64, 8, 100_000, 64
+
+
+def hot_runs(texts: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, piece: int = PIECE) -> frozenset[bytes]:
+    """Hashes of runs that are probably hot, from documents chosen by their id; the result of dedup() doesn't depend on them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in chunks(batches, columns=("text",)):
+            held = Counter(d for t in texts for d in {d for _, d in runs(t, run, min_words, piece)})
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["h", "n"])
+
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counted = sample.mapInArrow(count, "h binary, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_SAMPLED)
+    return frozenset(bytes(r["h"]) for r in counted.orderBy(F.desc("n"), "h").limit(HOT_RUNS).collect())
+
+
 #: Places of one run.
 LATER = "array<struct<id:long,place:int>>"
 
@@ -121,6 +139,8 @@ LATER = "array<struct<id:long,place:int>>"
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, piece: int = PIECE) -> DataFrame:
     """(id, places): for each document with runs that occur earlier, the places of those runs."""
     others = pa.list_(pa.struct([("id", pa.int64()), ("place", pa.int32())]))
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_runs(texts, run, min_words, piece))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
@@ -135,14 +155,18 @@ def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
                         held[digest] = {own, (doc, place)}
             halves = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
             first = [min(v) if isinstance(v, set) else v for v in held.values()]
+            salt = 1 + xxhash.xxh32_intdigest(repr(ids[0])) % SALTS
+            salts = [salt if d in hot.value else 0 for d in held]
             more = [[{"id": i, "place": p} for i, p in v if (i, p) != f] if isinstance(v, set) else None for v, f in zip(held.values(), first, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([i for i, _ in first], pa.int64()), pa.array([p for _, p in first], pa.int32()), pa.array(more, others)], ["h1", "h2", "id", "place", "more"])
-
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = texts.mapInArrow(hashes, f"h1 long, h2 long, id long, place int, more {LATER}")
-    # one shuffle and no join: rows of rank 1 are the first place, and places beside it are later
-    ranked = spans.withColumn("n", F.rank().over(Window.partitionBy("h1", "h2").orderBy("id", "place"))).filter("n > 1 OR more IS NOT NULL")
-    own = F.when(F.col("n") > 1, F.array(F.struct("id", "place")))
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([i for i, _ in first], pa.int64()), pa.array([p for _, p in first], pa.int32()), pa.array(salts, pa.int32()), pa.array(more, others)], ["h1", "h2", "id", "place", "salt", "more"])
+
+    spans = texts.mapInArrow(hashes, f"h1 long, h2 long, id long, place int, salt int, more {LATER}")
+    # one shuffle of all and no join: rows of rank 1 are the first place, and places beside it are later
+    ranked = spans.withColumn("n", F.rank().over(Window.partitionBy("h1", "h2", "salt").orderBy("id", "place"))).filter("n > 1 OR more IS NOT NULL OR salt > 0")
+    # the first places of a hot run, one for each salt, meet once more; every other row stands alone
+    alone = F.when((F.col("salt") > 0) & (F.col("n") == 1), F.lit(0)).otherwise(F.xxhash64("id", "place", "salt"))
+    ranked = ranked.withColumn("alone", alone).withColumn("m", F.rank().over(Window.partitionBy("h1", "h2", "alone").orderBy("id", "place")))
+    own = F.when((F.col("n") > 1) | ((F.col("alone") == 0) & (F.col("m") > 1)), F.array(F.struct("id", "place")))
     later = ranked.select(F.explode(F.concat(F.coalesce(own, F.array().cast(LATER)), F.coalesce("more", F.array().cast(LATER)))).alias("p")).select("p.*")
     return later.groupBy("id").agg(F.collect_set("place").alias("places"))
 
@@ -152,7 +176,8 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, piece: in
 
     text is what is left; null stays null with no sentences. Rows of one doc_id are one place: repeated rows
     lose the same sentences, and keep theirs where the document is the first. Rows with a null doc_id are left
-    as they are. doc_id must be an integer; other columns are ignored; an empty table gives no rows.
+    as they are. Texts of any length are cut and read whole; of equal places the smallest (doc_id, position) keeps its
+    text. doc_id must be an integer; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     places = repeated_places(docs, run, min_words, piece)
     joined = docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "places")

@@ -270,6 +270,39 @@ def test_mix_meets_its_targets(spark, block):
     assert all(r.taken in (0, r.size, 2 * r.size) for r in got)
 
 
+def test_sizes_and_targets_of_many_sources_equal_a_plain_loop(spark):
+    rng = random.Random(15)
+    names = [None, "", "a", "B", "b", "ä", "\U0001f600", "z z", *(f"host{i}.example" for i in range(40))]
+    rows = [(i, rng.choice([" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(9))), None, "\t\n a\x0bb \u00a0c"]), rng.choice(names)) for i in range(600)]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + size(t)
+    want = mixing.targets(list(total.items()))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert len(got) == 600
+    for r in got:
+        _, t, s = rows[r.doc_id]
+        assert (r.size, r.source_size) == (size(t), total[s]) and r.target == pytest.approx(want[s], abs=1e-9) and r.taken <= 2 * r.size
+
+
+def test_a_large_document_does_not_spoil_its_source(spark):
+    rng = random.Random(16)
+    rows = [(i, "w " * rng.randrange(20, 400), f"s{i % 6}") for i in range(240)] + [(1000 + k, "w " * 4000, f"s{k}") for k in range(6)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    for k in range(6):
+        own = [r for r in got if source[r.doc_id] == f"s{k}"]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
+def test_mixed_rows_keep_columns_of_like_names(spark):
+    rows = [(i, "w " * 30, "s", 7, "own", 5) for i in range(20)]
+    got = mixing.mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copy string, mix_size int"))
+    assert got.columns == ["doc_id", "text", "source", "size", "copy", "mix_size", "mix_mix_size", "source_size", "target", "taken", "mix_copy"]
+    assert all(r.size == 7 and r.copy == "own" and r.mix_mix_size == 30 and 1 <= r.mix_copy <= 2 for r in got.collect())
+
+
 def test_pivotal_rounding_is_unbiased():
     import pandas as pd
 
@@ -509,6 +542,37 @@ def test_repeated_passages_stay_once(spark):
     assert got[0].text == texts[0] and got[1].text == "Own words of one are here. End one." and got[3].text == "" and got[2].text == texts[2]
 
 
+@pytest.mark.parametrize(("sample", "hot"), [(64, 8), (1, 1), (2, 3)])
+def test_substring_dedup_equals_a_plain_loop(spark, monkeypatch, sample, hot):
+    """Runs of whole sentences (short ones, so that none is cut), the first place of each kept, hot runs or not."""
+    monkeypatch.setattr(substring_dedup, "SAMPLE", sample)
+    monkeypatch.setattr(substring_dedup, "HOT_SAMPLED", hot)
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice("one two three four five six".split()) for _ in range(rng.randrange(1, 9))) + "." for _ in range(60)]
+    texts = [" ".join(pool[(at := rng.randrange(60)) : at + rng.randrange(1, 9)]) for _ in range(120)] + [None, "", "x"]
+    rows = list(enumerate(texts)) + [(5, texts[5]), (None, texts[0]), (None, texts[0])]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    first, gone = {}, {}
+    for i, t in enumerate(texts):
+        sents = (t or "").replace(". ", ".|").split("|") if t else []
+        for a in range(len(sents)):
+            words, b = 0, a
+            while b < len(sents) and (b - a < 2 or words < 12):
+                words += len(sents[b].split())
+                b += 1
+            if b - a >= 2 and words >= 12:
+                if first.setdefault(tuple(" ".join(sents[a:b]).split()), (i, a)) != (i, a):
+                    gone.setdefault(i, set()).update(range(a, b))
+    for r in got:
+        t = r.text
+        if r.doc_id is None:
+            assert t == texts[0] and r.n_removed == 0
+            continue
+        sents = (texts[r.doc_id] or "").replace(". ", ".|").split("|") if texts[r.doc_id] else []
+        assert r.n_removed == len(gone.get(r.doc_id, ())) and (t or "").split() == [w for k, s in enumerate(sents) if k not in gone.get(r.doc_id, ()) for w in s.split()]
+    assert sum(map(len, gone.values())) > 100
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab .!?\n", max_size=120), st.integers(1, 5))
 def test_sentences_tile_the_text(t, piece):
