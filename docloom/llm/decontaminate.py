@@ -104,10 +104,12 @@ def _bound(ids: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: i
 
 
 def search(ids: np.ndarray, sa: np.ndarray, block: Block, ranks: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(longest, place, lo, hi, width) for each benchmark suffix.
+    """(longest, position, lo, hi, width) for each benchmark suffix.
 
-    longest: words of its longest verbatim match, found at sa[place]. [lo, hi): the suffixes that begin with
-    its window of `width` words; empty where the window doesn't occur or the suffix has none.
+    longest: words of its longest verbatim match, found at that position. [lo, hi): the places in sa of the suffixes
+    that begin with its window of `width` words; empty where the window doesn't occur or the suffix has none.
+    Beyond the window, a suffix that occurs only where the one before it in its item does is not searched any further:
+    its longest match is that one's without its first word. So a long verbatim match costs its length once.
     """
     n, starts = len(block.words), block.starts
     target = ranks[block.words] if n else block.words
@@ -115,7 +117,8 @@ def search(ids: np.ndarray, sa: np.ndarray, block: Block, ranks: np.ndarray, win
     left, length = starts[item + 1] - np.arange(n), np.diff(starts)[item]
     width = np.where(left >= window, window, np.where(left == length, left, 0))
     lo, hi = np.zeros(n, np.int64), np.full(n, len(ids))
-    longest, place, wlo, whi = (np.zeros(n, np.int64) for _ in range(4))
+    longest, place, wlo, whi, before = (np.zeros(n, np.int64) for _ in range(5))
+    alone = np.ones(n + 1, bool)  # suffixes whose longest match is their own
     active, d = np.arange(n), 0
     while len(active):
         active = active[(left[active] > d) & (target[np.minimum(active + d, n - 1)] >= 0)]
@@ -124,12 +127,23 @@ def search(ids: np.ndarray, sa: np.ndarray, block: Block, ranks: np.ndarray, win
         b = _bound(ids, sa, a, hi[active], d, value + 1)
         keep = a < b
         active, a, b = active[keep], a[keep], b[keep]
+        if d >= window and len(active):
+            before[active] = hi[active] - lo[active]
+            here = np.zeros(n + 1, np.int64)
+            here[active + 1] = b - a  # of the suffix before, one word longer
+            first = np.zeros(n + 1, bool)
+            first[starts] = True
+            led = (here[active] == before[active]) & ~first[active]
+            alone[active[led]] = False
         lo[active], hi[active] = a, b
         d += 1
         longest[active], place[active] = d, a
         full = active[width[active] == d]
         wlo[full], whi[full] = lo[full], hi[full]
-    return longest, place, wlo, whi, width
+        active = active[alone[active]]
+    leader = np.maximum.accumulate(np.where(alone[:n], np.arange(n), 0)) if n else np.arange(0)
+    position = sa[place] if len(sa) else place
+    return longest[leader] - (np.arange(n) - leader), position[leader] + np.arange(n) - leader, wlo, whi, width
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +179,7 @@ class Shard:
                 depth = max(block.longest, window)
                 sa = suffix_array(ids, depth)
             ranks = np.array([self.seen.get(w, -1) for w in block.vocabulary], np.int64)
-            length, place, lo, hi, width = search(ids, sa, block, ranks, window)
+            length, position_of, lo, hi, width = search(ids, sa, block, ranks, window)
             found = np.flatnonzero(lo < hi)
             item = np.searchsorted(block.starts, found, "right") - 1
             # one interval for all suffixes with the same window
@@ -184,7 +198,7 @@ class Shard:
             matches = []
             if longest:
                 for q in np.flatnonzero(length):
-                    s = int(np.searchsorted(at, p := sa[place[q]], "right") - 1)
+                    s = int(np.searchsorted(at, p := position_of[q], "right") - 1)
                     j = int(np.searchsorted(block.starts, q, "right") - 1)
                     matches.append((s, int(p - at[s]), j, int(q - block.starts[j]), int(length[q])))
             yield block, None, [(int(x) // len(block.ids), int(x) % len(block.ids)) for x in hit_items], matches

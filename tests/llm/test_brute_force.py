@@ -138,6 +138,46 @@ def test_longest_matches(spark):
     assert {tuple(r) for r in got.collect()} == {(0, 2, "9", 1, 4), (0, 3, "9", 2, 3)}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abc", min_size=0, max_size=30), min_size=1, max_size=4), st.lists(st.text("abcd", min_size=0, max_size=25), min_size=1, max_size=3), st.integers(1, 4))
+def test_longest_matches_of_every_suffix(texts, items, window):
+    shard = decontaminate.Shard()
+    for i, t in enumerate(texts):
+        shard.add(i, [c.encode() for c in t], 0, len(t), 0, len(t))
+    block = decontaminate.Block.of([(str(i), " ".join(t)) for i, t in enumerate(items)])
+    ids = np.array(shard.ids, np.int64)
+    sa = decontaminate.suffix_array(ids, max(block.longest, window))
+    ranks = np.array([shard.seen.get(w, -1) for w in block.vocabulary], np.int64)
+    longest, position, lo, hi, width = decontaminate.search(ids, sa, block, ranks, window)
+    flat, q = "|".join(texts) + "|", 0
+    for t in items:
+        for i in range(len(t)):
+            want = max((n for n in range(len(t) - i + 1) if t[i : i + n] in flat), default=0)
+            assert longest[q] == want and (not want or flat[position[q] : position[q] + want] == t[i : i + want])
+            n = window if len(t) - i >= window else len(t) if i == 0 else 0
+            places = {p for p in range(len(flat)) if n and flat.startswith(t[i : i + n], p)}
+            assert width[q] == n and (not n or set(sa[lo[q] : hi[q]].tolist()) == places)
+            q += 1
+
+
+def test_a_long_verbatim_item_takes_linear_time():
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        words = [f"w{k}".encode() for k in range(n)]
+        shard = decontaminate.Shard()
+        shard.add(0, words, 0, n, 0, n)
+        block = decontaminate.Block.of([("1", " ".join(w.decode() for w in words))])
+        ids = np.array(shard.ids, np.int64)
+        sa = decontaminate.suffix_array(ids, n)
+        began = time.perf_counter()
+        longest, *_ = decontaminate.search(ids, sa, block, np.array([shard.seen.get(w, -1) for w in block.vocabulary], np.int64), 10)
+        took.append(time.perf_counter() - began)
+        assert longest.tolist() == list(range(n, 0, -1))
+    assert took[1] < 10 * took[0] + 0.05
+
+
 # --- Jaccard join
 
 
