@@ -25,8 +25,9 @@ from docloom.operators import builders, cells, contents, evidence, metrics, page
 from docloom.plans.questions import STOP, Analysis, analyze, expanded_queries
 from docloom.sources.store import Store
 
-#: Questions that the contents answer exactly, before the hierarchy is asked.
-EXACT = ("AUTHOR_BY_TITLE", "PAGE_BY_TITLE", "ARTICLE_BY_PAGE", "TITLE_BY_AUTHOR")
+#: Questions that contents answer before the hierarchy is asked: all that name what they want of them. A count of poems is
+#: no number found next to the word.
+EXACT = ("AUTHOR_BY_TITLE", "PAGE_BY_TITLE", "ARTICLE_BY_PAGE", "TITLE_BY_AUTHOR", "FIRST_ITEM", "LAST_ITEM", "NTH_ITEM", "COUNT", "EXISTS", "TOPIC_SEARCH", "ARTICLES_BY_SECTION")
 TABLE_WORDS = r"table|तालिका|विवरण|संख्या|प्रतिशत|quarter|report|तिमाही|लक्ष्य|उपलब्धि|पत्र|बैठक|कार्यशाला|समिति"
 
 
