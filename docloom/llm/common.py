@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import logging
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,8 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    """The folder every executor sees: spark.checkpoint.dir; where it is unset a local one, for local sessions alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return folder or DEFAULT_SHARED_DIR
 
 
 def write_shared(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:

@@ -269,7 +269,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null and empty texts
     have no words; items without words have no windows; an item id that is repeated counts once. Items with a
-    null id count as one item, which items_sha256 leaves out. An empty benchmark contaminates nothing; repeated documents give a row each; other columns are ignored.
+    null id count as one item, which items_sha256 leaves out. Texts of any length are searched whole, in shards; windows
+    that tie (several items, several places) all count. An empty benchmark contaminates nothing; repeated documents give
+    a row each; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     blocks, longest = _blocks(benchmark, block_chars)
 
@@ -320,7 +322,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = WIND
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with all their columns."""
+    """The documents without any occurrence of a benchmark window, with all their columns.
+
+    Null and empty texts stay; texts of any length are searched whole; repeated rows all stay or all go; columns keep
+    their names and values; an empty table gives no rows, an empty benchmark all.
+    """
     blocks, longest = _blocks(benchmark, options.get("block_chars", BLOCK_CHARS))
     window, shard_words = options.get("window", WINDOW), options.get("shard_words", SHARD_WORDS)
     at = docs.columns.index("text")

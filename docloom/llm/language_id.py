@@ -223,7 +223,9 @@ def languages(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
     """One row for each document: doc_id, held_out, lang_pred, score.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything where no language could
-    be learned. lang may be null; other columns are ignored; repeated rows give a row each, alike.
+    be learned. Every word of a text of any length is labelled; of languages that tie the first by name is taken. lang
+    may be null; other columns are ignored, whatever their names; repeated rows give a row each, alike; an empty table
+    gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain or fit(docs))
 
@@ -243,7 +245,11 @@ def word_languages(chain: Chain, text: str | None) -> list[tuple[str, str, float
 
 
 def recognised_rows(docs: DataFrame, chain: Chain | None = None) -> DataFrame:
-    """Documents whose language is not `und`, with all their columns; several languages in one text are no reason to drop it."""
+    """Documents whose language is not `und`, with all their columns; several languages in one text are no reason to drop it.
+
+    Null texts and texts without a letter go; texts of any length are read whole; repeated rows all stay or all go, rows
+    with a null doc_id too; columns keep their names and values; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(chain or fit(docs))
     at = docs.columns.index("text")
 

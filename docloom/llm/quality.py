@@ -136,7 +136,8 @@ def qualities(docs: DataFrame, labels: DataFrame, model: Model | None = None, th
 
     score is the probability of class 1: the share of the learned bias for null and empty texts, 1 if class 1
     alone could be learned, 0 if no label could. Rows whose labels disagree are learned with each; documents
-    without a label and repeated rows are scored all the same; other columns are ignored.
+    without a label and repeated rows are scored all the same. Every word of a text of any length is scored; a score on
+    the threshold is class 1. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
 

@@ -124,7 +124,9 @@ def severities(docs: DataFrame, labels: DataFrame, label: str = "toxic", model:
     """One row for each document: doc_id, held_out, severity (expected grade over the highest, 0 to 1), grade (the likeliest), toxic (severity >= 0.5).
 
     Null and empty texts have no words: the thresholds alone grade them. Without any label severity is 0; with
-    one grade alone, each document has it. Repeated rows give a row each; other columns are ignored.
+    one grade alone, each document has it. Every word of a text of any length is scored; of grades that tie the lower is
+    the likeliest. Repeated rows give a row each; other columns are ignored, whatever their names; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, label))
 

@@ -691,6 +691,15 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p[:, 0], want / total) and np.allclose(pairs, moved / total)
 
 
+def test_scoring_equals_forward_backward():
+    rng = np.random.default_rng(2)
+    scores, there = rng.normal(size=(7, 5, 3)), np.arange(7)[:, None] < np.array([7, 1, 3, 5, 2])[None, :]
+    chain = language_id.Chain(["a", "b", "c"], np.zeros((1, 3)), {}, np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    want, _ = language_id.forward_backward(scores, there, chain.moves, chain.starts)
+    got = language_id._marginals(np.where(there[:, :, None], scores, 0.0).astype(np.float32), there, chain)
+    assert np.abs(got[there] - want[there]).max() < 1e-5
+
+
 def test_quality_model_on_held_out_rows():
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice(["river", "house", "walks", "slowly", "green", "the"]) for _ in range(40))
