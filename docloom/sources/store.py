@@ -137,7 +137,7 @@ class Store:
         self._drop(staged)
 
     def _write_buckets(self, name: str, rows: DataFrame) -> None:
-        rows.repartition(self.buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._path(name))
 
     def write(self, name: str, df: DataFrame, documents: DataFrame | None = None) -> None:
         """Overwrite the documents of df, and those of `documents` (document_id) of which nothing is left; a repeated ingest changes nothing."""

@@ -432,9 +432,11 @@ def test_conversations_remember_their_last_article(spark, tmp_path):
     schema = "conversation_id string, turn long, article_id string"
     turns = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], schema)
     turns.write.json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # state with a timeout is never idle otherwise
     q = conversation_memory(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("memory_of_turns").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(40)
+    q.awaitTermination(60)
     q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     want = {(r.conversation_id, r.turn, r.article_id) for r in last_by_conversation(turns).collect()}
     assert want == {("a", 3, "z"), ("b", 1, "q")}
     last = {}
