@@ -18,6 +18,18 @@ from docloom.llm.graph import components, merged
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fastest(run, times=3):
+    """Seconds of the fastest of some runs: what else the machine does counts little."""
+    import time
+
+    took = []
+    for _ in range(times):
+        began = time.perf_counter()
+        run()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
 def docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
@@ -161,21 +173,17 @@ def test_longest_matches_of_every_suffix(texts, items, window):
 
 
 def test_a_long_verbatim_item_takes_linear_time():
-    import time
-
-    took = []
-    for n in (1000, 4000):
+    def prepared(n):
         words = [f"w{k}".encode() for k in range(n)]
         shard = decontaminate.Shard()
         shard.add(0, words, 0, n, 0, n)
         block = decontaminate.Block.of([("1", " ".join(w.decode() for w in words))])
         ids = np.array(shard.ids, np.int64)
-        sa = decontaminate.suffix_array(ids, n)
-        began = time.perf_counter()
-        longest, *_ = decontaminate.search(ids, sa, block, np.array([shard.seen.get(w, -1) for w in block.vocabulary], np.int64), 10)
-        took.append(time.perf_counter() - began)
-        assert longest.tolist() == list(range(n, 0, -1))
-    assert took[1] < 10 * took[0] + 0.05
+        return ids, decontaminate.suffix_array(ids, n), block, np.array([shard.seen.get(w, -1) for w in block.vocabulary], np.int64), 10
+
+    small, large = prepared(1000), prepared(4000)
+    assert decontaminate.search(*large)[0].tolist() == list(range(4000, 0, -1))
+    assert fastest(lambda: decontaminate.search(*large)) < 10 * fastest(lambda: decontaminate.search(*small)) + 0.05
 
 
 # --- Jaccard join
@@ -463,16 +471,12 @@ def test_loose_spans_touch_nothing(t):
 
 
 def test_many_entities_in_one_text_take_linear_time():
-    import time
-
-    took = []
-    for n in (4000, 16_000):
+    def run(n):
         text = " ".join(f"mail u{i}@x{i}.de or 555 {i:06d} or {i} [at] b{i}" for i in range(n))
-        began = time.perf_counter()
         pii.all_spans(text, {"L:or": [("phone", 1.0)]})
         secrets_scan.added_spans(text.replace(" ", "_token = "), [("assign", i, i + 1) for i in range(0, n * 10, 10)])
-        took.append(time.perf_counter() - began)
-    assert took[1] < 10 * took[0]
+
+    assert fastest(lambda: run(16_000), 2) < 12 * fastest(lambda: run(4000), 2)
 
 
 WORDS = ["password", "secret", "api_key", "apikey", "TOKEN", "passwd", "AKIA", "deadbeef" * 4, "=", ":", " ", '"', "'", "abc12345", "x", "0f", "AKIAABCDEFGH12345", "ſecret", "toKen"]
@@ -554,15 +558,8 @@ def test_lexer_takes_any_text(parts):
 
 @pytest.mark.parametrize("unit", ["/* ", "<!-- ", '"', "<<A{i}\n", "key: ", "key = (", "{", "a.b.c", "<a ", "x" * 50, "key: |\n  a\n", "(key = ", "[", "'"])
 def test_lexing_takes_linear_time(unit):
-    import time
-
-    took = []
-    for n in (1500, 6000):
-        text = "pwd " + "".join(unit.replace("{i}", str(i)) for i in range(n))
-        began = time.perf_counter()
-        secrets_scan.literals(text)
-        took.append(time.perf_counter() - began)
-    assert took[1] < 12 * took[0] + 0.05
+    text = lambda n: "pwd " + "".join(unit.replace("{i}", str(i)) for i in range(n))
+    assert fastest(lambda: secrets_scan.literals(text(6000))) < 12 * fastest(lambda: secrets_scan.literals(text(1500))) + 0.05
 
 
 def test_long_literals_are_found_whole():
