@@ -414,12 +414,13 @@ class Engine:
         first = [r.asDict() for r in self._reranked(a, self.hierarchy_search(a.query, scope), 5).collect()]
         if not first:
             return None
-        pool = self.hierarchy_search(a.query, scope).select("id", "vector_sim", "lexical_score", "rrf_score")
+        scores = ("vector_sim", "lexical_score", "rrf_score")
+        pool = self.spark.createDataFrame([(r["id"], *(float(r[c] or 0.0) for c in scores)) for r in first], "id string, " + ", ".join(f"{c} double" for c in scores))
         prefixes = retrieval.branch_prefixes(first, a.listing)
         rows = points.filter(F.col("id").isin([r["id"] for r in first]))
         if prefixes:
             rows = rows.unionByName(retrieval.expanded(points, prefixes, a.listing)).dropDuplicates(["id"])
-        rows = rows.join(pool, "id", "left").fillna(0.0, ["vector_sim", "lexical_score", "rrf_score"])
+        rows = rows.join(F.broadcast(pool), "id", "left").fillna(0.0, list(scores))  # five rows
         scored = self._reranked(a, rows, retrieval.RERANK[a.listing])
         in_path = tk.stem_overlap(words, tk.tokens(F.array_join("hierarchy_path", " "))) >= max(1, -(-len(words) // 2))
         if a.listing:
