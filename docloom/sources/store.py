@@ -116,6 +116,9 @@ class Store:
         """Rows of df, and the stored rows of their buckets that they don't replace by key; nothing stays of `documents`."""
         types = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))
         rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()]).withColumn("bucket", self._bucket())
+        if not self._exists(name):
+            self._write_buckets(name, rows)
+            return
         staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
         rows.write.parquet(staged)  # df may be read from the buckets that are rewritten
         new = self.spark.read.schema(f"{SCHEMAS[name]}, bucket int").parquet(staged)
@@ -129,10 +132,10 @@ class Store:
             for c in ["document_id", *replaced]:
                 same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
             after = old.join(gone.alias("n"), same, "left_anti").unionByName(new)
-            left = {r[0] for r in after.select("bucket").distinct().collect()}
-            if left:
+            empty = set(touched) - {r[0] for r in after.select("bucket").distinct().collect()} if documents is not None else set()
+            if len(empty) < len(touched):
                 self._write_buckets(name, after)
-            for b in set(touched) - left:
+            for b in empty:
                 self._drop(f"{self._path(name)}/bucket={b}")
         self._drop(staged)
 
