@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, pii, quality, secrets_scan, substring_dedup, toxicity
+from pyspark.sql import functions as F
+
+from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, merkle, mixing, packing, pii, quality, secrets_scan, substring_dedup, toxicity, whitening
 from docloom.llm.common import read_table
 from docloom.llm.oracles import ORACLES
 
@@ -49,4 +51,19 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_quality, op4_exact_dedup, op5_decontaminate, op6_secrets, op7_mixing, op8_substring_dedup, op9_language_id, op10_jaccard_join)}
+def op11_packing(spark, sf_dir):
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op12_whitening(spark, sf_dir):
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.verified(merkle.manifest(read_table(spark, sf_dir, "documents")))
+
+
+OPERATORS = (op1_pii, op2_toxicity, op3_quality, op4_exact_dedup, op5_decontaminate, op6_secrets, op7_mixing, op8_substring_dedup, op9_language_id, op10_jaccard_join, op11_packing, op12_whitening, op13_merkle)
+QUERIES = {f.__name__: f for f in OPERATORS}

@@ -49,4 +49,49 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-ORACLES = {"op4_exact_dedup": OP4, "op5_decontaminate": OP5, "op10_jaccard_join": OP10}
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text])) + ")"
+
+
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+#: Levels of every tree: those of languages, then the one of their roots, whose leaves are numbered in order of the languages.
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf(f"(CASE WHEN text IS NOT NULL THEN {LOWER} END)")} END AS tampered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+lower AS (
+  SELECT tree, 0 AS level, i, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, min(level) + 1, i // 8, (min(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM lower WHERE n > 1 GROUP BY tree, i // 8),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM lower WHERE n = 1),
+upper AS (
+  SELECT '' AS tree, 0 AS level, i, n, digest FROM subroots
+  UNION ALL
+  SELECT tree, min(level) + 1, i // 8, (min(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY tree, i // 8),
+climb AS (
+  SELECT doc_id, tree, i AS at, 0 AS level, i, n, coalesce(tampered, leaf) AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.tree, c.at, min(c.level) + 1, min(c.i) // 8, (min(c.n) + 7) // 8,
+         sha256(string_agg(CASE WHEN l.i = c.i THEN c.folded ELSE l.digest END, '' ORDER BY l.i)),
+         min(c.proof) || coalesce(string_agg(CASE WHEN l.i <> c.i THEN l.digest END, '' ORDER BY l.i), '')
+  FROM climb c JOIN lower l ON l.tree = c.tree AND l.level = c.level AND l.i // 8 = c.i // 8 WHERE c.n > 1 GROUP BY c.doc_id, c.tree, c.at),
+higher AS (
+  SELECT c.tree, c.at, 0 AS level, s.i, s.n, c.folded, c.proof FROM climb c JOIN subroots s USING (tree) WHERE c.n = 1
+  UNION ALL
+  SELECT h.tree, h.at, min(h.level) + 1, min(h.i) // 8, (min(h.n) + 7) // 8,
+         sha256(string_agg(CASE WHEN l.i = h.i THEN h.folded ELSE l.digest END, '' ORDER BY l.i)),
+         min(h.proof) || coalesce(string_agg(CASE WHEN l.i <> h.i THEN l.digest END, '' ORDER BY l.i), '')
+  FROM higher h JOIN upper l ON l.level = h.level AND l.i // 8 = h.i // 8 WHERE h.n > 1 GROUP BY h.tree, h.at)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(h.proof) AS proof_sha256, h.folded AS folded_root, h.folded = r.digest AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN higher h ON h.tree = p.tree AND h.at = p.i AND h.n = 1 JOIN upper r ON r.n = 1
+"""
+
+ORACLES = {"op4_exact_dedup": OP4, "op5_decontaminate": OP5, "op10_jaccard_join": OP10, "op13_merkle": OP13}
