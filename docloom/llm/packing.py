@@ -17,9 +17,11 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ TIERS = (2048, 1024, 512, 256)
 GROUP_TOKENS, STEP_TOKENS = 1 << 20, 1 << 16
 TOKENIZER = "word_bpe_49k.json"
 END = 1
-#: Words whose ids a task remembers at most; then it begins anew.
-REMEMBERED = 400_000
+#: Characters of texts that are encoded at once; a longer text is alone.
+CHUNK_CHARS = 2_000_000
+#: Words, and parts of words, whose ids a worker remembers at most, but for those of one chunk; then it begins anew.
+REMEMBERED = 1_000_000
 #: Stands between words that are encoded at once; a single id, of a byte that plain words don't have.
 BETWEEN = "\x01"
 #: Numbers of sequences in a group.
@@ -42,10 +46,10 @@ _parts = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class WordIds:
-    """Token ids of texts by a tokenizer whose words don't cross blanks; ids of words are remembered.
+    """Token ids of texts by a tokenizer whose words don't cross blanks; each different word is encoded once.
 
-    encode() gives what the tokenizer gives for the whole text, as bytes of `kind`. Words of plain letters, digits and
-    signs are encoded by their parts, which the tokenizer separates anyway; all others go to it as they are.
+    encode() gives what the tokenizer gives for whole texts. Words of plain letters, digits and signs are encoded by their
+    parts, which the tokenizer separates anyway; all others go to it as they are. Words and parts are remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,35 +62,41 @@ class WordIds:
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         (self.between,) = self.bare.encode([BETWEEN], is_pretokenized=True, add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        split, odd = {}, []
+    def _learn(self, words: list[str]) -> None:
+        known, whole, split, odd = self.words, [], {}, []
         for w in words:
-            if _plain.fullmatch(w) and "<|" not in w:
+            if w.isalpha() and w.isascii():
+                whole.append(w)
+            elif _plain.fullmatch(w) and "<|" not in w:
                 split[w] = _parts.findall(w)
             else:
                 odd.append(w)
-        parts = list({p for own in split.values() for p in own} - self.parts.keys())
+        parts = list(set(chain(whole, *split.values())).difference(known))
         if parts:
-            listed = [x for p in parts for x in (p, BETWEEN)]
+            listed = [BETWEEN] * (2 * len(parts))
+            listed[::2] = parts
             ids = np.array(self.bare.encode_batch_fast([listed], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
-            ends, flat, one = np.flatnonzero(ids == self.between).tolist(), ids.tobytes(), self.kind.itemsize
-            self.parts.update((p, flat[a * one : b * one]) for p, a, b in zip(parts, [0, *[e + 1 for e in ends]], ends, strict=False))
-        own = self.parts
-        self.words.update((w, b"".join([own[p] for p in ps])) for w, ps in split.items())
-        self.words.update((w, self._bytes(e.ids)) for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            ends, flat, one = np.flatnonzero(ids == self.between) * self.kind.itemsize, ids.tobytes(), self.kind.itemsize
+            known.update((p, flat[a:b]) for p, a, b in zip(parts, [0, *(ends[:-1] + one).tolist()], ends.tolist(), strict=True))
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in split.items())
+        found = self.whole.encode_batch_fast(odd, add_special_tokens=False)
+        known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(odd, found, strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last one's end)."""
         if len(self.words) > REMEMBERED:
-            self.words, self.parts = {}, {}
-        cut = [t.encode("utf-8", "replace").lower().decode().split(" ") for t in texts]
-        known = self.words
-        self._learn({w for words in cut for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) for words in cut]
+            self.words = {}
+        cut = pc.split_pattern(pc.replace_substring(pc.ascii_lower(pa.array(texts, pa.large_string())), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn([w for w in words if w not in self.words])
+        own = [self.words[w] for w in words]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+        flat, n = np.frombuffer(b"".join(own), self.kind), sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n)]
+        return ids, ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
 
 
 @lru_cache(maxsize=2)
@@ -105,13 +115,12 @@ def word_ids(name: str) -> WordIds:
 def _tokenised(name: str, window: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(name)
-        one = coder.kind.itemsize
-        end = np.array([END], coder.kind).tobytes()
-        for ids, texts in chunks(batches):
+        one, end = coder.kind.itemsize, np.array([END], coder.kind)
+        for doc_ids, texts in chunks(batches, CHUNK_CHARS):
+            ids, ends = coder.encode([t or "" for t in texts])
             rows: list[tuple] = []
-            for doc_id, own in zip(ids, coder.encode([t or "" for t in texts]), strict=True):
-                own += end
-                total = len(own) // one
+            for doc_id, a, b in zip(doc_ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own, total = np.concatenate([ids[a:b], end]).tobytes(), b - a + 1
                 rows += [(doc_id, at, min(window, total - at), total, own[at * one : (at + window) * one]) for at in range(0, total, window)]
             for at in range(0, len(rows), 4096):
                 cols = list(zip(*rows[at : at + 4096], strict=True))
