@@ -11,6 +11,12 @@ DATE = r"[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}"
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
 
 
+def natural(text: Column | str) -> Column:
+    """A key that orders texts with their numbers as numbers: t2 before t10."""
+    runs = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 12, "0")).otherwise(r)), "")
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, DEVANAGARI_DIGITS, "0123456789")
 

@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import script
+from docloom.functions.numbers import natural
 from docloom.functions.tokens import tokens
+from docloom.operators.similarity import first_seen, similar_pairs
+from docloom.sources.scratch import Scratch
 
+#: Names of one person are alike by so much.
+NAME_RATIO = 0.84
 
 #: Names of sections, by concept.
 SECTION_WORDS = {
@@ -59,28 +64,24 @@ def in_section(entries: DataFrame, section: str, columns: tuple[str, ...] = ("ty
 def author_clusters(entries: DataFrame, author: str = "author", position: str = "position") -> DataFrame:
     """(author, cluster): names of one person have the first-seen name.
 
-    Names are reduced to distinct keys, so that names of one key cost nothing more. Keys are blocked by word count and
-    the first consonants of each word, and merged in order within a block; in a block, a key meets the clusters of
-    like length alone (a ratio of 0.84 needs lengths within 8 of 11), so that large blocks fall into short lists.
+    Names are reduced to distinct keys, so that names of one key cost nothing more. Keys are blocked by their words'
+    first consonants; within a block, keys of as many words alike by NAME_RATIO meet in a similarity join, and a key, in the
+    order of first sight, joins the first leader before it that is alike, or leads. No block is gathered in a task.
     """
+    scratch = Scratch(entries.sparkSession, "authors")
     names = entries.groupBy(author).agg(F.min(position).alias("at")).withColumn("key", script.person_key(F.col(author)))
-    keys = names.groupBy("key").agg(F.min(F.struct("at", author)).alias("f")).select("key", "f.at", F.col(f"f.{author}").alias("first"))
-    keys = keys.withColumn("block", F.array_join(F.transform(F.split("key", " "), lambda w: F.substring(script.skeleton(w), 1, 1)), ""))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "first"], kind="stable")
-        seen: dict[int, list[tuple[int, str, str]]] = {}  # clusters in order, by length of their key
-        out = []
-        for i, (name, key) in enumerate(zip(pdf["first"], pdf["key"], strict=True)):
-            near = sorted(c for n in range(len(key) * 8 // 11, -(-len(key) * 11 // 8) + 1) for c in seen.get(n, ()))
-            found = next((first for _, k, first in near if script.same_person_text(k, key)), None)
-            if found is None:
-                seen.setdefault(len(key), []).append((i, key, name))
-            out.append(found or name)
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "cluster": out})
-
-    merged = keys.groupBy("block").applyInPandas(merge, "key string, cluster string")
-    return names.join(merged, "key").select(author, "cluster")
+    names = scratch.write(names, "names")
+    keys = names.groupBy("key").agg(F.min(F.struct("at", author)).alias("at")).filter("key IS NOT NULL")
+    words = F.split("key", " ")
+    keys = scratch.write(keys.withColumn("words", F.size(words)).withColumn("block", F.array_join(F.transform(words, lambda w: F.substring(script.skeleton(w), 1, 1)), "")), "keys")
+    pairs = scratch.write(similar_pairs(keys, "key", ["block", "words"], NAME_RATIO), "pairs")
+    place = lambda c: keys.select(F.col("key").alias(c), F.col("at").alias(f"at_{c}"))
+    both = pairs.join(place("a"), "a").join(place("b"), "b")
+    first = F.col("at_a") < F.col("at_b")
+    edges = both.filter(F.when(first, F.col("ratio_ab")).otherwise(F.col("ratio_ba")) >= NAME_RATIO).select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"))
+    leaders = first_seen(keys.select("key", "at"), edges, scratch)
+    heads = keys.select(F.col("key").alias("leader"), F.col(f"at.{author}").alias("cluster"))
+    return names.join(leaders.join(heads, "leader"), "key").select(author, "cluster")
 
 
 def ordered_distinct(df: DataFrame, value: str, position: str, skip: tuple[str, ...] = ("General",)) -> DataFrame:
@@ -228,7 +229,7 @@ def toc_from_cells(cells: DataFrame) -> DataFrame:
     row = row.withColumn("section_original", F.coalesce(F.last("section_original", ignorenulls=True).over(w), F.lit("General")))
     entry = row.filter(~is_section & (F.size("v") >= 3)).withColumn("serial_number", F.regexp_extract(F.col("v")[0], r"^([0-9]+)\.?$", 1).try_cast("int")).withColumn("page_number", F.regexp_extract(F.try_element_at("v", F.lit(-1)), r"^([0-9]+)$", 1).try_cast("int")).filter("serial_number IS NOT NULL")
     entry = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document_id", "table_id"))).filter("n >= 5")
-    entry = entry.withColumn("first", F.min("table_id").over(Window.partitionBy("document_id"))).filter("table_id = first")
+    entry = entry.withColumn("first", F.min_by("table_id", natural("table_id")).over(Window.partitionBy("document_id"))).filter("table_id = first")
     authors = F.when(F.size("v") >= 4, F.col("v")[2])
     out = entry.select("document_id", "table_id", "serial_number", "section_original", F.col("v")[1].alias("title_original"), authors.alias("author_original"), "page_number")
     return enrich(section_index(out, ["document_id", "table_id", "section_original"], ["serial_number"]))

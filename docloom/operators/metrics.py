@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import numbers as nb
-from docloom.functions.script import seq_ratio_text
+from docloom.operators.similarity import components, similar_pairs
+from docloom.sources.scratch import Scratch
 
 #: Latin letters of regions to Devanagari ones, in order.
 REGIONS = {"a": "क", "b": "ख", "c": "ग"}
@@ -51,38 +52,50 @@ def compare(wide: DataFrame, periods: list, is_percent: Column | None = None) ->
     return wide.withColumn("change", diff).withColumn("change_pct", pct)
 
 
-def _ratio_at_least(a: str, b: str, least: float) -> float:
-    """The sequence ratio, or 0 where lengths alone keep it below `least`."""
-    return seq_ratio_text(a, b) if 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) else 0.0
-
-
 def fuzzy_merge(records: DataFrame, keys: list[str], metric: str = "metric_key", period: str = "period", position: str = "position", ratio: float = MERGE_RATIO) -> DataFrame:
-    """Adds merged_key: the key of the first metric alike by `ratio` that has no value for the period yet.
+    """Adds merged_key: a record goes to the row of its metric, else to the row most alike (by `ratio`, of ties the older one) that has no value for its period yet, else it opens a row.
 
-    The order of a group decides. Records of one key, metric and period share their fate, the first of them by
-    position: only these distinct ones go through Python, by group, and the records are joined to the result. A
-    group is as large as the metrics that a section has in all periods, not as its records.
+    Records of a group come by position, then metric and period; those equal in all of these share their fate. A record
+    meets only rows whose metrics are alike: a similarity join ties metrics, and the order matters within what ties
+    connect. A metric without ties keeps its name and meets no Python. Of a tied metric and period, records beyond the
+    number of its ties open or find its own row, so that a task holds few of them.
     """
-    distinct = records.groupBy(*keys, metric, period).agg(F.min(position).alias("_at"))
-    schema = distinct.withColumn("merged_key", F.lit("")).drop("_at").schema
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", metric], kind="stable")
-        held: dict[str, set] = {}
+    scratch = Scratch(records.sparkSession, "metrics")
+    node = lambda m: F.to_json(F.struct(*keys, F.col(m).alias("m")))  # noqa: E731  null keys are left out of it
+    pairs = scratch.write(similar_pairs(records.filter(F.col(metric).isNotNull()), metric, keys, ratio), "pairs")
+    if pairs.isEmpty():
+        return records.withColumn("merged_key", F.col(metric))
+    ties = scratch.write(pairs.select(node("a").alias("a"), node("b").alias("b"), F.col("a").alias("name_a"), F.col("b").alias("name_b"), "ratio_ab", "ratio_ba"), "ties")
+    ends = ties.select(F.col("a").alias("node")).unionByName(ties.select(F.col("b").alias("node")))
+    degrees = scratch.write(ends.groupBy("node").agg(F.count(F.lit(1)).alias("ties")), "degrees")
+    most = degrees.agg(F.max("ties")).first()[0] + 2
+    parts = components(degrees.select("node"), ties, scratch)
+    cases = records.select(node(metric).alias("node"), F.col(metric).alias("name"), F.col(period).cast("string").alias("period"), F.col(position).alias("at")).distinct()
+    nth = F.row_number().over(Window.partitionBy("node", "period").orderBy("at"))
+    cases = cases.join(parts, "node").withColumn("_n", nth).filter(F.col("_n") <= most).drop("_n")
+    edges = scratch.write(ties.join(parts.withColumnRenamed("node", "a"), "a").select("component", "name_a", "name_b", "ratio_ab", "ratio_ba"), "edges")
+
+    def merge(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        alike: dict[str, list[tuple[str, float]]] = {}  # of a new metric: (older metric, ratio)
+        for a, b, ab, ba in zip(near["name_a"], near["name_b"], near["ratio_ab"], near["ratio_ba"], strict=True):
+            alike.setdefault(b, []).append((a, ab))
+            alike.setdefault(a, []).append((b, ba))
+        held: dict[str, tuple[int, set]] = {}  # rows: place, periods
         out = []
-        for m, p in zip(pdf[metric], pdf[period], strict=True):
-            if m not in held:
-                near = sorted(((_ratio_at_least(m, k, ratio), -i, k) for i, k in enumerate(held) if p not in held[k]), reverse=True)
-                m = near[0][2] if near and near[0][0] >= ratio else m
-            held.setdefault(m, set()).add(p)
-            out.append(m)
-        return pdf.drop(columns="_at").assign(merged_key=out)
-
-    merged = distinct.groupBy(*keys).applyInPandas(merge, schema).alias("m")
-    on = F.lit(True)
-    for c in [*keys, metric, period]:
-        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
-    return records.alias("r").join(merged, on).select("r.*", "m.merged_key")
+        rows = rows.sort_values(["at", "name", "period"], kind="stable")
+        for name, own in zip(rows["name"], rows["period"], strict=True):
+            if name not in held:
+                fits = [(r, -held[k][0], k) for k, r in alike.get(name, ()) if r >= ratio and k in held and own not in held[k][1]]
+                name = max(fits)[2] if fits else name
+            held.setdefault(name, (len(held), set()))[1].add(own)
+            out.append(name)
+        return pd.DataFrame({"node": rows["node"], "p": rows["period"], "at": rows["at"], "merged": out})
+
+    kind = records.schema[position].dataType.simpleString()
+    merged = cases.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(merge, f"node string, p string, at {kind}, merged string")
+    on = (F.col("r._node") == F.col("m.node")) & F.col(f"r.{period}").cast("string").eqNullSafe(F.col("m.p")) & F.col(f"r.{position}").eqNullSafe(F.col("m.at"))
+    joined = records.withColumn("_node", node(metric)).alias("r").join(merged.alias("m"), on, "left")
+    return joined.select("r.*", F.coalesce("m.merged", f"r.{metric}").alias("merged_key")).drop("_node")
 
 
 def latest_period(records: DataFrame, period: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,18 @@ FULL_SCAN_SCORE, HIERARCHY_K = 0.70, 35
 Queries = list[tuple[list[float], float]]
 
 
-def _fused(dense: DataFrame, rows: DataFrame, terms: str, text: str, k: int) -> DataFrame:
+@dataclass(frozen=True)
+class Lists:
+    """A dense and a sparse list (id, score) that stored indexes have found; None: by a scan."""
+
+    dense: DataFrame | None = None
+    sparse: DataFrame | None = None
+
+
+def _fused(dense: DataFrame, rows: DataFrame, terms: str, text: str, k: int, sparse: DataFrame | None = None) -> DataFrame:
     """Rows of a dense list (id, score) and their sparse list, fused: vector_sim, lexical_score and rrf_score beside rows' columns."""
-    lists = [search.ranked(dense.select("id", "score"), "score", "id"), search.ranked(search.sparse(rows, terms, text, "id", 2 * k).select("id", "score"), "score", "id")]
+    sparse = search.sparse(rows, terms, text, "id", 2 * k) if sparse is None else sparse
+    lists = [search.ranked(dense.select("id", "score"), "score", "id"), search.ranked(sparse.select("id", "score"), "score", "id")]
     fused = search.fuse(lists, k=k)
     out = fused.join(lists[0].select("id", F.col("score").alias("vector_sim")), "id", "left").join(lists[1].select("id", F.col("score").alias("lexical_score")), "id", "left")
     out = out.join(rows, "id")
@@ -25,10 +36,10 @@ def _fused(dense: DataFrame, rows: DataFrame, terms: str, text: str, k: int) ->
     return out.withColumn("vector_sim", F.coalesce("vector_sim", F.lit(0.0))).withColumn("lexical_score", F.coalesce("lexical_score", tk.lexical_score(F.col(text), words)))
 
 
-def hierarchy_candidates(points: DataFrame, queries: Queries, terms: str, k: int = HIERARCHY_K) -> DataFrame:
+def hierarchy_candidates(points: DataFrame, queries: Queries, terms: str, k: int = HIERARCHY_K, lists: Lists = Lists()) -> DataFrame:
     """The k best points by fusion of the dense list over all variants and the sparse one."""
-    dense = search.dense_variants(points, queries, "dense", "id", 2 * k)
-    return _fused(dense, points, terms, "hierarchy_path_text", k)
+    dense = search.dense_variants(points, queries, "dense", "id", 2 * k) if lists.dense is None else lists.dense
+    return _fused(dense, points, terms, "hierarchy_path_text", k, lists.sparse)
 
 
 def with_structural(top: DataFrame, points: DataFrame, state: str = "structural_eligibility") -> DataFrame:
@@ -37,18 +48,19 @@ def with_structural(top: DataFrame, points: DataFrame, state: str = "structural_
     return search.structural_union(top, extra.fillna(0.0, ["vector_sim", "lexical_score"]), "id", state)
 
 
-def chunk_candidates(chunks: DataFrame, queries: Queries, terms: str, k: int = search.TOP_K, collection: str | None = None, scan: bool = False, words: tuple[str, ...] = ()) -> DataFrame:
+def chunk_candidates(chunks: DataFrame, queries: Queries, terms: str, k: int = search.TOP_K, collection: str | None = None, scan: bool = False, words: tuple[str, ...] = (), lists: Lists = Lists()) -> DataFrame:
     """The k best chunks by fusion.
 
-    In the index collection, a listing question (scan) has all chunks at 0.70 at least, and few hits are joined by early
-    content pages. Elsewhere, contents lines that name one of `words` locate pages, whose chunks come in or rise.
-    Where dense and sparse lists are empty, the shortest chunks with a term come instead.
+    In the index collection, a listing question (scan) has every chunk at 0.70 at least: those beyond the best k share the
+    rank after them. Otherwise few hits are joined by early content pages. Elsewhere, contents lines that name one of
+    `words` locate pages, whose chunks come in or rise.
     """
     rows = search.route(chunks, collection=collection)
-    dense = search.dense_variants(rows, queries, "dense", "id", k)
+    dense = search.dense_variants(rows, queries, "dense", "id", k) if lists.dense is None else rows.join(lists.dense.select("id", "score"), "id")
     if collection == "index":
         if scan:
-            dense = dense.unionByName(rows.join(dense.select("id"), "id", "left_anti").withColumn("score", F.lit(FULL_SCAN_SCORE)), allowMissingColumns=True)
+            rest = rows.join(dense.select("id"), "id", "left_anti").withColumn("score", F.lit(FULL_SCAN_SCORE))
+            dense = dense.unionByName(search.top_k(rest, "score", "id", k), allowMissingColumns=True)  # more than k chunks are never returned
         content = search.route(chunks, collection="content")
         dense = evidence.early_pages(dense, content, k) if not scan else dense
         rows = rows.unionByName(content.filter(F.col("page") <= evidence.EARLY_PAGES))
@@ -56,10 +68,19 @@ def chunk_candidates(chunks: DataFrame, queries: Queries, terms: str, k: int = s
         lines = search.route(chunks, collection="index").select("document_id", F.explode(F.split("text", "\n")).alias("text"))
         located = search.located_pages(lines, list(words))
         dense = search.with_located(dense, search.route(rows, collection="content"), located)
-    found = _fused(dense, rows, terms, "text", k)
-    fallback = search.keyword_fallback(rows, list(dict.fromkeys(tk.query_tokens(terms))) or [""], "text", "id", k)
-    same = fallback.select(*[F.col(c) if c in fallback.columns else F.lit(0.0 if t == "double" else None).cast(t).alias(c) for c, t in found.dtypes])
-    return search.or_else(found.filter("vector_sim > 0 OR lexical_score > 0"), same)
+    found = _fused(dense, rows, terms, "text", k, lists.sparse)
+    return found.filter("vector_sim > 0 OR lexical_score > 0")
+
+
+def fallback(chunks: DataFrame, terms: str, k: int, collection: str | None, like: DataFrame) -> DataFrame:
+    """Where chunk_candidates() finds nothing: the k best by BM25, and where that finds nothing, the shortest chunks with a term; columns as in `like`."""
+    rows = search.route(chunks, collection=collection)
+    found = search.bm25(rows, terms, "text", "id", k, fields=("section",), page="page", year="year")
+    if found.isEmpty():
+        found = search.keyword_fallback(rows, list(dict.fromkeys(tk.query_tokens(terms))) or [""], "text", "id", k)
+    else:
+        found = found.withColumn("lexical_score", F.col("score"))
+    return found.select(*[F.col(c).cast(t).alias(c) if c in found.columns else F.lit(0.0 if t == "double" else None).cast(t).alias(c) for c, t in like.dtypes])
 
 
 def branch_prefixes(evidence_rows: list[dict], listing: bool) -> list[tuple[str, list[str]]]:

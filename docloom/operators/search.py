@@ -90,10 +90,10 @@ def corpus_stats(df: DataFrame, text: str = "text") -> DataFrame:
     toks = df.select(tk.tokens(F.col(text)).alias("toks"))
     totals = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
     terms = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.crossJoin(F.broadcast(totals)).withColumn("idf", _idf(F.col("n_docs"), F.col("df")))  # one row
+    return terms.crossJoin(F.broadcast(totals)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))  # one row
 
 
-def _idf(n: Column, d: Column) -> Column:
+def idf(n: Column, d: Column) -> Column:
     return F.log(1 + (n - d + 0.5) / (d + 0.5))
 
 
@@ -115,7 +115,7 @@ def bm25(df: DataFrame, query: str, text: str = "text", id_column: str = "id", k
     parts = []
     for i in range(len(terms)):
         f = F.col("tf")[i].cast("double")
-        parts.append(F.when(f > 0, _idf(F.col("n"), F.col(f"df{i}")) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0))
+        parts.append(F.when(f > 0, idf(F.col("n"), F.col(f"df{i}")) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0))
     score = reduce(Column.__add__, parts, F.lit(0.0))
     if len(terms) > 1:
         score = score + F.when(F.contains(F.lower(F.col(text)), F.lit(query.lower())), PHRASE_BOOST).otherwise(0.0)

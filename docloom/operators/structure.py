@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +53,82 @@ def sibling_ordinals(points: DataFrame) -> DataFrame:
     return points.withColumn("sibling_ordinal", F.row_number().over(Window.partitionBy("document_id", parent).orderBy("id")))
 
 
+_json = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([^\s{}\[\],:"]+))', re.DOTALL)
+
+
+def walk_tree(text: str | None) -> Iterator[tuple[list[str | None], str | None]]:
+    """(path, value) of every node of a tree as JSON text {"key", "value", "children"}, parents first; nothing of a text that is no such tree.
+
+    It keeps its own stack, so that a tree is as deep as it likes.
+    """
+    stack: list[dict] = []  # open nodes
+    name, last, at, rows = None, None, 0, []
+    skip = 0  # depth inside a value that is no scalar
+    text = text or ""
+    while match := _json.match(text, at):
+        at = match.end()
+        sign, quoted, bare = match.groups()
+        if skip:
+            skip += (sign in ("{", "[")) - (sign in ("}", "]")) if sign else 0
+            if not skip:
+                stack[-1]["node"][name] = text[begin:at]
+            continue
+        if sign == "{" and (not stack or stack[-1]["in"]):
+            stack.append({"node": {"key": None, "value": None}, "in": False, "row": len(rows)})
+            rows.append(None)
+        elif sign in ("{", "["):
+            if sign == "[" and name == "children":
+                stack[-1]["in"] = True
+            elif stack:
+                begin, skip = match.start(1), 1
+            else:
+                return
+        elif sign == "]" and stack:
+            stack[-1]["in"] = False
+        elif sign == "}" and stack:
+            done = stack.pop()
+            rows[done["row"]] = (done["node"]["key"], done["node"]["value"], len(stack))
+            name = "children"
+            if not stack:
+                break
+        elif quoted or bare:
+            value = json.loads(quoted) if quoted else None if bare == "null" else bare
+            if last in ("{", ",") and quoted:
+                name = value
+            elif stack and name in ("key", "value"):
+                stack[-1]["node"][name] = value
+        last = sign or "v"
+    if stack:
+        return
+    path: list[str | None] = []
+    for key, value, depth in rows:
+        path = [*path[:depth], key]
+        yield path, value
+
+
 def flatten_tree(trees: DataFrame, key: str = "document_id", tree: str = "tree") -> DataFrame:
-    """(key, path, value) of every node of trees as JSON text {"key", "value", "children"}, parents before children, by a recursive query.
+    """(key, path, value) of every node of trees as JSON text {"key", "value", "children"}, parents before children.
 
-    A level of nodes is one round, so that a tree is as deep as it likes.
+    A tree may have any depth and any number of nodes; one without a key at its root, and a text that is no tree, has none.
     """
-    node = "STRUCT<key: STRING, value: STRING, children: ARRAY<STRING>>"
-    name = f"_trees_{abs(hash((key, tree)))}"
-    trees.select(F.col(key).alias("id"), F.col(tree).alias("tree")).createOrReplaceTempView(name)
-    found = trees.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, path, value, children) AS (
-          SELECT id, array(n.key), n.value, n.children FROM (SELECT id, from_json(tree, '{node}') AS n FROM {name})
-          UNION ALL
-          SELECT id, concat(path, array(n.key)), n.value, n.children FROM (SELECT id, path, from_json(child, '{node}') AS n FROM walk LATERAL VIEW explode(children) c AS child))
-        SELECT id, path, value FROM walk WHERE path[0] IS NOT NULL""")
-    return found.withColumnRenamed("id", key)
+    kind = trees.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, text in zip(pdf["own"], pdf["tree"], strict=True):
+                held = []
+                for path, value in walk_tree(text):
+                    if path[0] is None:
+                        break
+                    held.append((own, path, value))
+                    if len(held) == 4096:
+                        yield pd.DataFrame(held, columns=["own", "path", "value"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["own", "path", "value"])
+
+    found = trees.select(F.col(key).alias("own"), F.col(tree).alias("tree")).mapInPandas(walk, f"own {kind}, path array<string>, value string")
+    return found.withColumnRenamed("own", key)
 
 
 def find_key(points: DataFrame, key: str) -> DataFrame:
@@ -195,20 +260,29 @@ def has_word(value: Column) -> Column:
 
 
 #: Names of designations, by group.
-ROLES = {
-    "director": ("director", "निदेशक"), "secretary": ("secretary", "सचिव"), "chairman": ("chairman", "chairperson", "अध्यक्ष"), "editor": ("editor", "संपादक"), "minister": ("minister", "मंत्री"), "manager": ("manager", "प्रबंधक"),
-    "officer": ("officer", "अधिकारी"), "commissioner": ("commissioner", "आयुक्त"), "patron": ("patron", "संरक्षक"), "advisor": ("advisor", "adviser", "सलाहकार"), "head": ("head of office", "कार्यालय प्रमुख"),
-}
+ROLES = [
+    ("secretary", "sachiv", "सचिव"),
+    ("director", "nideshak", "निदेशक"),
+    ("chairman", "chairperson", "president", "adhyaksh", "adhyaksha", "अध्यक्ष"),
+    ("editor", "sampadak", "संपादक", "सम्पादक"),
+    ("minister", "mantri", "मंत्री"),
+    ("engineer", "abhiyanta", "अभियंता"),
+    ("officer", "adhikari", "अधिकारी"),
+    ("manager", "prabandhak", "प्रबंधक"),
+    ("convener", "convenor", "sanyojak", "संयोजक"),
+    ("head", "pramukh", "प्रमुख"),
+    ("translator", "anuvadak", "अनुवादक"),
+]
 
 
 def roles_in(question: str) -> list[list[str]]:
-    """The groups of designations that a question names."""
-    low = question.lower()
-    return [list(names) for names in ROLES.values() if any(n in low for n in names)]
+    """The groups of designations of which a word of the question begins with a name."""
+    words = re.findall(r"[a-z\u0900-\u097F]+", question.lower())
+    return [list(names) for names in ROLES if any(w.startswith(names) for w in words)]
 
 
 def roles_present(groups: list[list[str]], text: Column) -> Column:
-    """Every group of designations named in the question occurs in the evidence."""
+    """Every group of designations named in the question occurs in the evidence, anywhere in a word."""
     low = F.lower(text)
     return reduce(Column.__and__, [reduce(Column.__or__, [F.contains(low, F.lit(t.lower())) for t in g]) for g in groups], F.lit(True))
 

@@ -170,6 +170,6 @@ def field_chunks(pairs: DataFrame) -> DataFrame:
 
 
 def dedup_tables(tables: DataFrame) -> DataFrame:
-    """Tables of one page, headers and rows (in any order) once; the first by table_id stays."""
+    """Tables of one page, headers and rows (in any order) once; the first by table_id stays (t2 before t10)."""
     print_ = F.sha2(F.to_json(F.struct("page_number", "headers", F.array_sort(F.transform("rows", lambda r: F.to_json(r))).alias("r"))), 256)
-    return tables.withColumn("_p", print_).withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "_p").orderBy("table_id"))).filter("_n = 1").drop("_p", "_n")
+    return tables.withColumn("_p", print_).withColumn("_n", F.row_number().over(Window.partitionBy("document_id", "_p").orderBy(nb.natural("table_id"), "table_id"))).filter("_n = 1").drop("_p", "_n")

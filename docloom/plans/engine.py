@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -22,12 +23,22 @@ from docloom.functions import script
 from docloom.functions import tokens as tk
 from docloom.functions.vectors import embed, embed_text
 from docloom.operators import builders, cells, contents, evidence, metrics, pages, retrieval, search, structure, tables, terms
+from docloom.operators.text_index import TextIndex
+from docloom.operators.vector_index import VectorIndex
 from docloom.plans.questions import STOP, Analysis, analyze, expanded_queries
-from docloom.sources.store import Store
+from docloom.sources.store import MOST_DELTAS, SCHEMAS, Store
 
 #: Questions that contents answer before the hierarchy is asked: all that name what they want of them. A count of poems is
 #: no number found next to the word.
 EXACT = ("AUTHOR_BY_TITLE", "PAGE_BY_TITLE", "ARTICLE_BY_PAGE", "TITLE_BY_AUTHOR", "FIRST_ITEM", "LAST_ITEM", "NTH_ITEM", "COUNT", "EXISTS", "TOPIC_SEARCH", "ARTICLES_BY_SECTION")
+#: Words that refer to the article of a conversation's last answer, and what may be asked of it; how long it is remembered.
+REFERS = r"\b(?:its?|(?:this|that|the same) (?:article|poem|story|item|piece|title|one))\b|(?:इस|उस)(?:का|के|की|ने)(?!\S)|(?:इस|उस|यह|वह) (?:लेख|कविता|कहानी|रचना)|\b(?:iska|iske|iski|uska|uske|uski|(?:is|us|yah|vah) (?:lekh|kavita|kahani))\b"
+FOLLOWED = {
+    "author_original": r"author|writer|who wrote|written by|लेखक|किसने|lekhak|kisne", "page_number": r"\bpage\b|पृष्ठ|prishth", "section_original": r"section|खंड|अनुभाग", "title_original": r"title|called|शीर्षक|shirshak",
+}
+REMEMBERED_S = 30 * 60.0
+#: Collections of the stored indexes.
+HIERARCHY, CHUNKS = "hierarchical", ("index", "content", "table")
 TABLE_WORDS = r"table|तालिका|विवरण|संख्या|प्रतिशत|quarter|report|तिमाही|लक्ष्य|उपलब्धि|पत्र|बैठक|कार्यशाला|समिति"
 
 
@@ -67,13 +78,15 @@ class Engine:
 
     Seams with offline defaults: embedder (text to vector of 384), generator (question and evidence to text),
     transliterate (text to the other script), translate (a title to titles in the other language). topics are named
-    word lists that edition comparisons count.
+    word lists that edition comparisons count. cells: whether ingest keeps a vector index too, which dense search then
+    probes by bounds (exact) instead of a scan; the inverted index is always kept.
     """
 
-    def __init__(self, spark: SparkSession, root: str, generator: Callable[[str, list[str]], str] | None = None, embedder: Callable[[str], list[float]] | None = None, transliterate: Callable[[str], str] | None = None, translate: Callable[[str], list[str]] | None = None, topics: dict[str, list[str]] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, generator: Callable[[str, list[str]], str] | None = None, embedder: Callable[[str], list[float]] | None = None, transliterate: Callable[[str], str] | None = None, translate: Callable[[str], list[str]] | None = None, topics: dict[str, list[str]] | None = None, cells: bool = False) -> None:
         self.spark, self.store, self.generator = spark, Store(spark, root), generator
+        self.index = TextIndex(self.store)
+        self.cells = {c: VectorIndex(self.store, c) for c in (*CHUNKS, HIERARCHY)} if cells else {}
         self.embedder, self.transliterate, self.translate, self.topics = embedder, transliterate, translate, topics or {}
-        self._articles: dict[str, str] = {}
 
     def _embed(self, text: Column) -> Column:
         if self.embedder is None:
@@ -99,18 +112,21 @@ class Engine:
     # -- ingest
 
     def ingest(self, page_rows: DataFrame, cell_rows: DataFrame | None = None, document_type: str | None = None, matrices: DataFrame | None = None) -> None:
-        """Build and write every record set of the documents in pages (document_id, page_number, text); again is the same.
+        """Build and write every record set of the documents in pages (document_id, page_number, text), as one version; again is the same.
 
         Their native tables come as cells (document_id, table_id, row_index, col_index, header, value) or as matrices
-        (document_id, table_id, matrix); form blocks and period lines are found in the pages.
+        (document_id, table_id, matrix); form blocks and period lines are found in the pages. The indexes change with them.
         """
-        rows = page_rows.filter("text IS NOT NULL").withColumn("text", script.repair(F.col("text")))
+        with self.store.transaction():
+            self._ingest(page_rows, cell_rows, document_type, matrices)
+
+    def _ingest(self, page_rows: DataFrame, cell_rows: DataFrame | None, document_type: str | None, matrices: DataFrame | None) -> None:
+        write = self.store.write
+        rows = page_rows.filter("text IS NOT NULL").withColumn("text", script.repair(F.col("text"), compose=True))
         rows = rows.withColumn("location", F.concat(F.lit("Page "), F.col("page_number").cast("string")))
         ids = page_rows.select("document_id").distinct()
-        self.store.write("pages", pages.segment(rows.select("document_id", "page_number", "location", "text")), ids)
-        stored = self.store.read("pages").join(ids, "document_id", "left_semi")
-        self.store.write("documents", self._metadata(stored, document_type), ids)
-        meta = self.store.read("documents").join(ids, "document_id", "left_semi")
+        stored = write("pages", pages.segment(rows.select("document_id", "page_number", "location", "text")), ids)
+        meta = write("documents", self._metadata(stored, document_type), ids)
 
         listed, found = builders.extracted_tables(stored, matrices)
         if cell_rows is not None:
@@ -119,27 +135,30 @@ class Engine:
             own = cell_rows.select("document_id", "table_id", page.alias("page_number"), F.lit("docx_xml").alias("extraction_method")).distinct()
             listed = listed.unionByName(own.join(tables.confidence(given), "table_id"), allowMissingColumns=True)
             found = found.unionByName(given)
-        self.store.write("tables", listed, ids)
-        self.store.write("cells", found, ids)
-        listed, found = (self.store.read(n).join(ids, "document_id", "left_semi") for n in ("tables", "cells"))
+        listed, found = write("tables", listed, ids), write("cells", found, ids)
         native = found.join(listed.filter(F.col("extraction_method").isin(*metrics.NATIVE)).select("table_id"), "table_id", "left_semi")
 
         pairs = terms.form_pairs(stored)
-        self.store.write("facts", terms.form_facts(pairs).unionByName(terms.cell_facts(native), allowMissingColumns=True).unionByName(terms.metadata_facts(meta), allowMissingColumns=True), ids)
-        self.store.write("records", metrics.report_records(found, listed, meta).join(meta.select("document_id", F.col("report_period").alias("period")), "document_id"), ids)
+        write("facts", terms.form_facts(pairs).unionByName(terms.cell_facts(native), allowMissingColumns=True).unionByName(terms.metadata_facts(meta), allowMissingColumns=True), ids)
+        write("records", metrics.report_records(found, listed, meta).join(meta.select("document_id", F.col("report_period").alias("period")), "document_id"), ids)
         of_cells = contents.toc_from_cells(native)
         lines = builders.lines_of(stored.filter("segment_type = 'index'"))
-        self.store.write("contents", of_cells.unionByName(contents.toc_from_pages(lines).join(of_cells.select("document_id").distinct(), "document_id", "left_anti"), allowMissingColumns=True), ids)
-        entries = self.store.read("contents").join(ids, "document_id", "left_semi")
+        of_pages = contents.toc_from_pages(lines).join(of_cells.select("document_id").distinct(), "document_id", "left_anti")
+        entries = write("contents", of_cells.unionByName(of_pages, allowMissingColumns=True).withColumn("dense", self._embed(F.col("title_original"))), ids)
 
         text = [pages.chunk_ids(pages.chunk(stored.filter(F.col("segment_type") == s)), s).select("document_id", "id", F.lit(s).alias("collection"), F.lit("text").alias("chunk_type"), F.col("page_number").alias("page"), pages.heading(F.col("text")).alias("section"), F.col("chunk").alias("text")) for s in ("index", "content")]
         of_tables = tables.table_chunks(found).unionByName(tables.field_chunks(pairs), allowMissingColumns=True).join(listed.select("table_id", "document_id", F.col("page_number").alias("page"), F.col("heading").alias("section")), "table_id")
         chunks = text[0].unionByName(text[1]).unionByName(of_tables.select("document_id", "id", F.lit("table").alias("collection"), "chunk_type", "page", "section", "text"))
-        self.store.write("chunks", chunks.join(meta.select("document_id", "document_type", "year"), "document_id").withColumn("dense", self._embed(F.col("text"))), ids)
-        leaves = builders.document_leaves(entries, native, stored, meta)
+        chunks = write("chunks", chunks.join(meta.select("document_id", "document_type", "year"), "document_id").withColumn("dense", self._embed(F.col("text"))), ids)
+        leaves = builders.document_leaves(entries.drop("dense"), native, stored, meta)
         points = structure.sibling_ordinals(structure.hierarchy_points(leaves)).join(meta.select("document_id", "document_type", "year", "quarter", "report_period"), "document_id")
-        self.store.write("points", points.withColumn("dense", self._embed(F.col("hierarchy_path_text"))), ids)
-        self.store.write("terms", self._terms(self.store.read("chunks").join(ids, "document_id", "left_semi").filter("collection <> 'table'")), ids)
+        points = write("points", points.withColumn("dense", self._embed(F.col("hierarchy_path_text"))), ids)
+        write("terms", self._terms(chunks.filter("collection <> 'table'")), ids)
+        both = chunks.select("document_id", "id", "collection", "text").unionByName(points.select("document_id", "id", F.lit(HIERARCHY).alias("collection"), F.col("hierarchy_path_text").alias("text")))
+        self.index.update(both, ids)
+        for c, cells_of in self.cells.items():
+            own = points if c == HIERARCHY else chunks.filter(F.col("collection") == c)
+            cells_of.update(own.select("document_id", "id", "dense"), ids)
 
     def _metadata(self, stored: DataFrame, document_type: str | None) -> DataFrame:
         """Documents with type, year, quarter and period from their first three pages, and totals of all."""
@@ -161,7 +180,17 @@ class Engine:
         return terms.term_rows(named)
 
     def delete(self, document_id: str) -> None:
-        self.store.delete(document_id)
+        """Drop a document, and what the indexes hold of it, in one version."""
+        with self.store.transaction():
+            self.store.delete(document_id)
+            self.index.remove(document_id)
+            for own in self.cells.values():
+                own.remove(document_id)
+
+    def compact(self) -> None:
+        """One base for every record set that has deltas; a job for between ingests."""
+        for name in SCHEMAS:
+            self.store.compact(name)
 
     # -- looks
 
@@ -205,9 +234,31 @@ class Engine:
         """Distinct authors of the documents whose contents pages are nearest to a question."""
         return retrieval.authors_for(self.store.read("chunks", scope), self.store.read("contents", scope), self._queries(analyze(question)))
 
-    def last_article(self, conversation_id: str) -> str | None:
-        """The article that a conversation's last answer was about."""
-        return self._articles.get(conversation_id)
+    def last_article(self, conversation_id: str, within_s: float = REMEMBERED_S) -> str | None:
+        """The article that a conversation's last answer was about, however the engine was restarted; none of a conversation idle for longer."""
+        rows = self.store.read("conversations", [conversation_id]).filter(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("seen") <= within_s)
+        row = rows.orderBy(F.desc("turn")).first()
+        return row["article_id"] if row else None
+
+    def _remember(self, conversation_id: str, article_id: str) -> None:
+        turn = self.store.read("conversations", [conversation_id]).agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
+        row = self.spark.createDataFrame([(conversation_id, article_id, turn)], "document_id string, article_id string, turn long")
+        self.store.merge("conversations", row.withColumn("seen", F.current_timestamp()))
+        if self.store.deltas("conversations") > MOST_DELTAS:
+            self.store.compact("conversations")
+
+    def _follow_up(self, a: Analysis, article_id: str, scope: list[str] | None) -> Answer | Analysis | None:
+        """A question that says `its author` or `that article`: an answer of the article's entry, or the question with its title in place; none where the entry is gone."""
+        entry = self.store.read("contents", scope).drop("dense").filter(F.col("article_id") == article_id).first()
+        if entry is None:
+            return None
+        r = entry.asDict()
+        for field_, pattern in FOLLOWED.items():
+            if re.search(pattern, a.clean.lower()):
+                value = r[field_]
+                text = f"page {value}" if field_ == "page_number" and value is not None else str(value) if value is not None else "not available"
+                return Answer(text, f"follow_up_{field_}", [r])
+        return analyze(re.sub(REFERS, f' {r["title_original"]} ', a.query, count=1, flags=re.IGNORECASE))
 
     # -- report metrics
 
@@ -392,7 +443,8 @@ class Engine:
         """Points by fusion of dense and sparse search over the question's variants; with an expected type, every point of such a type too."""
         a = analyze(question)
         rows = search.metadata_filter(self.store.read("points", scope), **filters)
-        top = retrieval.hierarchy_candidates(rows, self._queries(a), " ".join([a.clean, *a.entities]), k)
+        queries, words = self._queries(a), " ".join([a.clean, *a.entities])
+        top = retrieval.hierarchy_candidates(rows, queries, words, k, self._stored_lists(queries, words, HIERARCHY, scope, filters, 2 * k))
         typed = structure.type_slot(a.expected_type, F.col("value_type"))
         if typed is None:
             return top
@@ -402,6 +454,16 @@ class Engine:
         near = rows.filter(tk.stem_overlap(words, tk.tokens(F.array_join("hierarchy_path", " "))) >= 1) if words else rows
         return retrieval.with_structural(top.withColumn("structural_eligibility", state), near.withColumn("structural_eligibility", state)).drop("structural_eligibility")
 
+    def _stored_lists(self, queries: retrieval.Queries, words: str, collection: str, scope: list[str] | None, filters: dict[str, Any], k: int) -> retrieval.Lists:
+        """The dense and the sparse list by the stored indexes; none where a filter asks for what they don't hold."""
+        if any(v is not None for v in filters.values()):
+            return retrieval.Lists()
+        names = list(CHUNKS) if collection == "all" else [collection]
+        sparse = self.index.sparse(words, 2 * k, names, scope)
+        own = [self.cells[c].search(queries, k, scope=scope) for c in names] if self.cells else []
+        dense = search.top_k(reduce(DataFrame.unionByName, own), "score", "id", k) if own else None
+        return retrieval.Lists(dense, sparse)
+
     def _hierarchy(self, a: Analysis, scope: list[str] | None) -> Answer | None:
         """The best leaf of the hierarchy, its branches expanded; a listing question gets the children of the best parent.
 
@@ -482,7 +544,11 @@ class Engine:
         if collection is None:
             collection = "index" if a.mode == "INDEX_BASED" else "all" if a.mode in ("REPORT_METADATA", "FORM_BASED") or re.search(TABLE_WORDS, question.lower()) else "content"
         located = tuple(dict.fromkeys([*((a.target,) if a.target else ()), *(e for e in a.entities if len(e) > 3)]))
-        found = retrieval.chunk_candidates(rows, self._queries(a), " ".join([a.clean, *a.entities]), k, collection, a.listing or a.counting, located)
+        queries, words = self._queries(a), " ".join([a.clean, *a.entities])
+        lists = self._stored_lists(queries, words, collection, scope, filters, k) if collection != "index" else retrieval.Lists()
+        found = retrieval.chunk_candidates(rows, queries, words, k, collection, a.listing or a.counting, located, lists)
+        if found.isEmpty():
+            found = retrieval.fallback(rows, words, k, collection, found)
         return found.withColumn("lexical", tk.lexical_score(F.col("text"), [t for t in tk.query_tokens(question) if t not in STOP]))
 
     def _chunks(self, a: Analysis, scope: list[str] | None) -> Answer | None:
@@ -503,13 +569,22 @@ class Engine:
         return Answer(text, "chunks", found, confidence=max(10, min(100, int(100 * found[0]["score"])))) if text else None
 
     def ask(self, question: str, scope: list[str] | None = None, mode: str | None = None, conversation_id: str | None = None) -> Answer:
-        """The first stage that has an answer; no scope, and an empty one, are all documents. A conversation remembers the article of its last answer."""
+        """The first stage that has an answer; no scope, and an empty one, are all documents.
+
+        A conversation remembers the article of its last answer: a question that refers to it is about that article.
+        """
         a = analyze(question, mode)
+        if conversation_id and re.search(REFERS, question, re.IGNORECASE) and (article := self.last_article(conversation_id)):
+            found = self._follow_up(a, article, scope or None)
+            if isinstance(found, Answer):
+                self._remember(conversation_id, article)
+                return found
+            a = found or a
         for stage in (self._report, self._magazine, self._exact, self._hierarchy, self._index, self._facts, self._cells, self._chunks):
             if answer := stage(a, scope or None):
                 article = next((r["article_id"] for r in answer.evidence if r.get("article_id")), None)
                 if conversation_id and article:
-                    self._articles[conversation_id] = article
+                    self._remember(conversation_id, article)
                 return answer
         return Answer("not found in the documents", "none", confidence=10)
 

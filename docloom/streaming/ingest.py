@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.sources.store import Store
+from docloom.sources.store import MOST_DELTAS, Store
 
 
 def ingest_stream(rows: DataFrame, store: Store, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Merge each micro-batch into the store by key: a document may come in parts, and a replayed batch changes nothing."""
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.merge(name, df))
+    """Merge each micro-batch into the store by key: a document may come in parts, and a replayed batch changes nothing. Deltas are compacted now and then."""
+
+    def merge(df: DataFrame, _: int) -> None:
+        store.merge(name, df)
+        if store.deltas(name) > MOST_DELTAS:
+            store.compact(name)
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
