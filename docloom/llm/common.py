@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower-cases A-Z only, in str.translate.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
-#: Rows of a hot key, and hot keys that are broadcast at most.
-HOT, HOT_KEYS = 4096, 100_000
+#: Rows of a hot key, hot keys that are broadcast at most, and how fast the bound rises beyond that.
+HOT, HOT_KEYS, STEP = 4096, 100_000, 4
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/docloom"
 #: Rows of an Arrow batch while a shared table is written: texts are long, and batches are held on both sides.
 BATCH_ROWS, _BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -79,16 +79,28 @@ def drop_shared(spark: SparkSession) -> None:
         _delete(spark, _written.popitem()[1][1])
 
 
+def hot_bound(table: DataFrame, size: str) -> int | None:
+    """Rows of a key above which it is hot: HOT, or so many times more that HOT_KEYS keys at most are above; None if no key is above HOT.
+
+    A key at the bound has STEP / HOT_KEYS of all rows at most, however many keys there are.
+    """
+    bound, found = HOT, 0
+    while (n := table.filter(F.col(size) > bound).limit(HOT_KEYS + 1).count()) > HOT_KEYS:
+        bound, found = bound * STEP, n
+    return bound if n or found else None
+
+
 def by_key(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
     """Inner join of rows with a table that has one row a key, and in `size` how many rows the key has.
 
-    Keys with over HOT rows would make one task long: they are joined by broadcast, if there are HOT_KEYS of them at
-    most, and all others by shuffle. With more hot keys than that no key stands out. Both inputs are read twice.
+    Keys with over hot_bound() rows would make one task long: they are joined by broadcast, and all others by shuffle.
+    Both inputs are read twice.
     """
-    hot = table.filter(F.col(size) > HOT)
-    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+    bound = hot_bound(table, size)
+    if bound is None:
         return rows.join(table, on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col(size) <= HOT), on)
+    hot = table.filter(F.col(size) > bound)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col(size) <= bound), on)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 
 

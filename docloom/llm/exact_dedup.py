@@ -105,8 +105,9 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_B
 
     rows, buckets = docs.withColumn("bucket", index.bucket()), len(index.local)
     grouped = lambda df: df.groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    hot = keys.filter(F.col("n") > common.HOT).select("key")
-    if 0 < hot.limit(common.HOT_KEYS + 1).count() <= common.HOT_KEYS:
+    bound = common.hot_bound(keys, "n")
+    if bound is not None:
+        hot = keys.filter(F.col("n") > bound).select("key")
         cold = rows.join(F.broadcast(hot), "key", "left_anti")
         groups = grouped(cold.repartitionById(buckets, "bucket")).unionByName(grouped(rows.join(F.broadcast(hot), "key", "left_semi")))
     else:

@@ -5,7 +5,7 @@ are rounded by the pivotal method: two documents meet, words move at random from
 one fraction is 0 or 1, and the other goes on. Moves keep the words of the pair constant, so that a
 source's words stay at its target until its last open document, which is rounded to the nearest. If the target is
 then missed by more than MISS of it, the root turns the rounding of a few of its documents to come near again.
-Documents meet in blocks of bounded size; what a block leaves open meets in the next level, up a reduction tree
+Documents meet in blocks of bounded size, equal rows in many of them; what a block leaves open meets in the next level, up a reduction tree
 with one root per source.
 """
 
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import common, merkle
 from docloom.llm.common import by_key, write_shared
 
 WEIGHTS = (5, 2, 1)
@@ -135,20 +136,36 @@ def _reducer(seed: int, level: int, last: bool):
     return reduce
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """number: 0, but 0, 1, 2 ... over equal rows (by tie) where they are many, so that they don't meet in one node.
+
+    Equal rows are interchangeable, so that it doesn't matter which has which number.
+    """
+    many = write_shared(rows.groupBy("tie").agg(F.count(F.lit(1)).alias("equal")).filter(F.col("equal") > common.HOT), "many")
+    rows = rows.withColumn("number", F.lit(0).cast("long"))
+    if many.isEmpty():
+        return rows
+    equal = write_shared(by_key(rows, many, ["tie"], "equal").select("doc_id", "source", F.col("size").alias("words"), "tie", F.col("tie").cast("string").alias("tree")), "equal")
+    apart = merkle.ranked(equal, F.col("tie")).select("doc_id", "source", F.col("words").alias("size"), "tie", F.col("rank").alias("number"))
+    few = F.broadcast if many.limit(common.HOT_KEYS + 1).count() <= common.HOT_KEYS else lambda df: df
+    return rows.join(few(many), "tie", "left_anti").unionByName(apart)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, copies.
 
-    size: words between blanks, 0 for null and empty texts, which are taken 0 times. Reruns agree: chance
+    size: words between blanks, 0 for null and empty texts, which are taken 0 times; texts of any length count whole. Reruns agree: chance
     depends on the seed, the source and the documents alone, not on how rows are dealt out. Repeated rows
     are rounded one by one. An empty table gives no rows; other columns are ignored.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(NON_BLANK)), F.lit(0)).cast("long")
     rows = write_shared(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("tie")), "sizes")
+    rows = numbered(rows)
     plan = planned(rows, weights, share, cap)
     most = plan.agg(F.max("rows")).first()[0] or 0
     plan = plan.withColumn("blocks", F.ceil(F.col("rows") / block).cast("long"))
     keyed = lambda df: df.withColumn("__docloom_null", F.col("source").isNull()).withColumn("__docloom_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    rows = by_key(keyed(rows), keyed(plan).drop("source"), ["__docloom_null", "__docloom_source"], "rows").select("doc_id", "source", "size", "tie", "source_size", "target", "blocks")
+    rows = by_key(keyed(rows), keyed(plan).drop("source"), ["__docloom_null", "__docloom_source"], "rows").select("doc_id", "source", "size", "tie", "number", "source_size", "target", "blocks")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.floor(expected)).otherwise(0).cast("long"))
     rows = rows.withColumn("open", F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(0.0))
@@ -157,7 +174,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     blocks = most
     while True:
         last = blocks <= block
-        node = F.when(F.lit(last), 0).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "tie"), F.greatest(F.col("blocks"), F.lit(1))))
+        node = F.when(F.lit(last), 0).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "tie", "number"), F.greatest(F.col("blocks"), F.lit(1))))
         left = left.withColumn("node", node)
 
         settled = left.filter("open = 0")
