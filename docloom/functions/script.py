@@ -180,7 +180,8 @@ def spelled_similarity_text(a: str | None, b: str | None) -> float:
 TITLE_STOP = frozenset("in on at and or to is this its the of a an ka ke ki me mein men par hai aur".split())
 
 
-def _skeleton_text(word: str) -> str:
+def skeleton_text(word: str) -> str:
+    """skeleton() of one word."""
     return re.sub(r"(.)\1+", r"\1", re.sub("[^bcdfghjklmnpqrstvwxyz]", "", word.lower()))
 
 
@@ -192,7 +193,7 @@ def article_score_text(query: str | None, title: str | None) -> float:
             return 1.0
         if len(a) >= 4 and b and (a in b or b in a):
             return 0.95
-    bones = lambda t: {_skeleton_text(w) for w in romanize_text(t).split() if w not in TITLE_STOP and len(w) > 2} - {""}
+    bones = lambda t: {skeleton_text(w) for w in romanize_text(t).split() if w not in TITLE_STOP and len(w) > 2} - {""}
     q, t = bones(query), bones(title)
     both = len(q & t)
     if not both or (both < 2 and both / len(q) < 0.5):

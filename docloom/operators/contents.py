@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import script
 from docloom.functions.numbers import natural
-from docloom.functions.tokens import tokens
+from docloom.functions.tokens import clean, query_tokens, tokens
 from docloom.operators.similarity import first_seen, similar_pairs
 from docloom.sources.scratch import Scratch
 
@@ -126,27 +126,52 @@ def topic_groups(groups: list[list[str]], text: Column) -> Column:
     return out
 
 
+def title_candidates(entries: DataFrame, query: str, ratio: float | None = None) -> DataFrame:
+    """Entries whose stored title forms may fit a query at all, by built-in functions, so that scores in Python are taken of few.
+
+    With a ratio: forms that are equal or hold each other, share a word, or have letters enough in common for a sequence
+    ratio of it. Without: forms that are equal or hold each other, or share a consonant skeleton. A superset of what
+    scores by title_score_text(), and by article_score_text().
+    """
+    roman, plain = F.coalesce("title_roman", F.lit("")), F.lower(clean(F.coalesce("title_original", F.lit(""))))
+    own = script.romanize_text(query)
+    words = F.split(roman, " ")
+    fits = F.lit(False)
+    for form, text in ((roman, own), (plain, " ".join(query_tokens(query)))):
+        if text:
+            fits = fits | (form == text) | F.contains(form, F.lit(text)) | ((form != "") & F.contains(F.lit(text), form))
+    if ratio is None:
+        bones = sorted({script.skeleton_text(w) for w in own.split()} - {""})
+        fits = fits | (F.arrays_overlap(F.transform(words, script.skeleton), F.array(*map(F.lit, bones))) if bones else F.lit(False))
+    elif own:
+        shared = F.length(roman) - F.length(F.translate(roman, "".join(sorted(set(own))), ""))
+        fits = fits | F.arrays_overlap(words, F.array(*map(F.lit, own.split()))) | (2 * F.least(shared, F.lit(len(own))) >= (ratio - 1e-9) * (F.length(roman) + len(own)))
+    return entries.filter(fits)
+
+
 def resolve_title(entries: DataFrame, query: str, title: str = "title_original", threshold: float = 0.80, margin: float = 0.10) -> DataFrame:
     """The entry whose title fits the query, with its score; none where it is ambiguous."""
-    scored = entries.withColumn("query", F.lit(query)).withColumn("score", script.title_score(F.lit(query), F.col(title)))
     tokens_in = len(query.split())
     least = 0.92 if tokens_in <= 1 else 0.78 if tokens_in <= 3 else threshold
+    near = title_candidates(entries, query, (least - margin) / 0.92) if title == "title_original" and "title_roman" in entries.columns else entries  # the second best counts within the margin
+    scored = near.withColumn("query", F.lit(query)).withColumn("score", script.title_score(F.lit(query), F.col(title)))
     return with_margin(scored, "query", "score", "article_id", least, margin, waive=0.98)
 
 
 def resolve_article(entries: DataFrame, target: str, gap: float = 0.05) -> DataFrame:
     """The entry that fits a target by equality, containment or consonant skeletons, with score; none where the second is within the gap."""
-    scored = entries.withColumn("query", F.lit(target)).withColumn("score", script.article_score(F.lit(target), F.col("title_original"))).filter("score > 0")
+    near = title_candidates(entries, target) if "title_roman" in entries.columns else entries
+    scored = near.withColumn("query", F.lit(target)).withColumn("score", script.article_score(F.lit(target), F.col("title_original"))).filter("score > 0")
     return with_margin(scored, "query", "score", "article_id", 0.40, gap, waive=2.0)
 
 
 def resolve_semantic(entries: DataFrame, query: str, vector: list[float], embed: Callable[[Column], Column]) -> DataFrame:
-    """The entry nearest to a title by embedding, with score; the threshold and the margin fall with shared words (0.60 and 0.08 for concepts in both scripts, 0.64 and 0.10 for words, 0.66 and 0.12 for none)."""
+    """The entry nearest to a title by embedding, with score; the threshold and the margin fall with shared words (0.60 and 0.08 for concepts in both scripts, 0.64 and 0.10 for words, 0.66 and 0.12 for none). Titles have their vectors stored (dense); where they have none, they are embedded."""
     from docloom.functions.tokens import tokens
     from docloom.functions.vectors import cosine_to
 
     words = F.array(*[F.lit(w) for w in script.romanize_text(query).split()]) if script.romanize_text(query) else F.array().cast("array<string>")
-    scored = entries.withColumn("query", F.lit(query)).withColumn("score", cosine_to(embed(F.col("title_original")), vector))
+    scored = entries.withColumn("query", F.lit(query)).withColumn("score", cosine_to(F.col("dense") if "dense" in entries.columns else embed(F.col("title_original")), vector))
     covered = F.size(F.array_intersect(F.array_distinct(F.split(F.coalesce("title_roman", F.lit("")), " ")), words)) / F.greatest(F.size(words), F.lit(1))
     own = F.size(F.array_intersect(tokens(F.col("title_original")), F.array(*[F.lit(w) for w in re.findall(r"[\wऀ-ॿ]+", query.lower())] or [F.lit("")]))) > 0
     best = with_margin(scored.withColumn("covered", covered).withColumn("same_script", own), "query", "score", "article_id", 0.60, 0.0)
@@ -159,7 +184,7 @@ def resolve_semantic(entries: DataFrame, query: str, vector: list[float], embed:
 def resolve_cascade(entries: DataFrame, query: str, vector: list[float], embed: Callable[[Column], Column], translate: Callable[[str], list[str]] | None = None) -> list[dict]:
     """The entry of a title: by its words, by article forms, by embedding, then by the words of its translations; the first that has one (a list of one row or none)."""
     for plan in (lambda: resolve_title(entries, query), lambda: resolve_article(entries, query), lambda: resolve_semantic(entries, query, vector, embed), *((lambda t=t: resolve_title(entries, t)) for t in (translate(query) if translate else ()))):
-        found = [r.asDict() for r in plan().limit(1).collect()]
+        found = [r.asDict() for r in plan().drop("dense").limit(1).collect()]
         if found:
             return found
     return []
@@ -237,8 +262,6 @@ def toc_from_cells(cells: DataFrame) -> DataFrame:
 
 def enrich(entries: DataFrame) -> DataFrame:
     """Adds the normal forms, author list, type and article id of contents entries."""
-    from docloom.functions.tokens import clean
-
     return (
         entries.withColumn("section_normalized", F.lower(clean(F.col("section_original"))))
         .withColumn("title_normalized", F.lower(clean(F.col("title_original"))))

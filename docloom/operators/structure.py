@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numbers as nb
 from docloom.functions import tokens as tk
-from docloom.functions.script import romanize
+from docloom.functions.script import _mapped, romanize_text
 
 SEPARATOR = " > "
 #: Which stored value types may answer a requested type.
@@ -136,10 +137,55 @@ def find_key(points: DataFrame, key: str) -> DataFrame:
     return points.filter(F.lower("node_key") == key.lower()).orderBy("document_id", "depth", "id")
 
 
-def labels_of(text: Column) -> Column:
-    """The labels that a text answers to: its cleaned lower-case form, that without blanks, and its Roman form."""
-    low = F.lower(tk.clean(text))
-    return F.filter(F.array_distinct(F.array(low, F.replace(low, F.lit(" "), F.lit("")), romanize(text))), lambda x: x.isNotNull() & (x != ""))
+def labels_text(values: Iterable[str | None] | None, attributes: dict[str, tuple[str, ...]]) -> list[str]:
+    """What names answer to: each lower-cased without signs, and in Roman letters, with and without blanks; `attribute:` and the attribute one of whose words it has; `number:` and its section number, as 3 or 3(2)."""
+    out: dict[str, None] = {}
+    for value in values if values is not None else ():
+        words = tk.query_tokens(value or "")
+        plain, roman = " ".join(words), romanize_text(value)
+        for form in (plain, roman):
+            out |= dict.fromkeys(f for f in (form, form.replace(" ", "")) if f)
+        out |= dict.fromkeys(f"attribute:{a}" for a, names in attributes.items() if set(words) & set(names))
+        if numbers := re.findall(r"\d+(?:\s*\(\s*\d+\s*\))?", value or ""):
+            out["number:" + " ".join(re.sub(r"\s+", "", n) for n in numbers)] = None
+    return list(out)
+
+
+def with_labels(points: DataFrame, attributes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Adds field_labels, entity_labels and section_labels: what a point's field, its row or branch, and its section answer to; empty where it has none.
+
+    Taken when points are built, so that a question compares arrays.
+    """
+    label = _mapped("array<string>", partial(labels_text, attributes=attributes))
+    path, leaf = F.col("hierarchy_path"), (F.col("node_type") == "leaf") & F.col("node_value").isNotNull()
+    other = ~F.col("node_key").eqNullSafe(F.col("row_entity")) & ~F.col("node_key").eqNullSafe(F.col("parent_key"))
+    field = F.when(other, F.col("node_key")).when(leaf, F.try_element_at(path, F.lit(-1)))
+    above = F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+    entity = F.when(F.col("row_entity").isNotNull(), F.array("row_entity")).when(F.size(above) > 0, above).otherwise(F.array("parent_key"))
+    section = F.when(F.col("root_section").isNotNull(), F.array("root_section")).otherwise(path)
+    return points.withColumn("field_labels", label(F.array(field))).withColumn("entity_labels", label(entity)).withColumn("section_labels", label(section))
+
+
+@dataclass(frozen=True)
+class Slots:
+    """What a question asks of a point, as far as it says so."""
+
+    field: str | None = None
+    entity: str | None = None
+    section: str | None = None
+    direction: str | None = None
+    source_language: str | None = None
+    target_language: str | None = None
+
+
+def slot_states(asked: Slots, attributes: dict[str, tuple[str, ...]]) -> list[Column]:
+    """A state for each slot asked for, against the labels of with_labels(): true if one is shared, false if none is, null where a point has none. Points say nothing of directions and languages, so that those are null."""
+    out = []
+    for wanted, column in ((asked.field, "field_labels"), (asked.entity, "entity_labels"), (asked.section, "section_labels")):
+        if wanted:
+            own = F.array(*map(F.lit, labels_text([wanted], attributes) or [""]))
+            out.append(F.when(F.size(column) > 0, F.arrays_overlap(column, own)))
+    return out + [F.lit(None).cast("boolean") for x in (asked.direction, asked.source_language, asked.target_language) if x]
 
 
 def descendants(points: DataFrame, prefixes: DataFrame) -> DataFrame:

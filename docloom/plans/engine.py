@@ -25,7 +25,7 @@ from docloom.functions.vectors import embed, embed_text
 from docloom.operators import builders, cells, contents, evidence, metrics, pages, retrieval, search, structure, tables, terms
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
-from docloom.plans.questions import STOP, Analysis, analyze, expanded_queries
+from docloom.plans.questions import ATTRIBUTES, STOP, Analysis, analyze, expanded_queries
 from docloom.sources.store import MOST_DELTAS, SCHEMAS, Store
 
 #: Questions that contents answer before the hierarchy is asked: all that name what they want of them. A count of poems is
@@ -37,6 +37,8 @@ FOLLOWED = {
     "author_original": r"author|writer|who wrote|written by|लेखक|किसने|lekhak|kisne", "page_number": r"\bpage\b|पृष्ठ|prishth", "section_original": r"section|खंड|अनुभाग", "title_original": r"title|called|शीर्षक|shirshak",
 }
 REMEMBERED_S = 30 * 60.0
+#: Attributes that are fields of records, not types of values.
+FIELDS = ("author", "phone", "email", "address")
 #: Collections of the stored indexes.
 HIERARCHY, CHUNKS = "hierarchical", ("index", "content", "table")
 TABLE_WORDS = r"table|तालिका|विवरण|संख्या|प्रतिशत|quarter|report|तिमाही|लक्ष्य|उपलब्धि|पत्र|बैठक|कार्यशाला|समिति"
@@ -79,12 +81,13 @@ class Engine:
     Seams with offline defaults: embedder (text to vector of 384), generator (question and evidence to text),
     transliterate (text to the other script), translate (a title to titles in the other language). topics are named
     word lists that edition comparisons count. cells: whether ingest keeps a vector index too, which dense search then
-    probes by bounds (exact) instead of a scan; the inverted index is always kept.
+    probes by bounds (exact) instead of a scan; the inverted index is always kept. repairs: patterns of misread words and
+    what they stand for, applied to page texts after NFKC.
     """
 
-    def __init__(self, spark: SparkSession, root: str, generator: Callable[[str, list[str]], str] | None = None, embedder: Callable[[str], list[float]] | None = None, transliterate: Callable[[str], str] | None = None, translate: Callable[[str], list[str]] | None = None, topics: dict[str, list[str]] | None = None, cells: bool = False) -> None:
+    def __init__(self, spark: SparkSession, root: str, generator: Callable[[str, list[str]], str] | None = None, embedder: Callable[[str], list[float]] | None = None, transliterate: Callable[[str], str] | None = None, translate: Callable[[str], list[str]] | None = None, topics: dict[str, list[str]] | None = None, cells: bool = False, repairs: dict[str, str] | None = None) -> None:
         self.spark, self.store, self.generator = spark, Store(spark, root), generator
-        self.index = TextIndex(self.store)
+        self.index, self.repairs = TextIndex(self.store), repairs
         self.cells = {c: VectorIndex(self.store, c) for c in (*CHUNKS, HIERARCHY)} if cells else {}
         self.embedder, self.transliterate, self.translate, self.topics = embedder, transliterate, translate, topics or {}
 
@@ -122,7 +125,7 @@ class Engine:
 
     def _ingest(self, page_rows: DataFrame, cell_rows: DataFrame | None, document_type: str | None, matrices: DataFrame | None) -> None:
         write = self.store.write
-        rows = page_rows.filter("text IS NOT NULL").withColumn("text", script.repair(F.col("text"), compose=True))
+        rows = page_rows.filter("text IS NOT NULL").withColumn("text", script.repair(F.col("text"), compose=True, repairs=self.repairs))
         rows = rows.withColumn("location", F.concat(F.lit("Page "), F.col("page_number").cast("string")))
         ids = page_rows.select("document_id").distinct()
         stored = write("pages", pages.segment(rows.select("document_id", "page_number", "location", "text")), ids)
@@ -151,7 +154,7 @@ class Engine:
         chunks = text[0].unionByName(text[1]).unionByName(of_tables.select("document_id", "id", F.lit("table").alias("collection"), "chunk_type", "page", "section", "text"))
         chunks = write("chunks", chunks.join(meta.select("document_id", "document_type", "year"), "document_id").withColumn("dense", self._embed(F.col("text"))), ids)
         leaves = builders.document_leaves(entries.drop("dense"), native, stored, meta)
-        points = structure.sibling_ordinals(structure.hierarchy_points(leaves)).join(meta.select("document_id", "document_type", "year", "quarter", "report_period"), "document_id")
+        points = structure.with_labels(structure.sibling_ordinals(structure.hierarchy_points(leaves)), ATTRIBUTES).join(meta.select("document_id", "document_type", "year", "quarter", "report_period"), "document_id")
         points = write("points", points.withColumn("dense", self._embed(F.col("hierarchy_path_text"))), ids)
         write("terms", self._terms(chunks.filter("collection <> 'table'")), ids)
         both = chunks.select("document_id", "id", "collection", "text").unionByName(points.select("document_id", "id", F.lit(HIERARCHY).alias("collection"), F.col("hierarchy_path_text").alias("text")))
@@ -352,9 +355,12 @@ class Engine:
     def _magazine(self, a: Analysis, scope: list[str] | None) -> Answer | None:
         low, rows = a.clean.lower(), self._contents(scope)
         if a.comparing and a.mode == "INDEX_BASED":
-            editions = [r[0] for r in rows.select("document_id").distinct().withColumn("e", nb.edition(F.col("document_id"))).orderBy("e", "document_id").select("document_id").collect()]
-            if len(editions) < 2:
+            order = F.struct(nb.edition(F.col("document_id")), "document_id")
+            ends = rows.agg(F.min_by("document_id", order), F.max_by("document_id", order)).first()
+            if ends[0] == ends[1]:
                 return None
+            editions = list(ends)  # the first and the last; those between are not compared
+            rows = rows.filter(F.col("document_id").isin(editions))
             table = [r.asDict() for r in metrics.compare(contents.breakdown(rows, "section_original", "document_id", editions), editions).orderBy("is_total", "section").collect()]
             text = "; ".join(f"{'total' if r['is_total'] else r['section']}: {r[editions[0]]} → {r[editions[-1]]}" for r in table)
             if self.topics:
@@ -377,6 +383,9 @@ class Engine:
     def _exact(self, a: Analysis, scope: list[str] | None) -> Answer | None:
         return self._index(a, scope) if a.intent in EXACT else None
 
+    def _other(self, a: Analysis, scope: list[str] | None) -> Answer | None:
+        return None if a.intent in EXACT else self._index(a, scope)
+
     def _index(self, a: Analysis, scope: list[str] | None) -> Answer | None:
         """Contents lookups by intent; negative EXISTS and empty page lookups are answers."""
         if a.mode != "INDEX_BASED":
@@ -389,7 +398,7 @@ class Engine:
             own = contents.in_section(rows, a.section)
             rows = own if a.intent == "COUNT" or not own.isEmpty() else rows
         line = lambda r: f"{r['title_original']} — {r['author_original'] or 'not available'} (page {r['page_number']})"
-        take = lambda df, n=20: [r.asDict() for r in df.limit(n).collect()]
+        take = lambda df, n=20: [r.asDict() for r in df.drop("dense").limit(n).collect()]
         if a.intent == "COUNT":
             by = [r.asDict() for r in rows.groupBy("section_original").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "section_original").limit(30).collect()]
             n = rows.count()
@@ -435,7 +444,9 @@ class Engine:
         states = [structure.type_slot(a.expected_type, F.col("value_type"))]
         if a.regions:
             states.append(structure.slot(list(a.regions), cells.region_flags(text)))
-        state = structure.eligibility(states, leaf, F.col("node_value"), a.listing)
+        number = f"{a.section_no}({a.clause})" if a.clause else a.section_no
+        asked = structure.Slots(a.attribute if a.attribute in FIELDS else None, None, str(number) if number is not None else None, a.relation, " ".join(a.condition_languages), " ".join(a.target_languages))
+        state = structure.eligibility([*states, *structure.slot_states(asked, ATTRIBUTES)], leaf, F.col("node_value"), a.listing)
         score = structure.rerank_score(words, text, F.col("vector_sim"), F.col("rrf_score"), F.col("lexical_score"), list(a.entities), a.target) + structure.hierarchy_terms(words, F.col("hierarchy_path"), F.col("node_value"), leaf, F.col("value_type"), a.expected_type)
         return structure.rerank(rows.withColumn("structural_eligibility", state).withColumn("rerank_score", F.round(score, 4)), n=n)
 
@@ -580,7 +591,7 @@ class Engine:
                 self._remember(conversation_id, article)
                 return found
             a = found or a
-        for stage in (self._report, self._magazine, self._exact, self._hierarchy, self._index, self._facts, self._cells, self._chunks):
+        for stage in (self._report, self._magazine, self._exact, self._hierarchy, self._other, self._facts, self._cells, self._chunks):
             if answer := stage(a, scope or None):
                 article = next((r["article_id"] for r in answer.evidence if r.get("article_id")), None)
                 if conversation_id and article:

@@ -140,9 +140,7 @@ HYBRID = f"""WITH j AS (SELECT d.doc_id, d.text, e.embedding FROM documents d JO
 
 def hybrid_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    d = search.ranked(search.dense(docs, vector(spark, sf_dir, 0), id_column="doc_id", k=40).select("doc_id", "score"), "score", "doc_id")
-    s = search.ranked(search.sparse(docs, QUESTION, id_column="doc_id", k=40).select("doc_id", "score"), "score", "doc_id")
-    return docs, search.fuse([d, s], "doc_id")
+    return docs, search.hybrid(docs, vector(spark, sf_dir, 0), QUESTION, "doc_id")
 
 
 @query(HYBRID + " SELECT doc_id, coalesce(rank_0, -1)::BIGINT AS rank_0, coalesce(rank_1, -1)::BIGINT AS rank_1, round(rrf, 6) AS rrf_score FROM h")

@@ -40,7 +40,7 @@ SCHEMAS = {
     "tables": _schema(table_id="string", page_number="int", heading="string", extraction_method="string", extraction_confidence="double", document_id="string"),
     "cells": _schema(table_id="string", row_index="int", col_index="int", header="string", value="string", document_id="string"),
     "chunks": _schema(id="string", collection="string", chunk_type="string", page="int", section="string", text="string", dense="array<float>", document_type="string", year="int", document_id="string"),
-    "points": _schema(id="string", node_type="string", hierarchy_path="array<string>", hierarchy_path_text="string", node_key="string", node_value="string", value_type="string", root_section="string", parent_key="string", row_entity="string", column_attribute="string", depth="int", sibling_ordinal="int", dense="array<float>", document_type="string", year="int", quarter="string", report_period="string", document_id="string"),
+    "points": _schema(id="string", node_type="string", hierarchy_path="array<string>", hierarchy_path_text="string", node_key="string", node_value="string", value_type="string", root_section="string", parent_key="string", row_entity="string", column_attribute="string", depth="int", sibling_ordinal="int", field_labels="array<string>", entity_labels="array<string>", section_labels="array<string>", dense="array<float>", document_type="string", year="int", quarter="string", report_period="string", document_id="string"),
     "facts": _schema(source_type="string", page_number="int", position="int", field="string", label="string", value="string", value_state="string", confidence="double", document_id="string"),
     "contents": _schema(serial_number="int", section_original="string", section_normalized="string", section_item_index="int", title_original="string", title_normalized="string", title_roman="string", author_original="string", author_list="array<string>", page_number="int", type="string", article_id="string", dense="array<float>", document_id="string"),
     "records": _schema(table_id="string", row_index="int", period="string", section_no="string", section="string", region="string", region_header="string", metric="string", metric_short="string", metric_key="string", raw_value="string", value="double", is_percent="boolean", aggregation_group="string", document_id="string"),
