@@ -22,7 +22,7 @@ from docloom.functions import numbers as nb
 from docloom.functions import script
 from docloom.functions import tokens as tk
 from docloom.functions.vectors import embed, embed_text
-from docloom.operators import builders, cells, contents, evidence, metrics, pages, retrieval, search, structure, tables, terms
+from docloom.operators import builders, cells, contents, evidence, metrics, pages, report_scores, retrieval, search, structure, tables, terms
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.plans.questions import ATTRIBUTES, STOP, Analysis, analyze, expanded_queries
@@ -272,15 +272,7 @@ class Engine:
         if a.regions:
             rows = rows.filter(F.col("region").isin(list(a.regions)))
         words = [t for t in a.topic if t not in ("region", "compare", "total", "क्षेत्र", "कुल") and not t.isdigit()]
-        label, section = tk.tokens(F.col("metric")), tk.tokens(F.coalesce("section", F.lit("")))
-        score = 2 * tk.stem_overlap(words, label) + 2.5 * tk.stem_overlap(words, section) + F.when(F.lit(a.aggregation == "TOTAL") & F.lower("metric").rlike("total|कुल"), 1.5).otherwise(0.0)
-        percent = F.when(F.col("is_percent"), 1.5 if a.expected_type == "PERCENTAGE" else -20.0 if a.counting else -1.5).otherwise(0.0)
-        if len(a.languages) == 1:
-            low = F.lower(F.concat_ws(" ", "section", "metric"))
-            named = {"hindi": "hindi|हिंदी|हिन्दी", "english": "english|अंग्रेज", "bilingual": "bilingual|द्विभाषी"}
-            other = "|".join(v for k, v in named.items() if k != a.languages[0])
-            score = score + F.when(low.rlike(named[a.languages[0]]), 4.0).when(low.rlike(other), -10.0).otherwise(0.0)
-        return rows.withColumn("score", score + percent)
+        return rows.withColumn("score", report_scores.record_score(a.query, words, *map(F.col, ("metric", "section", "region_header", "is_percent"))))
 
     def region_total(self, question: str, scope: list[str] | None = None) -> DataFrame:
         """(document_id, section_no, metric_key, n_regions, total, is_percent, regions): the best-fitting metric of each document."""
@@ -558,8 +550,8 @@ class Engine:
         queries, words = self._queries(a), " ".join([a.clean, *a.entities])
         lists = self._stored_lists(queries, words, collection, scope, filters, k) if collection != "index" else retrieval.Lists()
         found = retrieval.chunk_candidates(rows, queries, words, k, collection, a.listing or a.counting, located, lists)
-        if found.isEmpty():
-            found = retrieval.fallback(rows, words, k, collection, found)
+        held = found.collect()  # k rows; a plan that is run once
+        found = self.spark.createDataFrame(held, found.schema) if held else retrieval.fallback(rows, words, k, collection, found)
         return found.withColumn("lexical", tk.lexical_score(F.col("text"), [t for t in tk.query_tokens(question) if t not in STOP]))
 
     def _chunks(self, a: Analysis, scope: list[str] | None) -> Answer | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import retrieval
 from docloom.operators.text_index import TextIndex
 from docloom.operators.vector_index import VectorIndex
 from docloom.plans.registry import ORACLES, query, table
@@ -91,3 +92,33 @@ def index_dense_variants(spark, sf_dir):
 
     variants = [(vector(spark, sf_dir, i), 1.0 if i == 0 else AUXILIARY_SCALE) for i in (0, 1, 2)]
     return _cells(spark, sf_dir).search(variants).select(F.col("id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a vector, as points and as chunks; ids order as the numbers do."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    name = F.lpad(F.col("doc_id").cast("string"), 18, "0")
+    return docs.select(name.alias("id"), name.alias("document_id"), F.lit("content").alias("collection"), F.lit(1).alias("page"), "text", F.col("text").alias("hierarchy_path_text"), F.col("embedding").alias("dense"))
+
+
+def _ranks(found: DataFrame) -> DataFrame:
+    rank = lambda i: F.coalesce(F.col(f"rank_{i}"), F.lit(-1)).cast("long").alias(f"rank_{i}")
+    return found.select(F.col("id").cast("long").alias("doc_id"), rank(0), rank(1), "rrf_score")
+
+
+@query(ORACLES["hybrid_search"])
+def hierarchy_candidates(spark, sf_dir):
+    """Fusion as the engine does it for points, with both lists from stored indexes."""
+    points, store = _points(spark, sf_dir), _store(spark, "points")
+    index, cells = TextIndex(store), VectorIndex(store, "hierarchical")
+    index.update(points.select("document_id", "id", F.lit("hierarchical").alias("collection"), "text"))
+    cells.update(points.select("document_id", "id", "dense"))
+    queries = [(vector(spark, sf_dir, 0), 1.0)]
+    lists = retrieval.Lists(cells.search(queries, 40), index.sparse(QUESTION, 40, "hierarchical"))
+    return _ranks(retrieval.hierarchy_candidates(points, queries, QUESTION, 20, lists))
+
+
+@query(ORACLES["hybrid_search"].replace("ORDER BY s DESC, doc_id LIMIT 40", "ORDER BY s DESC, doc_id LIMIT 20", 1))
+def chunk_candidates(spark, sf_dir):
+    """Fusion as the engine does it for chunks, by scans."""
+    return _ranks(retrieval.chunk_candidates(_points(spark, sf_dir), [(vector(spark, sf_dir, 0), 1.0)], QUESTION, 20, "content"))

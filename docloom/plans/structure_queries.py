@@ -75,11 +75,11 @@ def evidence_dedup(spark, sf_dir):
 
 @query("""SELECT s_suppkey, node_key, CASE WHEN lower(n_name) <> 'germany' AND replace(lower(n_name), ' ', '') <> 'germany' THEN 'CONTRADICTED'
     WHEN lower(r_name) <> 'europe' THEN 'CONTRADICTED' WHEN node_key <> 'Telephone' THEN 'CONTRADICTED' WHEN trim(v) = '' THEN 'UNKNOWN' ELSE 'VALID' END AS state
-  FROM (SELECT *, unnest(['Telephone', 'Balance']) AS node_key, unnest([s_phone, s_acctbal::VARCHAR]) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""")
+  FROM (SELECT *, unnest(['Telephone', 'Number']) AS node_key, unnest([s_name, s_suppkey::VARCHAR]) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""")
 def label_slots(spark, sf_dir):
     """Two points of each supplier (its region as section, its nation as row) against a question for the phone of Germany in Europe."""
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    fields = F.array(F.struct(F.lit("Telephone").alias("k"), F.col("s_phone").alias("v")), F.struct(F.lit("Balance").alias("k"), F.col("s_acctbal").cast("string").alias("v")))
+    fields = F.array(F.struct(F.lit("Telephone").alias("k"), F.col("s_name").alias("v")), F.struct(F.lit("Number").alias("k"), F.col("s_suppkey").cast("string").alias("v")))
     points = rows.withColumn("f", F.explode(fields)).select("s_suppkey", F.col("f.k").alias("node_key"), F.col("f.v").alias("node_value"), F.lit("leaf").alias("node_type"), F.col("n_name").alias("row_entity"), F.col("n_name").alias("parent_key"), F.col("r_name").alias("root_section"), F.array("r_name", "n_name", "f.k").alias("hierarchy_path"))
     states = structure.slot_states(structure.Slots(field="phone", entity="Germany", section="Europe"), ATTRIBUTES)
     state = structure.eligibility(states, F.col("node_type") == "leaf", F.col("node_value"))

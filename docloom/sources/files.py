@@ -78,6 +78,35 @@ def _files(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None)
     return files.load(folder).select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("document_id"), "content").filter(~F.startswith(F.col("document_id"), F.lit("~$")))
 
 
+PAGES = "document_id string, page_number int, location string, text string, error string"
+TABLES = "document_id string, table_id string, page_number int, matrix array<array<string>>"
+
+
+def page_rows(document_id: str, content: bytes, parsers: dict[str, Callable[[bytes], list[str]]]) -> list[tuple]:
+    """The rows (as PAGES) of a file; one row with its error, if it can't be read."""
+    try:
+        kind = file_type(document_id)
+        if kind in parsers:
+            texts = parsers[kind](content)
+        elif kind in ("pdf", "doc"):
+            raise ValueError(f"no parser for {kind} files; give one, or load their pages as a table")
+        else:
+            texts = docx_pages(content) if kind == "docx" else content.decode("utf-8", "replace").split("\f")
+        return [(document_id, i, f"Page {i}", t, None) for i, t in enumerate(texts, 1) if t.strip()]
+    except Exception as e:  # one bad file doesn't end the ingest
+        return [(document_id, None, None, None, f"{type(e).__name__}: {e}")]
+
+
+def table_rows(document_id: str, content: bytes, parsers: dict[str, Callable[[bytes], list[tuple[int | None, list[list[str]]]]]]) -> list[tuple]:
+    """The rows (as TABLES) of a file; none of a file that can't be read."""
+    try:
+        kind = file_type(document_id)
+        found = parsers[kind](content) if kind in parsers else [(None, m) for m in docx_tables(content)]
+    except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError):
+        return []
+    return [(document_id, f"{document_id}:p{page or 'document'}:t{i}", page, m) for i, (page, m) in enumerate(found, 1)]
+
+
 def read_pages(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], list[str]]] | None = None, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Pages (document_id, page_number, location, text, error) of the files of a folder, of some extensions.
 
@@ -88,22 +117,10 @@ def read_pages(spark: SparkSession, folder: str, parsers: dict[str, Callable[[by
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, content in zip(pdf["document_id"], pdf["content"], strict=True):
-                try:
-                    kind = file_type(doc)
-                    if kind in own:
-                        texts = own[kind](content)
-                    elif kind in ("pdf", "doc"):
-                        raise ValueError(f"no parser for {kind} files; give one, or load their pages as a table")
-                    else:
-                        texts = docx_pages(content) if kind == "docx" else content.decode("utf-8", "replace").split("\f")
-                    rows += [(doc, i, f"Page {i}", t, None) for i, t in enumerate(texts, 1) if t.strip()]
-                except Exception as e:  # one bad file doesn't end the ingest
-                    rows.append((doc, None, None, None, f"{type(e).__name__}: {e}"))
+            rows = [r for doc, content in zip(pdf["document_id"], pdf["content"], strict=True) for r in page_rows(doc, content, own)]
             yield pd.DataFrame(rows, columns=["document_id", "page_number", "location", "text", "error"]).astype({"page_number": "Int32"})
 
-    return files.mapInPandas(parse, "document_id string, page_number int, location string, text string, error string")
+    return files.mapInPandas(parse, PAGES)
 
 
 def read_tables(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], list[tuple[int | None, list[list[str]]]]]] | None = None) -> DataFrame:
@@ -117,17 +134,10 @@ def read_tables(spark: SparkSession, folder: str, parsers: dict[str, Callable[[b
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, content in zip(pdf["document_id"], pdf["content"], strict=True):
-                kind = file_type(doc)
-                try:
-                    found = own[kind](content) if kind in own else [(None, m) for m in docx_tables(content)]
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError):
-                    continue
-                rows += [(doc, f"{doc}:p{page or 'document'}:t{i}", page, m) for i, (page, m) in enumerate(found, 1)]
+            rows = [r for doc, content in zip(pdf["document_id"], pdf["content"], strict=True) for r in table_rows(doc, content, own)]
             yield pd.DataFrame(rows, columns=["document_id", "table_id", "page_number", "matrix"]).astype({"page_number": "Int32"})
 
-    return files.mapInPandas(parse, "document_id string, table_id string, page_number int, matrix array<array<string>>")
+    return files.mapInPandas(parse, TABLES)
 
 
 def ingest_totals(pages: DataFrame) -> DataFrame:

@@ -64,8 +64,12 @@ KEYS = {
 INDEXES = ("postings", "maxima", "forward", "statistics", "centres", "reach", *(n for n in SCHEMAS if n.startswith("cells_")))
 BUCKET_BY = {"postings": "token", "maxima": "token", "statistics": "token", **{n: "cell" for n in SCHEMAS if n.startswith("cells_")}}
 SORT = {"postings": ["collection", "block", "id"], "maxima": ["collection", "block"]}
-#: Sets of differences: (keys, sums), which compact() adds up.
-SUMMED = {"statistics": (["collection", "token"], ["df", "texts", "length"])}
+#: Sets that are read by folding their rows: (keys, how each column folds); compact() folds them for good.
+FOLDED = {
+    "statistics": (["collection", "token"], {"df": "sum", "texts": "sum", "length": "sum"}),
+    "maxima": (["collection", "token", "block"], {"tf": "max", "dl": "min"}),
+    "reach": (["document_id", "cell"], {"near": "min"}),
+}
 #: Where a point lookup searches, in order.
 COLLECTIONS = ("index", "content", "table", "hierarchical")
 
@@ -97,6 +101,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._pending: list[tuple[str, dict[str, Any]]] | None = None
+        if self._names("_layout"):
+            raise ValueError(f"{root} was written by an earlier version, without a manifest: ingest it anew")
         if not self._latest()[1]:
             self._commit(lambda m: m or {"buckets": buckets, "sets": {}})
         self.buckets: int = self._latest()[1]["buckets"]
@@ -257,15 +263,19 @@ class Store:
 
     # -- writes
 
-    def _add(self, name: str, df: DataFrame, keyed: bool, documents: DataFrame | None, whole: bool) -> DataFrame:
-        """One delta: rows of df, which replace by key, or whole documents: those of df (whole) and those of `documents`."""
-        types = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))
-        rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
-        column = BUCKET_BY.get(name, "document_id")
-        new = f"d{uuid.uuid4().hex}"
-        dealt = rows.withColumn("bucket", self._bucket(column)).hint("rebalance", "bucket")  # a large bucket goes to several tasks, small ones share one
+    def _write_rows(self, name: str, rows: DataFrame) -> tuple[str, list[int]]:
+        """(id, buckets) of a new folder of rows; a large bucket goes to several tasks, small ones share one."""
+        column, new = BUCKET_BY.get(name, "document_id"), f"d{uuid.uuid4().hex}"
+        dealt = rows.withColumn("bucket", self._bucket(column)).hint("rebalance", "bucket")
         dealt.sortWithinPartitions("bucket", column, *SORT.get(name, [])).write.partitionBy("bucket").parquet(self._path(name, f"delta={new}"))
-        own = sorted(int(n.split("=")[1]) for n, _ in self._names(name, f"delta={new}") if n.startswith("bucket="))
+        return new, sorted(int(n.split("=")[1]) for n, _ in self._names(name, f"delta={new}") if n.startswith("bucket="))
+
+    def _add(self, name: str, df: DataFrame | None, keyed: bool, documents: DataFrame | None, whole: bool) -> DataFrame:
+        """One delta: rows of df, which replace by key, or whole documents: those of df (whole) and those of `documents`."""
+        new, own = f"d{uuid.uuid4().hex}", []
+        if df is not None:
+            types = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))
+            new, own = self._write_rows(name, df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()]))
         delta = {"id": new, "buckets": own, "gone": [], "keyed": keyed}
         parts = ([self._raw(name, [delta]).select("document_id")] if whole and own else []) + ([documents.select(F.col("document_id").cast("string"))] if documents is not None else [])
         if parts:
@@ -296,9 +306,9 @@ class Store:
             for name in SCHEMAS:
                 if name in INDEXES or not self._deltas(name):
                     continue
-                freed = self.read(name, list(document_ids)) if name == "terms" else self.spark.createDataFrame([], SCHEMAS[name])
+                freed = None
                 if name == "terms":
-                    freed = freed.withColumn("document_id", F.lit(None).cast("string")).withColumn("occurrences", F.lit(0).cast("long")).withColumn("source_chunk_ids", F.array().cast("array<string>")).dropDuplicates(["key"])
+                    freed = self.read(name, list(document_ids)).withColumn("document_id", F.lit(None).cast("string")).withColumn("occurrences", F.lit(0).cast("long")).withColumn("source_chunk_ids", F.array().cast("array<string>")).dropDuplicates(["key"])
                 self._add(name, freed, name == "terms", ids, False)
 
     # -- upkeep
@@ -312,13 +322,15 @@ class Store:
         seen = self._latest()[1]["sets"].get(name, {"deltas": []})["deltas"]
         if len(seen) < 2:
             return
-        column, new = BUCKET_BY.get(name, "document_id"), f"d{uuid.uuid4().hex}"
         rows = self._merged(name, seen)
-        if name in SUMMED:
-            rows = rows.groupBy(*SUMMED[name][0]).agg(*[F.sum(c).cast("long").alias(c) for c in SUMMED[name][1]]).filter(" OR ".join(f"{c} <> 0" for c in SUMMED[name][1]))
-        rows = rows.withColumn("bucket", self._bucket(column)).hint("rebalance", "bucket")
-        rows.sortWithinPartitions("bucket", column, *SORT.get(name, [])).write.partitionBy("bucket").parquet(self._path(name, f"delta={new}"))
-        own = sorted(int(n.split("=")[1]) for n, _ in self._names(name, f"delta={new}") if n.startswith("bucket="))
+        if name in FOLDED:
+            keys, how = FOLDED[name]
+            rows = rows.groupBy(*keys).agg(*[F.expr(f"{f}({c})").alias(c) for c, f in how.items()])
+            if set(how.values()) == {"sum"}:
+                rows = rows.filter(" OR ".join(f"{c} <> 0" for c in how))
+            types = dict(c.split(" ", 1) for c in SCHEMAS[name].split(", "))
+            rows = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
+        new, own = self._write_rows(name, rows)
 
         def change(manifest: dict[str, Any]) -> dict[str, Any]:
             now = manifest["sets"].get(name, {"deltas": []})["deltas"]

@@ -245,8 +245,10 @@ def test_kept_statistics_equal_a_recount(spark, tmp_path):
     store.compact("statistics")
     assert same_statistics(index, now()) and store.deltas("statistics") == 1
     q = "w0 w1"
+    rows = store.read("maxima").count()
     for name in ("postings", "maxima", "forward"):
         store.compact(name)
+    assert store.read("maxima").count() < rows
     assert [(r.id, r.score) for r in index.sparse(q, 9, "content").collect()] == [(r.id, r.score) for r in search.sparse(now(), q, k=9).collect()]
 
 
