@@ -345,7 +345,7 @@ class Store:
         """Delete versions but the last `keep`, and deltas that no kept version lists and that are older than age_s (those of writers at work are younger); how many deltas."""
         numbers = self.versions()
         named = {d["id"] for v in numbers[:keep] for s in (self._manifest(v) or {"sets": {}})["sets"].values() for d in s["deltas"]}
-        old, n = (time.time() - age_s) * 1000, 0
+        old, dropped = (time.time() - age_s) * 1000, set()
         for v in numbers[keep:]:
             self._drop(self._path("_versions", f"{v:020d}.json"))
         for name in SCHEMAS:
@@ -353,8 +353,8 @@ class Store:
                 for found, changed in self._names(*folder):
                     if found.startswith("delta=") and found[6:] not in named and changed <= old:
                         self._drop(self._path(*folder, found))
-                        n += folder == (name,)
-        return n
+                        dropped.add(found)
+        return len(dropped)
 
     def _drop(self, path: str) -> None:
         p, fs = self._hadoop(path)
