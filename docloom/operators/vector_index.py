@@ -22,6 +22,8 @@ from docloom.sources.store import Store
 SAMPLE, CELLS, PASSES = 20_000, 4096, 12
 #: Rows that a cell is meant to hold.
 CELL_ROWS = 64
+#: Numbers of rows times cells that are held at once.
+PRODUCT = 1 << 20
 #: Slack of bounds, for vectors that are stored as floats.
 SLACK = 1e-5
 
@@ -43,8 +45,8 @@ def centres(vectors: np.ndarray, cells: int, passes: int = PASSES, seed: int = 3
 
 def _assigned(found: np.ndarray, collection: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = found.shape[1]
-        for batch in batches:
+        wide, most = found.shape[1], max(1, PRODUCT // len(found))
+        for batch in (b.slice(i, most) for b in batches for i in range(0, b.num_rows, most)):
             rows = [np.array(v, float) if v is not None and len(v) == wide and None not in v else np.zeros(wide) for v in batch.column(batch.schema.get_field_index("dense")).to_pylist()]
             x = np.array(rows).reshape(-1, wide)
             size = np.linalg.norm(x, axis=1)
